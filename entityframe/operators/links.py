@@ -50,6 +50,22 @@ def _link_texts(bag: Bag, key: str) -> Column:
     return F.coalesce(F.array_distinct(kept), F.array().cast("array<string>"))
 
 
+def _link_maker(target: str, by_text: bool, id_norm):
+    """How one link text of a field reads: by id where it is one, else by reference to the target."""
+
+    def link(text: Column) -> Column:
+        reference = F.struct(F.lit("reference").alias("by"), F.lit(target).alias("target_type"), text.alias("key"))
+        if by_text:
+            return reference
+        key = id_norm(text)
+        by_id = F.when(
+            key.isNotNull(), F.struct(F.lit("id").alias("by"), F.lit(target).alias("target_type"), key.alias("key"))
+        )
+        return by_id.otherwise(reference) if target else by_id
+
+    return link
+
+
 def link_table(df: DataFrame, schema: EntitySchema | None, id_norm=values.uuid_norm) -> DataFrame:
     """One row per distinct link of each entity of one type.
 
@@ -68,17 +84,9 @@ def link_table(df: DataFrame, schema: EntitySchema | None, id_norm=values.uuid_n
         target = found.reference_entity_type.strip() if found is not None else (schema.name if schema else "")
         by_text = found is not None and found.type is FieldType.REFERENCE
 
-        def link(text: Column, target=target, by_text=by_text) -> Column:
-            reference = F.struct(F.lit("reference").alias("by"), F.lit(target).alias("target_type"), text.alias("key"))
-            if by_text:
-                return reference if target else F.lit(None)
-            key = id_norm(text)
-            by_id = F.struct(F.lit("id").alias("by"), F.lit(target).alias("target_type"), key.alias("key"))
-            return F.when(key.isNotNull(), by_id).otherwise(reference) if target else F.when(key.isNotNull(), by_id)
-
         if by_text and not target:
             continue
-        parts.append(F.transform(_link_texts(bag, name), link).cast(_LINK))
+        parts.append(F.transform(_link_texts(bag, name), _link_maker(target, by_text, id_norm)).cast(_LINK))
     parent = df.select(
         F.col("organization_id"),
         F.col("id").alias("parent_id"),

@@ -145,9 +145,11 @@ def _contains(c: Column, dtype: T.DataType | None, wanted) -> Column:
         )
     if not isinstance(dtype, T.ArrayType):
         return F.lit(False)
-    return c.isNotNull() & all_of(
-        [F.exists(c, lambda x, v=v: F.coalesce(_contains(x, dtype.elementType, v), F.lit(False))) for v in wanted]
-    )
+    return c.isNotNull() & all_of([_any_item(c, lambda x, v: _contains(x, dtype.elementType, v), v) for v in wanted])
+
+
+def _any_item(items: Column, contains, wanted) -> Column:
+    return F.exists(items, lambda x: F.coalesce(contains(x, wanted), F.lit(False)))
 
 
 def _variant_contains(v: Column, wanted) -> Column:
@@ -167,9 +169,7 @@ def _variant_contains(v: Column, wanted) -> Column:
         ]
         return values.variant_is(v, "OBJECT") & all_of(tests)
     items = F.try_variant_get(v, "$", "array<variant>")
-    tests = [
-        F.exists(items, lambda x, w=w: F.coalesce(_variant_contains(x, w), F.lit(False))) for w in wanted
-    ]
+    tests = [_any_item(items, _variant_contains, w) for w in wanted]
     return values.variant_is(v, "ARRAY") & all_of(tests)
 
 
