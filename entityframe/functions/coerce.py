@@ -16,19 +16,17 @@ INT_TEXT = r"^[+-]?[0-9]+$"
 FLOAT_TEXT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INFINITE_TEXT = r"(?i)^[+-]?inf(inity)?$"
 
-# Timestamp shapes, in the order they are tried.
+# Timestamp shapes: zoned, zone-less with an optional time, and dates with slashes.
 ZONED = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"
-DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-DATE_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}([.,][0-9]+)?$"
-SLASHED = r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$"
-SLASHED_END_YEAR = r"^([0-9]{2})/([0-9]{2})/([0-9]{4})$"
-ANY_TIME = r"^[0-9]{2,4}[-/][0-9]{2}[-/][0-9]{2}"
+PLAIN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}( [0-9]{1,2}:[0-9]{2}:[0-9]{2}([.,][0-9]+)?)?$"
+YEAR_FIRST = r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$"
+YEAR_LAST = r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$"
 
 
 def to_integer(c: Column) -> Column:
     """Integer text, or float text without a fraction ("1e3"); anything else is null."""
-    whole = to_float(c)
-    return F.when(c.rlike(INT_TEXT), F.coalesce(c.try_cast("bigint"), _integral(whole))).otherwise(_integral(whole))
+    whole = _integral(c.try_cast("double"))
+    return F.when(c.rlike(INT_TEXT), F.coalesce(c.try_cast("bigint"), whole)).when(c.rlike(FLOAT_TEXT), whole)
 
 
 def _integral(d: Column) -> Column:
@@ -36,13 +34,13 @@ def _integral(d: Column) -> Column:
 
 
 def to_float(c: Column) -> Column:
+    """Decimal or exponent text within range, or a named infinity or NaN."""
     number = c.try_cast("double")
-    finite = F.when(c.rlike(FLOAT_TEXT) & (F.abs(number) < float("inf")), number)
-    named = (
-        F.when(c.rlike(INFINITE_TEXT), F.when(c.startswith("-"), float("-inf")).otherwise(float("inf")))
+    return (
+        F.when(c.rlike(FLOAT_TEXT), F.when(F.abs(number) < float("inf"), number))
+        .when(c.rlike(INFINITE_TEXT), F.when(c.startswith("-"), float("-inf")).otherwise(float("inf")))
         .when(F.lower(c) == "nan", float("nan"))
     )
-    return F.coalesce(finite, named)
 
 
 def to_boolean(c: Column) -> Column:
@@ -54,45 +52,54 @@ def to_timestamp(c: Column) -> Column:
     """First shape that reads, month before day; zone-less texts are UTC."""
     text = F.trim(c)
 
-    def utc(day: Column, time: str | Column = "00:00:00") -> Column:
-        clock = F.lit(time) if isinstance(time, str) else time
-        return F.concat(day, F.lit("T"), clock, F.lit("Z")).try_cast("timestamp")
+    def part(at: int, size: int) -> Column:
+        return F.substring(text, at, size)
 
-    day = F.substring(text, 1, 10)
-    clock = F.regexp_replace(F.substring(text, 12, 40), ",", ".")
-    padded = F.when(clock.rlike("^[0-9]:"), F.concat(F.lit("0"), clock)).otherwise(clock)
+    def day(year: Column, month: Column, of_month: Column) -> Column:
+        return F.concat(year, F.lit("-"), month, F.lit("-"), of_month, F.lit("T00:00:00Z")).try_cast("timestamp")
 
-    def reordered(pattern: str) -> Column:
-        return utc(F.regexp_replace(text, SLASHED_END_YEAR, pattern))
-
-    return F.when(
-        text.rlike(ANY_TIME),
-        F.when(text.rlike(ZONED), text.try_cast("timestamp"))
-        .when(text.rlike(DATE), utc(day))
-        .when(text.rlike(DATE_TIME), utc(day, padded))
-        .when(text.rlike(SLASHED), utc(F.replace(text, F.lit("/"), F.lit("-"))))
-        .when(text.rlike(SLASHED_END_YEAR), F.coalesce(reordered("$3-$1-$2"), reordered("$3-$2-$1"))),
+    clock = F.when(F.length(text) == 10, F.lit("T00:00:00Z")).otherwise(
+        F.concat(F.replace(F.substring(text, 11, 40), F.lit(","), F.lit(".")), F.lit("Z"))
     )
-
-
-def looks_bool(c: Column) -> Column:
-    return F.lower(F.trim(c)).isin(*BOOL_LIKE)
-
-
-def looks_int(c: Column) -> Column:
-    number = to_float(c)
-    return F.coalesce(
-        c.rlike(INT_TEXT) & c.try_cast("bigint").isNotNull() | (number == F.floor(number)) & (F.abs(number) < float("inf")),
-        F.lit(False),
+    year = part(7, 4)
+    return (
+        F.when(
+            part(5, 1) == "-",
+            F.when(text.rlike(PLAIN), F.concat(part(1, 10), clock).try_cast("timestamp")).when(
+                text.rlike(ZONED), text.try_cast("timestamp")
+            ),
+        )
+        .when(part(5, 1) == "/", F.when(text.rlike(YEAR_FIRST), day(part(1, 4), part(6, 2), part(9, 2))))
+        .when(
+            part(3, 1) == "/",
+            F.when(
+                text.rlike(YEAR_LAST),
+                F.coalesce(day(year, part(1, 2), part(4, 2)), day(year, part(4, 2), part(1, 2))),
+            ),
+        )
     )
 
 
-def looks_float(c: Column) -> Column:
-    return to_float(c).isNotNull()
+# Which types a text could be, one bit each.
+IS_BOOL, IS_INT, IS_FLOAT, IS_TIMESTAMP = 1, 2, 4, 8
 
 
-def looks_timestamp(c: Column) -> Column:
-    return to_timestamp(c).isNotNull()
+def kinds(c: Column) -> Column:
+    """The types a trimmed, non-blank text fits, as a set of bits; one shape test leads to each."""
+    number = c.try_cast("double")
+    return (
+        F.when(
+            c.rlike(INT_TEXT), F.when(c.isin("0", "1"), IS_BOOL | IS_INT | IS_FLOAT).otherwise(IS_INT | IS_FLOAT)
+        )
+        .when(
+            c.rlike(FLOAT_TEXT),
+            F.when(F.abs(number) == float("inf"), 0).when(number == F.floor(number), IS_INT | IS_FLOAT).otherwise(IS_FLOAT),
+        )
+        .when(F.lower(c).isin(*BOOL_LIKE), IS_BOOL)
+        .when(to_timestamp(c).isNotNull(), IS_TIMESTAMP)
+        .when(c.rlike(INFINITE_TEXT) | (F.lower(c) == "nan"), IS_FLOAT)
+        .otherwise(0)
+    )
 
 
 def quoted_text(c: Column) -> Column:
@@ -101,30 +108,27 @@ def quoted_text(c: Column) -> Column:
     return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
-def coerce(c: Column, kind: FieldType) -> tuple[Column, Column]:
-    """(value, error text) of a trimmed, non-blank cell; a null cell gives neither."""
-    none = F.lit(None).cast("string")
-
-    def failed(value: Column, what: str, tail: str = "") -> Column:
-        message = F.concat(F.lit("unable to coerce "), quoted_text(c), F.lit(f" to {what}{tail}"))
-        return F.when(c.isNotNull() & value.isNull(), message)
-
-    if kind is FieldType.INTEGER:
-        value = to_integer(c)
-        return value, failed(value, "integer")
-    if kind is FieldType.FLOAT:
-        value = to_float(c)
-        return value, failed(value, "float")
-    if kind is FieldType.BOOLEAN:
-        value = to_boolean(c)
-        return value, failed(value, "boolean")
-    if kind is FieldType.TIMESTAMP:
-        value = to_timestamp(c)
-        return value, failed(value, "timestamp", ": unrecognized timestamp format")
-    if kind is FieldType.JSON:
-        value = F.try_parse_json(c)
-        return value, F.when(c.isNotNull() & value.isNull(), F.lit("invalid json payload"))
-    return c, none
+READERS = {
+    FieldType.INTEGER: (to_integer, "integer"),
+    FieldType.FLOAT: (to_float, "float"),
+    FieldType.BOOLEAN: (to_boolean, "boolean"),
+    FieldType.TIMESTAMP: (to_timestamp, "timestamp: unrecognized timestamp format"),
+}
+
+
+def value(cell: Column, kind: FieldType) -> Column:
+    """Typed value of a trimmed, non-blank cell; null where it does not read."""
+    if kind in READERS:
+        return READERS[kind][0](cell)
+    return F.try_parse_json(cell) if kind is FieldType.JSON else cell
+
+
+def error(cell: Column, read: Column, kind: FieldType) -> Column | None:
+    """Message for a cell whose value did not read; None for kinds that always do."""
+    failed = cell.isNotNull() & read.isNull()
+    if kind in READERS:
+        return F.when(failed, F.concat(F.lit("unable to coerce "), quoted_text(cell), F.lit(f" to {READERS[kind][1]}")))
+    return F.when(failed, F.lit("invalid json payload")) if kind is FieldType.JSON else None
 
 
 def slug(c: Column) -> Column:

@@ -183,9 +183,12 @@ class Bag:
         ]
         return F.to_json(F.struct(*fields))
 
-    def flattened(self) -> Column:
-        """Leaves as ``array<struct<key, value>>`` sorted by key, values JSON-encoded."""
-        return F.array_sort(values.flatten_variant(self.variant()))
+    def leaves(self) -> Column:
+        """Leaves as ``array<struct<key, value>>``, values JSON-encoded."""
+        if not self.is_struct:
+            return values.flatten_variant(self.col)
+        parts = [values.leaves_of(F.lit(n), self.value(n), self.type_of(n)) for n in self.names()]
+        return F.concat(*parts) if parts else F.array().cast(values.LEAVES)
 
     def edited(self, keep=None, **changes: Column) -> Bag:
         """Struct bag with only ``keep`` (all when None), then ``changes`` set (None drops)."""
@@ -212,10 +215,13 @@ class FlatBag(Bag):
 
     def __init__(self, df: DataFrame, prefix: str):
         fields = [f for f in df.schema.fields if f.name.startswith(prefix)]
-        dtype = T.StructType([T.StructField(f.name[len(prefix) :], f.dataType) for f in fields])
-        packed = F.struct(*[F.col(quoted(f.name)).alias(f.name[len(prefix) :]) for f in fields])
-        super().__init__(packed, dtype)
+        self.dtype = T.StructType([T.StructField(f.name[len(prefix) :], f.dataType) for f in fields])
         self.prefix = prefix
 
+    @property
+    def col(self) -> Column:
+        """The properties as one struct."""
+        return F.struct(*[self._field(n).alias(n) for n in self.dtype.names])
+
     def _field(self, key: str) -> Column:
         return F.col(quoted(self.prefix + key))

@@ -45,12 +45,13 @@ def variant_is(v: Column, *names: str) -> Column:
 VARIANT_NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 
 
+_ODD_NUMBER = r"^-?[0-9.]+(\.0|E-?[0-9]+)$"  # spellings only a double has
+
+
 def variant_text(v: Column) -> Column:
-    return (
-        F.when(v.isNull() | F.is_variant_null(v), F.lit(None).cast("string"))
-        .when(variant_is(v, "DOUBLE", "FLOAT"), double_text(F.try_variant_get(v, "$", "double")))
-        .otherwise(F.try_variant_get(v, "$", "string"))
-    )
+    text = F.try_variant_get(v, "$", "string")
+    odd = text.rlike(_ODD_NUMBER) & variant_is(v, "DOUBLE", "FLOAT")
+    return F.when(odd, double_text(F.try_variant_get(v, "$", "double"))).otherwise(text)
 
 
 def text_of(c: Column, dtype: T.DataType) -> Column:
@@ -151,62 +152,101 @@ def id_list(c: Column, dtype: T.DataType, norm=uuid_norm) -> Column:
 # --- flattening --------------------------------------------------------------------------------
 
 
-def flatten_variant(v: Column) -> Column:
+LEAVES = "array<struct<key:string,value:string>>"
+
+
+def _leaf(key: Column, value: Column) -> Column:
+    return F.struct(key.alias("key"), value.alias("value"))
+
+
+def json_string(c: Column) -> Column:
+    """A text as a JSON string; only texts that need escapes go through the JSON writer."""
+    escaped = F.to_json(F.array(c))
+    return F.when(
+        c.rlike(r'["\\\x00-\x1f]'), F.substring(escaped, F.lit(2), F.length(escaped) - 2)
+    ).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
+
+
+def leaves_of(key: Column, c: Column, dtype: T.DataType) -> Column:
+    """Leaves of a typed value as ``array<struct<key, value>>``; a null property has none.
+
+    Structs are opened when the plan is built, lists by row; empty ones stay as leaves.
+    """
+    if isinstance(dtype, T.VariantType):
+        return F.coalesce(flatten_variant(c, key), F.array().cast(LEAVES))
+    if isinstance(dtype, T.StructType):
+        parts = [
+            leaves_of(F.concat(key, F.lit("." + f.name)), c.getField(f.name), f.dataType) for f in dtype.fields
+        ]
+        opened = F.concat(*parts) if parts else F.array().cast(LEAVES)
+        empty = F.when(F.size(opened) == 0, F.array(_leaf(key, F.lit("{}")))).otherwise(opened)
+        return F.when(c.isNull(), F.array().cast(LEAVES)).otherwise(empty)
+    if isinstance(dtype, T.ArrayType):
+
+        def item(x: Column, i: Column) -> Column:
+            at = F.concat(key, F.lit("["), i.cast("string"), F.lit("]"))
+            return F.when(x.isNull(), F.array(_leaf(at, F.lit("null")))).otherwise(leaves_of(at, x, dtype.elementType))
+
+        empty = F.array(_leaf(key, F.lit("[]")))
+        opened = F.when(F.size(c) == 0, empty).otherwise(F.flatten(F.transform(c, item)))
+        return F.when(c.isNull(), F.array().cast(LEAVES)).otherwise(opened)
+    text = text_of(c, dtype)
+    if isinstance(dtype, (T.StringType, *TIMES)):
+        text = json_string(text)
+    return F.when(c.isNull(), F.array().cast(LEAVES)).otherwise(F.array(_leaf(key, text)))
+
+
+def flatten_variant(v: Column, prefix: Column | None = None) -> Column:
     """All leaves of a JSON value as ``array<struct<key, value>>``: keys like ``a.b`` and ``a[0]``,
     values JSON-encoded; empty containers and nulls stay as leaves. Row-local at any depth.
     """
-    # Nesting depth of this row: the deepest bracket outside string literals.
-    json = F.to_json(v)
-    brackets = F.regexp_replace(F.regexp_replace(json, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
-    steps = F.filter(F.split(brackets, ""), lambda x: x != "")
-    depth = F.aggregate(
+    # Containers open level by level. The value's own schema bounds the levels: every level of
+    # nesting opens a bracket in it, except inside lists of mixed items, whose depth is then read
+    # from the JSON text (the deepest bracket outside string literals).
+    schema = F.schema_of_variant(v)
+    nested = F.length(schema) - F.length(F.replace(schema, F.lit("<"), F.lit("")))
+    brackets = F.regexp_replace(F.regexp_replace(F.to_json(v), r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    steps = F.transform(
+        F.filter(F.split(brackets, ""), lambda x: x != ""), lambda x: F.when(x.isin("{", "["), 1).otherwise(-1)
+    )
+    deepest = F.aggregate(
         steps,
         F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
-        lambda acc, x: F.struct(
-            (acc.now + F.when(x.isin("{", "["), 1).otherwise(-1)).alias("now"),
-            F.greatest(acc.top, acc.now + F.when(x.isin("{", "["), 1).otherwise(-1)).alias("top"),
-        ),
+        lambda acc, x: F.struct((acc.now + x).alias("now"), F.greatest(acc.top, acc.now + x).alias("top")),
         lambda acc: acc.top,
     )
-
-    def node(key: Column, value: Column) -> Column:
-        return F.struct(key.alias("key"), value.alias("value"))
+    depth = F.when(schema.contains("VARIANT"), deepest).otherwise(nested)
 
     def open_up(x: Column) -> Column:
-        kind = F.schema_of_variant(x.value)
+        key = F.when(x.key == "", F.lit("")).otherwise(F.concat(x.key, F.lit(".")))
         entries = F.map_entries(F.try_variant_get(x.value, "$", "map<string,variant>"))
         items = F.try_variant_get(x.value, "$", "array<variant>")
-        as_object = F.transform(
-            entries,
-            lambda e: node(
-                F.when(x.key == "", e.key).otherwise(F.concat(x.key, F.lit("."), e.key)), e.value
+        children = F.coalesce(
+            F.transform(entries, lambda e: _leaf(F.concat(key, e.key), e.value)),
+            F.transform(
+                items, lambda e, i: _leaf(F.concat(x.key, F.lit("["), i.cast("string"), F.lit("]")), e)
             ),
         )
-        as_array = F.transform(
-            items,
-            lambda e, i: node(F.concat(x.key, F.lit("["), i.cast("string"), F.lit("]")), e),
-        )
-        return (
-            F.when(kind.startswith("OBJECT<") & (F.size(entries) > 0), as_object)
-            .when(kind.startswith("ARRAY<") & (F.size(items) > 0), as_array)
-            .otherwise(F.array(x))
-        )
+        # The one-item list names the children, so that they are worked out once.
+        whole = F.transform(F.array(children), lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(x)))
+        return F.get(whole, F.lit(0))
 
+    start = prefix if prefix is not None else F.lit("")
     opened = F.aggregate(
         F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>")),
-        F.array(node(F.lit(""), v)),
+        F.array(_leaf(start, v)),
         lambda acc, _: F.flatten(F.transform(acc, open_up)),
     )
-    leaves = F.filter(opened, lambda x: x.key != "")
-    return F.transform(
-        leaves,
-        lambda x: F.struct(
-            x.key.alias("key"),
-            F.when(
-                variant_is(x.value, "DOUBLE", "FLOAT"),
-                double_text(F.try_variant_get(x.value, "$", "double")),
-            )
-            .otherwise(F.to_json(x.value))
-            .alias("value"),
-        ),
-    )
+
+    def encoded(x: Column) -> Column:
+        kind = F.schema_of_variant(x.value)
+        text = F.try_variant_get(x.value, "$", "string")
+        number = double_text(F.try_variant_get(x.value, "$", "double"))
+        return _leaf(
+            x.key,
+            F.when(kind == "STRING", json_string(text))
+            .when(kind.isin("DOUBLE", "FLOAT"), number)
+            .otherwise(F.to_json(x.value)),
+        )
+
+    return F.transform(F.filter(opened, lambda x: x.key != ""), encoded)

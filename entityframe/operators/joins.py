@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entityframe.functions.props import Bag
-from entityframe.model import ENVELOPE, EntitySchema, FieldType, PropertyFilter
+from entityframe.model import EntitySchema, FieldType, PropertyFilter
 from entityframe.operators import ordinal, predicates, product
-from entityframe.plans.records import AliasInfo, Records, entity_columns
+from entityframe.plans.records import AliasInfo, Records, load_expressions
 
 INNER, LEFT, ANTI = "inner", "left", "left_anti"
 
@@ -163,10 +163,9 @@ def run_saved_join(
 
 
 def _side(df: DataFrame, filters, name: str) -> Records:
-    bag = Bag.of(df)
-    kept = df.filter(predicates.saved_join_filters(bag, filters))
-    flat = kept.select(*entity_columns(name, {c: F.col(c) for c in ENVELOPE}, bag))
-    return Records(flat, {name: AliasInfo(None)}, [])
+    if filters:
+        df = df.filter(predicates.saved_join_filters(Bag.of(df), filters))
+    return Records(df.selectExpr(*load_expressions(df, name)), {name: AliasInfo(None)}, [])
 
 
 def _both(left: Records, right: Records, df: DataFrame) -> Records:

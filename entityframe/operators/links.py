@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from entityframe.functions import values
 from entityframe.functions.props import Bag
 from entityframe.model import EntitySchema, FieldType
+from entityframe.session import stage
 from entityframe.sources.tables import packed
 
 # Property names that hold links without being declared, compared without case.
@@ -167,13 +168,18 @@ def enrich(store, types: list[str], hops: int = 1, id_norm=values.uuid_norm) ->
     ``hop`` numbers the step an edge was found in.
     """
     step = edges(all_links(store, types, id_norm), store)
-    out = step.withColumn("hop", F.lit(1))
-    for hop in range(2, hops + 1):
+    out = None
+    for hop in range(1, hops + 1):
+        if hop < hops:
+            step = stage(step, "links")  # read both as a result and as the next frontier
+        numbered = step.withColumn("hop", F.lit(hop))
+        out = numbered if out is None else out.unionByName(numbered)
+        if hop == hops:
+            break
         reached = step.filter(F.col("by") == "id").select(F.col("child_id").alias("__id")).distinct()
         every = all_links(store, None, id_norm)
         onward = every.join(reached, F.col("parent_id") == F.col("__id"), "left_semi")
         step = edges(onward, store)
-        out = out.unionByName(step.withColumn("hop", F.lit(hop)))
     return out
 
 

@@ -24,39 +24,39 @@ MAJOR, MINOR, PATCH = "MAJOR", "MINOR", "PATCH"
 # --- inference ----------------------------------------------------------------------------------
 
 TESTS = {
-    "is_bool": coerce.looks_bool,
-    "is_int": coerce.looks_int,
-    "is_float": coerce.looks_float,
-    "is_timestamp": coerce.looks_timestamp,
+    "is_bool": coerce.IS_BOOL,
+    "is_int": coerce.IS_INT,
+    "is_float": coerce.IS_FLOAT,
+    "is_timestamp": coerce.IS_TIMESTAMP,
 }
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per text column: which types fit every non-blank cell, and how full it is.
 
-    All columns and tests are one aggregate over one pass of the data.
+    Each cell is classified once; a column takes two aggregates, and all share one pass of the data.
     """
+    cells = df.select(*[F.trim(F.col(quoted(c))).alias(f"c{i}") for i, c in enumerate(columns)])
+    marks = cells.select(
+        *[F.when(F.col(f"c{i}") != "", coerce.kinds(F.col(f"c{i}"))).alias(f"k{i}") for i in range(len(columns))]
+    )
     aggs = []
-    for i, name in enumerate(columns):
-        cell = F.trim(F.col(quoted(name)))
-        blank = F.coalesce(cell == "", F.lit(True))
-        aggs.append(F.count_if(~blank).alias(f"full{i}"))
-        aggs.append(F.count_if(blank).alias(f"blank{i}"))
-        for test, looks in TESTS.items():
-            aggs.append(F.bool_and(F.when(~blank, looks(cell))).alias(f"{test}{i}"))
+    for i in range(len(columns)):
+        aggs += [F.count(f"k{i}").alias(f"full{i}"), F.bit_and(f"k{i}").alias(f"kinds{i}")]
+    totals = marks.agg(F.count("*").alias("rows"), *aggs)
     lines = []
     for i, name in enumerate(columns):
-        full = F.col(f"full{i}")
+        full, fits = F.col(f"full{i}"), F.coalesce(F.col(f"kinds{i}"), F.lit(0))
         lines.append(
             F.struct(
                 F.lit(i).alias("ordinal"),
                 F.lit(name).alias("name"),
-                *[(F.coalesce(F.col(f"{t}{i}"), F.lit(False))).alias(t) for t in TESTS],
-                ((F.col(f"blank{i}") == 0) & (full > 0)).alias("all_present"),
+                *[(fits.bitwiseAND(bit) != 0).alias(t) for t, bit in TESTS.items()],
+                ((full == F.col("rows")) & (full > 0)).alias("all_present"),
                 full.alias("values"),
             )
         )
-    return df.agg(*aggs).select(F.inline(F.array(*lines)))
+    return totals.select(F.inline(F.array(*lines)))
 
 
 def infer(df: DataFrame, columns: list[str], overrides: dict[str, str] | None = None) -> DataFrame:
@@ -308,7 +308,7 @@ def conform(df: DataFrame, schema: EntitySchema) -> DataFrame:
         elif isinstance(f.dataType, T.VariantType):
             value = F.try_parse_json(bag.text(f.name)) if isinstance(have, T.StringType) else as_variant(bag.value(f.name), have)
         elif isinstance(have, (T.StringType, T.VariantType)):
-            value = coerce.coerce(F.nullif(F.trim(bag.text(f.name)), F.lit("")), declared)[0]
+            value = coerce.value(F.nullif(F.trim(bag.text(f.name)), F.lit("")), declared)
         else:
             value = bag.value(f.name).try_cast(f.dataType)
         cols.append(value.alias(f.name))

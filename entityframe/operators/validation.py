@@ -82,7 +82,7 @@ def _type_error(bag: Bag, f: Field, id_norm) -> Column:
             digits = text.rlike(coerce.INT_TEXT) & text.try_cast("bigint").isNotNull()
             return must("an integer", is_number & whole | is_string & digits)
         case FieldType.FLOAT:
-            return must("a float", is_number | is_string & coerce.looks_float(text))
+            return must("a float", is_number | is_string & coerce.to_float(text).isNotNull())
         case FieldType.TIMESTAMP:
             bad = F.when(
                 ~(text.rlike(coerce.ZONED) & text.try_cast("timestamp").isNotNull()),

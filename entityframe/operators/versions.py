@@ -190,7 +190,7 @@ def versions_at(current: DataFrame, history: DataFrame, wanted: DataFrame) -> Da
 
 def flatten(df: DataFrame, *keep: str) -> DataFrame:
     """One row per property leaf: ``key`` like ``a.b`` or ``a[0]`` and its JSON-encoded ``value``."""
-    return df.select(*keep, F.inline(Bag.of(df).flattened()))
+    return df.select(*keep, F.inline(Bag.of(df).leaves()))
 
 
 def diff(base: DataFrame, target: DataFrame, on: list[str]) -> DataFrame:
@@ -201,7 +201,7 @@ def diff(base: DataFrame, target: DataFrame, on: list[str]) -> DataFrame:
     """
 
     def leaves(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*on, F.map_from_entries(Bag.of(df).flattened()).alias(name))
+        return df.select(*on, F.map_from_entries(Bag.of(df).leaves()).alias(name))
 
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     both = leaves(base, "__old").join(leaves(target, "__new"), on, "full_outer")
@@ -218,7 +218,7 @@ def diff(base: DataFrame, target: DataFrame, on: list[str]) -> DataFrame:
 
 def canonical_lines(df: DataFrame) -> Column:
     """A snapshot as deterministic text lines, built within the row."""
-    leaves = Bag.of(df).flattened()
+    leaves = F.sort_array(Bag.of(df).leaves())
     lines = F.transform(leaves, lambda x: F.concat(F.lit("  "), x.key, F.lit(": "), x.value))
     head = F.array(
         F.concat(F.lit("Path: "), F.coalesce("path", F.lit(""))),

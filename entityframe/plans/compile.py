@@ -19,7 +19,7 @@ from entityframe.model import ENVELOPE, FieldType, PropertyFilter
 from entityframe.operators import joins, predicates
 from entityframe.operators.joins import ANTI, INNER, LEFT, CartesianError
 from entityframe.plans import nodes as N
-from entityframe.plans.records import ENVELOPE_TYPES, AliasInfo, Records, entity_columns
+from entityframe.plans.records import ENVELOPE_TYPES, AliasInfo, Records, entity_columns, load_expressions
 
 # Names under which a MATERIALIZE field reads an envelope column.
 SYSTEM_FIELDS = {
@@ -82,10 +82,10 @@ class Compiler:
     def _load(self, node: N.Load) -> Records:
         df = self.store.load(node.entity_type)
         bag = Bag.of(df)
-        df = df.filter(predicates.property_filters(bag, node.filters))
+        if node.filters:
+            df = df.filter(predicates.property_filters(bag, node.filters))
         created, key = self._name("created"), self._name("id")
-        order = [F.col("created_at").alias(created), F.col("id").alias(key)]
-        df = df.select(*entity_columns(node.alias, {c: F.col(c) for c in ENVELOPE}, bag), *order)
+        df = df.selectExpr(*load_expressions(df, node.alias), f"created_at AS {created}", f"id AS {key}")
         info = AliasInfo(frozenset([node.entity_type]))
         return Records(df, {node.alias: info}, [(created, False), (key, True)])
 
@@ -251,9 +251,8 @@ class Compiler:
 
     def _disjoint(self, right: Records) -> Records:
         renamed = {c: self._name("r") for c in right.hidden()}
-        cols = [F.col(quoted(c)).alias(renamed.get(c, c)) for c in right.df.columns]
         order = [(renamed[c], up) for c, up in right.order]
-        return right.with_df(right.df.select(*cols), order=order)
+        return right.with_df(right.df.withColumnsRenamed(renamed), order=order)
 
     def _merged(self, df: DataFrame, how: str, left: Records, right: Records, counter=None) -> Records:
         """Aliases and order of a joined record: left then right, the right side wins a clash."""

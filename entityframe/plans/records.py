@@ -46,10 +46,33 @@ def marker_column(alias: str) -> str:
     return f"{alias}#?"
 
 
+def check_alias(alias: str) -> None:
+    if not alias or "#" in alias:
+        raise ValueError(f"alias {alias!r} may not be empty or hold '#'")
+
+
+def load_expressions(df: DataFrame, alias: str) -> list[str]:
+    """SQL expressions that lay an entity frame out as the flat columns of an alias."""
+    check_alias(alias)
+
+    def named(source: str, column: str) -> str:
+        return f"{source} AS {quoted(column)}"
+
+    out = [named("true", marker_column(alias))]
+    out += [named(c, envelope_column(alias, c)) for c in ENVELOPE]
+    bag = Bag.of(df)
+    if not bag.is_struct:
+        out.append(named("properties", variant_column(alias)))
+    elif isinstance(bag, FlatBag):
+        out += [named(quoted(bag.prefix + n), property_prefix(alias) + n) for n in bag.names()]
+    else:
+        out += [named(f"properties.{quoted(n)}", property_prefix(alias) + n) for n in bag.names()]
+    return out
+
+
 def entity_columns(alias: str, envelope: dict[str, Column], bag: Bag) -> list[Column]:
     """The flat columns of one entity."""
-    if "#" in alias:
-        raise ValueError(f"alias {alias!r} may not hold '#'")
+    check_alias(alias)
     cols = [F.lit(True).alias(marker_column(alias))]
     cols += [envelope[c].alias(envelope_column(alias, c)) for c in ENVELOPE]
     if bag.is_struct:

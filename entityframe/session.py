@@ -15,8 +15,15 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot key is worth one more shuffle: split it even where the split costs an exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Wide rows make generated methods the JVM will not compile (over 8000 bytecodes); beyond that
+    # size, operators run on their own, whose generated code is split into small methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# Settings that only a new session takes. Plans here are built from many small columns, and
+# recording a call site for each would be most of the build time.
+STARTUP_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 _local_dir: str | None = None
 
 
@@ -27,6 +34,14 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def builder(app: str = "entityframe") -> SparkSession.Builder:
+    """A session builder with all settings of this module."""
+    out = SparkSession.builder.appName(app)
+    for key, value in {**RUNTIME_CONF, **STARTUP_CONF}.items():
+        out = out.config(key, value)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
@@ -43,6 +58,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread the rows of a plain scan over the cores if it comes in few splits.
+
+    For work that is heavy per row. A scan with splits enough for the cluster is left as it is.
+    """
+    wanted = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(wanted) if scan.rdd.getNumPartitions() * 2 <= wanted else scan
+
+
 def staging_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/entityframe/{label}-{uuid.uuid4().hex}"
 

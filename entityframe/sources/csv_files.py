@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from entityframe.functions.props import quoted
-from entityframe.session import stage
+from entityframe.session import spread, stage
 
 HEADER_CANDIDATES = 10
 HEAD_LINES = 1000
@@ -116,7 +116,7 @@ def read_csv(spark: SparkSession, path: str, header_row: int | None = None, mult
         F.monotonically_increasing_id().alias("__at"),
         *cells,
     )
-    staged = stage(placed, "csv")
+    staged = stage(spread(placed), "csv")
     blocks = staged.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     before = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(

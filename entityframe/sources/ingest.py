@@ -13,7 +13,7 @@ from entityframe.functions import coerce, values
 from entityframe.functions.props import Bag, quoted
 from entityframe.model import COLUMNS, EntitySchema, Field
 from entityframe.operators import ordinal, schemas, validation
-from entityframe.session import tune
+from entityframe.session import stage, tune
 from entityframe.sources.csv_files import RawTable
 
 PREVIEW_ROWS = 10
@@ -26,16 +26,21 @@ def coerced(raw: RawTable, schema: EntitySchema) -> DataFrame:
     Cells are trimmed, blank ones count as absent, and columns the schema lacks are skipped.
     """
     known = [(c, schema.field(c)) for c in raw.columns if schema.field(c) is not None]
-    props, errors = [], []
-    for name, f in known:
-        cell = F.nullif(F.trim(F.col(quoted(name))), F.lit(""))
-        value, error = coerce.coerce(cell, f.type)
-        props.append(value.cast(schemas.cell_type(f.type)).alias(f.name))
-        errors.append(F.concat(F.lit(f"field {name}: "), error))
+    cells, typed, errors, props = {}, {}, [], []
+    for i, (name, f) in enumerate(known):
+        text = F.trim(F.col(quoted(name)))
+        cells[f"__cell{i}"] = F.when(text != "", text)
+        typed[f"__value{i}"] = coerce.value(F.col(f"__cell{i}"), f.type).cast(schemas.cell_type(f.type))
+        error = coerce.error(F.col(f"__cell{i}"), F.col(f"__value{i}"), f.type)
+        if error is not None:
+            errors.append(F.concat(F.lit(f"field {name}: "), error))
+        props.append(F.col(f"__value{i}").alias(f.name))
     missing = [f for f in schema.fields if f.name not in raw.columns]
     props += [F.lit(None).cast(schemas.cell_type(f.type)).alias(f.name) for f in missing]
     first = F.coalesce(*errors) if errors else F.lit(None).cast("string")
-    return raw.df.withColumn("properties", F.struct(*props)).withColumn("coerce_error", first)
+    # Cells, then values, then errors: each is used several times and worked out once.
+    steps = raw.df.withColumns(cells).withColumns(typed)
+    return steps.withColumns({"properties": F.struct(*props), "coerce_error": first}).drop(*cells, *typed)
 
 
 def checked(raw: RawTable, schema: EntitySchema, id_norm=values.uuid_norm, skip_validation: bool = False) -> DataFrame:
@@ -59,10 +64,9 @@ def path_column(schema_name: str, raw: RawTable) -> Column:
     return F.concat(F.coalesce(F.nullif(base, F.lit("")), F.lit("entity")), F.lit("."), F.coalesce(child, row))
 
 
-def with_paths(good: DataFrame, schema_name: str, raw: RawTable) -> DataFrame:
-    """Give each row its path; the n-th row of one path, in file order, gets ``_n`` appended."""
-    named = good.withColumn("__base", path_column(schema_name, raw))
-    ranked = ordinal.rank_in_group(named, ["__base"], raw.order, "__nth", raw.chunk)
+def with_paths(good: DataFrame, raw: RawTable) -> DataFrame:
+    """Turn ``__base`` into the path: the n-th row of one base, in file order, gets ``_n`` appended."""
+    ranked = ordinal.rank_in_group(good, ["__base"], raw.order, "__nth", raw.chunk)
     suffix = F.when(F.col("__nth") > 1, F.concat(F.lit("_"), F.col("__nth").cast("string"))).otherwise("")
     return ranked.withColumn("path", F.concat(F.col("__base"), suffix)).drop("__base", "__nth")
 
@@ -77,12 +81,30 @@ class Ingest:
     file_name: str = ""
     id_norm: object = values.uuid_norm
     skip_validation: bool = False
+    _staged: DataFrame | None = None
 
     def rows(self) -> DataFrame:
-        return checked(self.raw, self.schema, self.id_norm, self.skip_validation)
+        """Every row with its typed bag and its error.
+
+        The counts observed here also keep a filter on ``error`` above the coercion; pushed below,
+        it would work out every cell a second time.
+        """
+        if self._staged is not None:
+            return self._staged
+        found = checked(self.raw, self.schema, self.id_norm, self.skip_validation)
+        return found.observe("ingest rows", F.count(F.lit(1)).alias("total"), F.count("error").alias("invalid"))
+
+    def stage(self) -> Ingest:
+        """Write the checked rows once; valid rows, rejects and counts are then read, not redone."""
+        if self._staged is None:
+            named = self.rows().withColumn("__base", path_column(self.schema.name, self.raw))
+            self._staged = stage(named.drop(*self.raw.columns), "ingest")
+        return self
 
     def valid(self) -> DataFrame:
-        return with_paths(self.rows().filter(F.col("error").isNull()), self.schema.name, self.raw)
+        """Good rows with their paths."""
+        good = self.stage().rows().filter(F.col("error").isNull())
+        return with_paths(good, self.raw)
 
     def rejects(self) -> DataFrame:
         """Reject log rows: file record number and message."""
@@ -127,7 +149,8 @@ class Ingest:
 
     def preview(self, limit: int = PREVIEW_ROWS) -> DataFrame:
         """First rows of the file with their trimmed cells and errors; nothing is written."""
-        first = self.rows().orderBy(*self.raw.order).limit(limit)
+        found = checked(self.raw, self.schema, self.id_norm, self.skip_validation)
+        first = found.orderBy(*self.raw.order).limit(limit)
         cells = [F.trim(F.coalesce(F.col(quoted(c)), F.lit(""))).alias(c) for c in self.raw.columns]
         return first.select("row_number", *cells, "error")
 
@@ -138,7 +161,7 @@ class Ingest:
         """
         batch = batch_id or str(uuid.uuid4())
         seen, refused = Observation(), Observation()
-        good = self.entities(batch).observe(seen, F.count(F.lit(1)).alias("n"))
+        good = self.stage().entities(batch).observe(seen, F.count(F.lit(1)).alias("n"))
         _write_batch(good, entities_path, batch)
         bad = self.rejects().withColumn("batch_id", F.lit(batch)).withColumn("created_at", F.current_timestamp())
         _write_batch(bad.observe(refused, F.count(F.lit(1)).alias("n")), rejects_path, batch)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from entityframe import EntitySchema, EntityStore, Field, Options, entities_from, tune
 from entityframe.functions import values
+from entityframe.session import spread
 
 ORG = "org-1"
 PLAIN_IDS = Options(key_norm=values.trim_norm)  # ids here are texts like customer:12, not UUIDs
@@ -214,7 +215,7 @@ EVENT_JSON = (
 def events(spark, sf) -> DataFrame:
     """Events with a schemaless VARIANT bag: nested object, list, a number that is text in errors,
     and a key that only purchases have (as JSON null)."""
-    df = table(spark, sf, "events")
+    df = spread(table(spark, sf, "events"))
     bag = F.parse_json(F.expr(EVENT_JSON))
     return entities_from(df, "Event", ref("event", "event_id"), bag, created_at="ts", organization=ORG)
 
@@ -347,7 +348,7 @@ RAW_COLUMNS = ["user", "kind", "amount", "ok", "seen_at", "day", "empty_col"]
 
 def raw_events(spark, sf) -> DataFrame:
     """Events as text cells with the flaws uploads have: blanks, padding, an unreadable number."""
-    df = table(spark, sf, "events")
+    df = spread(table(spark, sf, "events"))
     kind = F.col("event_type")
     whole = F.floor("value")
     stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSS")

@@ -67,10 +67,10 @@ def connect(sf):
 
 
 def session(cores=8):
-    from pyspark.sql import SparkSession
+    from entityframe.session import builder
 
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder("check").master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
