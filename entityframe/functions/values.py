@@ -145,8 +145,14 @@ def trim_norm(c: Column) -> Column:
 
 def id_list(c: Column, dtype: T.DataType, norm=uuid_norm) -> Column:
     """Distinct normalised ids of a reference value; what does not normalise is dropped."""
-    ids = F.transform(text_list(c, dtype), norm)
-    return F.array_distinct(F.filter(ids, lambda x: x.isNotNull()))
+    plain = isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StringType)
+    ids = F.transform(c if plain else text_list(c, dtype), norm)
+    return F.coalesce(without_nulls(ids), F.array().cast("array<string>"))
+
+
+def without_nulls(items: Column) -> Column:
+    """Distinct non-null items."""
+    return F.array_except(items, F.array(F.lit(None).cast("string")))
 
 
 # --- flattening --------------------------------------------------------------------------------

@@ -35,27 +35,26 @@ def key_join(
 def list_join(left: DataFrame, right: DataFrame, keys: Column, rkey: Column, how: str, drop=()) -> DataFrame:
     """Join each left row to the right rows whose key is among its distinct ``keys`` (an array).
 
-    Whether a left row matches depends on its key list alone, so left and anti joins find the
-    lists that match at all and set them against the rows; no row id is needed.
+    Whether a left row matches depends on its key list alone. Left and anti joins therefore find out
+    once per distinct list which of its keys exist, and give that to the rows; no row id is needed,
+    and a left row is opened only into keys that will match.
     """
     lhs = left.withColumn("__keys", keys).drop(*drop)
     rhs = right.withColumn("__rk", rkey)
     if how == INNER:
-        return _fan_out(lhs, rhs).drop("__keys")
+        opened = lhs.withColumn("__lk", F.explode("__keys")).drop("__keys")
+        return opened.join(rhs, F.col("__lk") == F.col("__rk")).drop("__lk", "__rk")
     lists = lhs.select("__keys").filter(F.size("__keys") > 0).distinct()
     hits = lists.withColumn("__lk", F.explode("__keys")).join(
         rhs.select("__rk"), F.col("__lk") == F.col("__rk"), "left_semi"
     )
-    matched = hits.select(F.col("__keys").alias("__hit")).distinct()
-    missed = lhs.join(matched, F.col("__keys") == F.col("__hit"), "left_anti")
     if how == ANTI:
-        return missed.drop("__keys")
-    return _fan_out(lhs, rhs).unionByName(missed, allowMissingColumns=True).drop("__keys")
-
-
-def _fan_out(lhs: DataFrame, rhs: DataFrame) -> DataFrame:
-    opened = lhs.withColumn("__lk", F.explode("__keys"))
-    return opened.join(rhs, F.col("__lk") == F.col("__rk")).drop("__lk", "__rk")
+        matched = hits.select(F.col("__keys").alias("__hit")).distinct()
+        return lhs.join(matched, F.col("__keys") == F.col("__hit"), "left_anti").drop("__keys")
+    found = hits.groupBy(F.col("__keys").alias("__hit")).agg(F.collect_set("__lk").alias("__found"))
+    marked = lhs.join(found, F.col("__keys") == F.col("__hit"), "left")
+    opened = marked.withColumn("__lk", F.explode_outer("__found")).drop("__keys", "__hit", "__found")
+    return opened.join(rhs, F.col("__lk") == F.col("__rk"), "left").drop("__lk", "__rk")
 
 
 # --- saved joins --------------------------------------------------------------------------------

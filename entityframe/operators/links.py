@@ -87,14 +87,19 @@ def link_table(df: DataFrame, schema: EntitySchema | None, id_norm=values.uuid_n
 
         if by_text and not target:
             continue
-        parts.append(F.transform(_link_texts(bag, name), _link_maker(target, by_text, id_norm)).cast(_LINK))
+        make = _link_maker(target, by_text, id_norm)
+        if isinstance(bag.type_of(name), T.StringType):  # the usual single text needs no list work
+            text = F.trim(bag.value(name))
+            parts.append(F.array(F.when(text != "", make(text))).cast(_LINK))
+        else:
+            parts.append(F.transform(_link_texts(bag, name), make).cast(_LINK))
     parent = df.select(
         F.col("organization_id"),
         F.col("id").alias("parent_id"),
         F.col("entity_type").alias("parent_type"),
         (F.concat(*parts) if parts else F.array().cast(_LINK)).alias("__links"),
     )
-    distinct = F.array_distinct(F.filter("__links", lambda x: x.isNotNull()))
+    distinct = F.array_except(F.col("__links"), F.array(F.lit(None)).cast(_LINK))
     return parent.select("organization_id", "parent_id", "parent_type", F.inline(distinct))
 
 
@@ -135,12 +140,9 @@ def resolve(links: DataFrame, store) -> DataFrame:
 
 
 def edges(links: DataFrame, store) -> DataFrame:
-    """Distinct (parent, child) pairs."""
-    return (
-        resolve(links, store)
-        .select("organization_id", "parent_id", "parent_type", "child_id", "child_type", "by")
-        .dropDuplicates(["parent_id", "child_id"])
-    )
+    """Distinct (parent, child) pairs; ``by_id`` tells whether some link named the child's id."""
+    pair = ["organization_id", "parent_id", "parent_type", "child_id", "child_type"]
+    return resolve(links, store).groupBy(*pair).agg(F.bool_or(F.col("by") == "id").alias("by_id"))
 
 
 def dangling(links: DataFrame, store) -> DataFrame:
@@ -176,7 +178,7 @@ def enrich(store, types: list[str], hops: int = 1, id_norm=values.uuid_norm) ->
         out = numbered if out is None else out.unionByName(numbered)
         if hop == hops:
             break
-        reached = step.filter(F.col("by") == "id").select(F.col("child_id").alias("__id")).distinct()
+        reached = step.filter("by_id").select(F.col("child_id").alias("__id")).distinct()
         every = all_links(store, None, id_norm)
         onward = every.join(reached, F.col("parent_id") == F.col("__id"), "left_semi")
         step = edges(onward, store)

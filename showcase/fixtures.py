@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from entityframe import EntitySchema, EntityStore, Field, Options, entities_from, tune
 from entityframe.functions import values
-from entityframe.session import spread
+from entityframe.session import spread, stage
 
 ORG = "org-1"
 PLAIN_IDS = Options(key_norm=values.trim_norm)  # ids here are texts like customer:12, not UUIDs
@@ -281,7 +281,7 @@ def user_versions(spark, sf) -> DataFrame:
 
 def user_current_and_history(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Newest image per user as the live rows, every older one as history."""
-    every = user_versions(spark, sf)
+    every = stage(user_versions(spark, sf), "users")  # a stored table in real use, read several times
     newest = every.groupBy("id").agg(F.max("version").alias("__v")).withColumnRenamed("id", "__id")
     marked = every.join(newest, F.col("id") == F.col("__id"))
     current = marked.filter(F.col("version") == F.col("__v")).drop("__id", "__v")

@@ -33,14 +33,14 @@ def history_max_version(spark, sf):
     EVERY
     + """
     SELECT id AS entity_id, version, value FROM v
-    WHERE (id, version) IN (SELECT 'user:' || (o_custkey % 150), o_orderkey % 97 FROM orders)
+    WHERE (id, version) IN (SELECT 'user:' || l_suppkey, CAST(l_quantity AS BIGINT) FROM lineitem)
     """
 )
 def version_lookup(spark, sf):
     """A batch of (entity, version) requests, some for versions that never were."""
     current, history = X.user_current_and_history(spark, sf)
-    asked = X.table(spark, sf, "orders").select(
-        X.ref("user", F.col("o_custkey") % 150).alias("entity_id"), (F.col("o_orderkey") % 97).alias("version")
+    asked = X.table(spark, sf, "lineitem").select(
+        X.ref("user", "l_suppkey").alias("entity_id"), F.col("l_quantity").cast("bigint").alias("version")
     )
     return versions.versions_at(current, history, asked).select("entity_id", "version", F.col("properties.value").alias("value"))
 
