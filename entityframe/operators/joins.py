@@ -175,16 +175,19 @@ def _edges(both: Records, df: DataFrame) -> DataFrame:
     return df.select(both.entity("l").alias("l"), both.entity("r").alias("r"))
 
 
-def _sort_key(r: Records, s: JoinSort, join_field: str | None = None) -> Column:
+def _sort_value(r: Records, s: JoinSort, join_field: str | None = None) -> Column:
     alias = "r" if s.is_right else "l"
     column = SORT_ENVELOPE.get(s.field.lower())
     if column is not None:
-        key = r.envelope(alias, column)
-    elif join_field and not s.is_right and s.field.lower() == join_field.lower():
-        key = F.col("__lk")  # the value joined on: one array element where the field is an array
-    else:
-        key = r.bag(alias).text(s.field)
-    return key.desc_nulls_last() if s.direction.upper() == "DESC" else key.asc_nulls_last()
+        return r.envelope(alias, column)
+    if join_field and not s.is_right and s.field.lower() == join_field.lower():
+        return F.col("__lk")  # the value joined on: one array element where the field is an array
+    return r.bag(alias).text(s.field)
+
+
+def _sort_key(r: Records, s: JoinSort, join_field: str | None = None) -> Column:
+    value = _sort_value(r, s, join_field)
+    return value.desc_nulls_last() if s.direction.upper() == "DESC" else value.asc_nulls_last()
 
 
 def _newest(r: Records, alias: str) -> list[Column]:
@@ -192,24 +195,32 @@ def _newest(r: Records, alias: str) -> list[Column]:
 
 
 def _cross(left: Records, right: Records, criteria, limit, offset, allow_cartesian) -> JoinResult:
-    """Every pair. A page is cut by position, so only the rows on it are ever paired."""
-    lkeys = [_sort_key(left, s) for s in criteria if not s.is_right]
-    rkeys = [_sort_key(right, s) for s in criteria if s.is_right]
+    """Every pair. A page is cut by position, so only the rows on it are ever paired.
+
+    The side sorted first leads; pairs equal under all criteria follow the other side's order, then
+    the leading side's, newest first.
+    """
+    total = product.total([product.Factor(left.df, []), product.Factor(right.df, [])])
     sides = [s.is_right for s in criteria]
-    left_factor = product.Factor(left.df, [*lkeys, *_newest(left, "l")])
-    right_factor = product.Factor(right.df, [*rkeys, *_newest(right, "r")])
-    if sides == sorted(sides):  # all left sorts, then all right ones
-        factors = [left_factor, right_factor]
-    elif sides == sorted(sides, reverse=True):
-        factors = [right_factor, left_factor]
-    else:
-        factors = None
-    total = product.total([left_factor, right_factor])
-    if factors is not None and limit is not None:
-        both = _both(left, right, product.page(factors, limit, offset))
+    swap = bool(sides) and sides[0]
+    first, second, names = (right, left, ("r", "l")) if swap else (left, right, ("l", "r"))
+    lead = [s for s in criteria if s.is_right == swap]
+    follow = [s for s in criteria if s.is_right != swap]
+    contiguous = [s.is_right for s in lead + follow] == sides
+    ways = [_sort_key(first, s) for s in lead]
+    behind = product.Factor(second.df, [*[_sort_key(second, s) for s in follow], *_newest(second, names[1])])
+    ties = _newest(first, names[0])
+    if contiguous and limit is not None:
+        if follow:
+            keys = [_sort_value(first, s) for s in lead]
+            page = product.grouped_page(first.df, keys, ways, ties, behind, limit, offset)
+        else:
+            page = product.page([product.Factor(first.df, [*ways, *ties]), behind], limit, offset)
+        both = _both(left, right, page)
         return JoinResult(_edges(both, both.df), total)
     if not allow_cartesian:
         raise CartesianError("a whole cross join needs allow_cartesian=True; pass a limit to page it")
     both = _both(left, right, left.df.crossJoin(right.df))
-    order = [*[_sort_key(both, s) for s in criteria], *_newest(both, "l"), *_newest(both, "r")]
-    return JoinResult(_edges(both, ordinal.page(both.df, order, limit, offset)), total)
+    keys = [_sort_key(both, s) for s in criteria]
+    rest = [*behind.order, *ties] if follow else [*ties, *behind.order]
+    return JoinResult(_edges(both, ordinal.page(both.df, [*keys, *rest], limit, offset)), total)

@@ -75,3 +75,37 @@ def _indexed(factor: Factor, start: int, count: int) -> DataFrame:
     # At most TOP_ROWS rows reach this window.
     w = Window.orderBy(*factor.order)
     return top.withColumn("__i", F.row_number().over(w).cast("bigint") + F.lit(start - 1))
+
+
+def grouped_page(major: DataFrame, keys: list[Column], ways: list[Column], ties: list[Column], minor: Factor, limit: int, offset: int) -> DataFrame:
+    """A page of the product ordered by the major side's keys, then the minor side, then ``ties``.
+
+    Major rows with equal keys share their minor rows: such a group of ``g`` rows fills ``g`` times
+    the minor side's rows, minor-major within. ``keys`` are the key values and ``ways`` the same keys
+    with their directions.
+    """
+    spark = major.sparkSession
+    names = [f"__s{i}" for i in range(len(keys))]
+    valued = major.withColumns(dict(zip(names, keys)))
+    numbered = ordinal.positions(valued, [*ways, *ties], "__m")
+    wide = minor.df.count()
+    rows = numbered.count() * wide
+    first, last = max(offset, 0), min(max(offset, 0) + limit, rows)
+    at = spark.range(first, max(first, last)).withColumnRenamed("id", "__p").withColumn("__a", F.expr(f"__p div {max(wide, 1)}"))
+
+    # The row at position p div wide lies in the group that holds row p.
+    anchors = numbered.select(F.col("__m").alias("__a"), *[F.col(n).alias(f"{n}k") for n in names])
+    held = at.join(anchors, "__a")
+    groups = held.select(*[f"{n}k" for n in names]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}k")) for n in names])
+    sizes = numbered.join(groups, same).groupBy(*[F.col(n).alias(f"{n}g") for n in names]).agg(
+        F.min("__m").alias("__start"), F.count("*").alias("__g")
+    )
+    match = reduce(lambda a, b: a & b, [F.col(f"{n}k").eqNullSafe(F.col(f"{n}g")) for n in names])
+    within = F.expr(f"__p - __start * {wide}L")
+    spots = held.join(sizes, match).withColumn("__q", within).select(
+        "__p", F.expr("__q div __g").alias("__ri"), F.expr("__start + __q % __g").alias("__li")
+    )
+    right = ordinal.positions(minor.df, minor.order, "__n")
+    out = spots.join(numbered, F.col("__li") == F.col("__m")).join(right, F.col("__ri") == F.col("__n"))
+    return out.orderBy("__p").drop("__p", "__ri", "__li", "__m", "__n", *names)
