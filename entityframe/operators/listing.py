@@ -98,6 +98,15 @@ def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"))
 
 
+def page_info(found: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
+    """One row: the exact total and whether pages lie before and after this one."""
+    counted = F.col("total")
+    more = F.lit(False) if not limit else F.lit(offset + limit) < counted
+    return total(found).select(
+        "total", ((F.lit(offset) > 0) & (counted > 0)).alias("has_previous"), more.alias("has_next")
+    )
+
+
 def list_by_type(df: DataFrame, entity_type: str) -> DataFrame:
     """All entities of a type, newest first."""
     return df.filter(F.col("entity_type") == F.lit(entity_type)).orderBy(

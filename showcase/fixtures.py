@@ -325,7 +325,11 @@ def users_at_split(spark, sf) -> DataFrame:
 
 def user_changes(spark, sf) -> DataFrame:
     """Events from the split day on as changes: an error deletes the user, anything else updates."""
-    df = table(spark, sf, "events").filter(F.col("ts") >= F.lit(SPLIT).cast("timestamp_ntz"))
+    return changes_of(table(spark, sf, "events"))
+
+
+def changes_of(events: DataFrame) -> DataFrame:
+    df = events.filter(F.col("ts") >= F.lit(SPLIT).cast("timestamp_ntz"))
     op = F.when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE")
     return df.select(
         F.col("event_id").alias("seq"),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entityframe import EntitySchema, Field, PropertyFilter, tune
+from entityframe import EntitySchema, EntityStore, Field, PropertyFilter, tune
 from entityframe.functions import coerce
 from entityframe.functions.props import Bag
 from entityframe.operators import schemas, validation
-from entityframe.session import stage, staging_path
+from entityframe.session import staging_path
 from entityframe.sources import export, ingest
 from entityframe.sources.csv_files import raw_table, read_csv
 from entityframe.streaming import jobs
@@ -568,14 +568,47 @@ def stream_ingest(spark, sf):
     return stored.select("path", bag.typed("user", "bigint").alias("user"), bag.text("kind").alias("kind"), bag.number("value").alias("value"))
 
 
+def written(spark, sf) -> str:
+    """Run the whole ingest job of the raw events into a new folder."""
+    out = staging_path(spark, "written")
+    upload(spark, sf).write(f"{out}/entities", f"{out}/rejects", f"{out}/manifest", batch_id="b1")
+    return out
+
+
 @query(
+    RAW
+    + """
+    , n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY row_number) AS nth FROM good)
+    SELECT 'Event Upload' AS entity_type, 'event_upload.n' || user_id || CASE WHEN nth > 1 THEN '_' || nth ELSE '' END AS path,
+           CAST(amount AS DOUBLE) AS amount, kind FROM n
     """
-    SELECT 'order:' || o_orderkey AS id, o_orderpriority FROM orders
+)
+def ingest_append(spark, sf):
+    """Entities appended as one batch, partitioned by type, and loaded from the store."""
+    stored = EntityStore(mixed=spark.read.parquet(f"{written(spark, sf)}/entities"), organization=X.ORG).load("Event Upload")
+    bag = Bag.of(stored)
+    return stored.select("entity_type", "path", bag.number("amount").alias("amount"), bag.text("kind").alias("kind"))
+
+
+@query(
+    RAW
+    + """
+    SELECT row_number, 'events.csv' AS file_name FROM raw WHERE amount IN ('', 'n/a') ORDER BY row_number LIMIT 200
     """
 )
-def staged_append(spark, sf):
-    """Entities written once, partitioned by type, and loaded from the written store."""
-    tune(spark)
-    return stage(X.orders(spark, sf).select("id", F.col("@o_orderpriority").alias("o_orderpriority")), "append")
+def ingest_reject_log(spark, sf):
+    """The first page of the reject log of one file."""
+    log = spark.read.parquet(f"{written(spark, sf)}/rejects")
+    return ingest.reject_log(log, X.ORG, "Event Upload", "events.csv").select("row_number", "file_name")
 
 
+@query(
+    RAW
+    + """
+    SELECT 'COMPLETED' AS status, COUNT(*) FILTER (amount NOT IN ('', 'n/a')) AS rows_flushed, COUNT(*) FILTER (amount IN ('', 'n/a')) AS rows_rejected
+    FROM raw
+    """
+)
+def ingest_manifest(spark, sf):
+    """The manifest row a batch leaves, with counts observed while it was written."""
+    return spark.read.parquet(f"{written(spark, sf)}/manifest").select("status", "rows_flushed", "rows_rejected")

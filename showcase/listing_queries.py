@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from entityframe import PropertyFilter, tune
 from entityframe.functions import paths
 from entityframe.functions.props import Bag
-from entityframe.operators import links, listing, ordinal, tree
+from entityframe.operators import links, listing, ordinal, tree, writes
 from entityframe.operators.listing import Listing, PathFilter
 from showcase import fixtures as X
 from showcase.registry import query
@@ -65,6 +65,12 @@ def list_total(spark, sf):
     return listing.total(found)
 
 
+@query("SELECT COUNT(*) AS total, true AS has_previous, COUNT(*) > 45 AS has_next FROM orders WHERE o_orderstatus ILIKE '%f%'")
+def list_page_info(spark, sf):
+    found = listing.matching(X.orders(spark, sf), Listing(filters=(PropertyFilter("o_orderstatus", "f"),)))
+    return listing.page_info(found, 25, 20)
+
+
 TREE = """
     WITH tree AS (
       SELECT 'region:' || r_regionkey AS id, 'Region' AS entity_type, 'r' || r_regionkey AS path FROM region
@@ -398,3 +404,25 @@ def link_merge(spark, sf):
     asked = df.withColumn("__ask", F.array(F.concat(F.lit(" "), F.col("@o_custkey")), F.col("@partner"), F.lit(" "), F.col("@o_custkey")))
     merged = links.merge_links(asked, X.SCHEMAS["Order"], F.col("__ask"), X.text_id)
     return merged.select("id", F.array_join("properties.linked_ids", "|").alias("linked_ids"), "link_error")
+
+
+@query(
+    """
+    SELECT 'new:' || c_custkey AS id,
+           CASE WHEN c_nationkey IN (SELECT n_nationkey FROM nation) THEN 'an entity of type Nation already uses reference "NATION_' || c_nationkey || '"'
+             ELSE '' END || CASE WHEN c_mktsegment = 'BUILDING' THEN '; region: required field ''region'' is missing' ELSE '' END AS errors
+    FROM customer WHERE c_mktsegment <> 'FURNITURE'
+    UNION ALL SELECT 'new:' || c_custkey, CASE WHEN 'new:' || c_custkey = (SELECT MIN('new:' || c_custkey) FROM customer WHERE c_mktsegment = 'FURNITURE')
+      THEN '' ELSE 'an entity of type Nation already uses reference "UTOPIA"' END FROM customer WHERE c_mktsegment = 'FURNITURE'
+    """
+)
+def insert_checks(spark, sf):
+    """A batch of new entities: references taken by stored ones or repeated in the batch, and
+    missing fields."""
+    tune(spark)
+    name = F.when(F.col("c_mktsegment") == "FURNITURE", " UTOPIA ").otherwise(F.concat(F.lit("NATION_"), F.col("c_nationkey")))
+    region = F.when(F.col("c_mktsegment") != "BUILDING", F.lit("region:1"))
+    props = [F.col("c_custkey").alias("n_nationkey"), name.alias("n_name"), region.alias("region")]
+    new = X.entities_from(X.table(spark, sf, "customer"), "Nation", X.ref("new", "c_custkey"), props, organization=X.ORG)
+    checked = writes.check_inserts(new, X.SCHEMAS["Nation"], X.nations(spark, sf), id_norm=X.text_id)
+    return checked.select("id", F.array_join("errors", "; ").alias("errors"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from entityframe import tune
 from entityframe.operators import versions
+from entityframe.session import staging_path
+from entityframe.streaming import jobs
 from showcase import fixtures as X
 from showcase.registry import query
 
@@ -66,6 +68,18 @@ def apply_changes_current(spark, sf):
     return applied.current.select("id", "version", F.col("properties.kind").alias("kind"), F.col("properties.value").alias("value"))
 
 
+@query(CHAIN + "SELECT 'user:' || user_id AS id, CAST(version AS BIGINT) AS version, event_type AS kind, value FROM chain WHERE op <> 'DELETE' AND next_op IS NULL")
+def stream_history(spark, sf):
+    """The same changes arriving as a stream."""
+    tune(spark)
+    shape = spark.read.parquet(f"{sf}/events.parquet").schema
+    arriving = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf)
+    out, marks = staging_path(spark, "history"), staging_path(spark, "marks")
+    jobs.history_stream(X.changes_of(arriving), spark, out, marks, X.users_at_split(spark, sf)).awaitTermination()
+    current = spark.read.parquet(f"{out}/current/0")
+    return current.select("id", "version", F.col("properties.kind").alias("kind"), F.col("properties.value").alias("value"))
+
+
 @query(
     CHAIN
     + """
