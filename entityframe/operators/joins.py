@@ -36,25 +36,27 @@ def list_join(left: DataFrame, right: DataFrame, keys: Column, rkey: Column, how
     """Join each left row to the right rows whose key is among its distinct ``keys`` (an array).
 
     Whether a left row matches depends on its key list alone. Left and anti joins therefore find out
-    once per distinct list which of its keys exist, and give that to the rows; no row id is needed,
-    and a left row is opened only into keys that will match.
+    once per distinct list whether any of its keys exists, and tell the rows; no row id is needed.
     """
     lhs = left.withColumn("__keys", keys).drop(*drop)
     rhs = right.withColumn("__rk", rkey)
     if how == INNER:
         opened = lhs.withColumn("__lk", F.explode("__keys")).drop("__keys")
         return opened.join(rhs, F.col("__lk") == F.col("__rk")).drop("__lk", "__rk")
-    lists = lhs.select("__keys").filter(F.size("__keys") > 0).distinct()
+    lists = lhs.select("__keys").distinct()
     hits = lists.withColumn("__lk", F.explode("__keys")).join(
         rhs.select("__rk"), F.col("__lk") == F.col("__rk"), "left_semi"
     )
+    matched = hits.select(F.col("__keys").alias("__hit")).distinct()
+    same = F.col("__keys") == F.col("__hit")
     if how == ANTI:
-        matched = hits.select(F.col("__keys").alias("__hit")).distinct()
-        return lhs.join(matched, F.col("__keys") == F.col("__hit"), "left_anti").drop("__keys")
-    found = hits.groupBy(F.col("__keys").alias("__hit")).agg(F.collect_set("__lk").alias("__found"))
-    marked = lhs.join(found, F.col("__keys") == F.col("__hit"), "left")
-    opened = marked.withColumn("__lk", F.explode_outer("__found")).drop("__keys", "__hit", "__found")
-    return opened.join(rhs, F.col("__lk") == F.col("__rk"), "left").drop("__lk", "__rk")
+        return lhs.join(matched, same, "left_anti").drop("__keys")
+    marked = lhs.join(matched, same, "left").withColumn("__lone", F.col("__hit").isNull())
+    # A row without a match goes on once, with no key; the others with each of their keys.
+    no_key = F.array(F.lit(None).cast("string"))
+    opened = marked.withColumn("__lk", F.explode(F.when(F.col("__lone"), no_key).otherwise(F.col("__keys"))))
+    joined = opened.drop("__keys", "__hit").join(rhs, F.col("__lk") == F.col("__rk"), "left")
+    return joined.filter(F.col("__lone") | F.col("__rk").isNotNull()).drop("__lone", "__lk", "__rk")
 
 
 # --- saved joins --------------------------------------------------------------------------------
