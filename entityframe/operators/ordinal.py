@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,28 +53,6 @@ def page(df: DataFrame, order: list[Column], limit: int | None, offset: int = 0)
     return numbered.filter(wanted).orderBy("__pos").drop("__pos")
 
 
-def quantile_chunks(df: DataFrame, by: str, rows_per_chunk: int) -> Column:
-    """A chunk number that grows with ``by`` and splits the rows into even, bounded parts."""
-    total = df.count()
-    parts = math.ceil(total / rows_per_chunk)
-    if parts <= 1:
-        return F.lit(0)
-    shares = [i / parts for i in range(1, parts)]
-    value = order_number(df, by)
-    bounds = df.agg(F.percentile_approx(value, shares, 10 * parts).alias("b")).first()["b"]
-    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))])
-    return F.size(F.filter(cuts, lambda b: b < value))
-
-
-def order_number(df: DataFrame, by: str) -> Column:
-    kind = df.schema[by].dataType.typeName()
-    if kind == "timestamp":
-        return F.unix_micros(by)
-    if kind == "timestamp_ntz":
-        return F.unix_micros(F.col(by).cast("timestamp"))
-    return F.col(by)
-
-
 def running_totals(
     df: DataFrame,
     keys: list[str],
@@ -89,16 +65,17 @@ def running_totals(
 
     ``chunk`` must grow with the order. Rows are summed within (key, chunk), and one line per
     (key, chunk) carries the totals of the chunks before. Without a chunk the largest group is
-    counted first; only when it is too large are chunks cut, at quantiles of the first order column.
+    counted first; only when it is too large are the rows range-sorted and chunks cut by position.
     """
+    cols = df.columns
     if chunk is None:
         largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         if largest <= rows_per_chunk:
             w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
             return df.withColumns({n: F.sum(c).over(w) for n, c in totals.items()})
-        chunk = quantile_chunks(df, order[0], rows_per_chunk)
+        df = positions(df, [F.col(c).asc() for c in (*keys, *order)], "__pos")
+        chunk = F.floor(F.col("__pos") / rows_per_chunk)
 
-    cols = df.columns
     parted = df.withColumn("__chunk", chunk)
     w = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     within = parted.withColumns({n: F.sum(c).over(w) for n, c in totals.items()})

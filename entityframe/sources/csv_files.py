@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entityframe.functions.props import quoted
+from entityframe.functions.props import PROPERTY, quoted
 from entityframe.session import spread, stage
 
 HEADER_CANDIDATES = 10
@@ -20,7 +20,7 @@ HEAD_LINES = 1000
 class RawTable:
     """Text rows ready for ingestion.
 
-    ``df`` holds the text ``columns``, a ``row_number`` (of the record in its file, from 1) and the
+    ``df`` holds the cells of ``columns`` (named with a leading ``@``, apart from any other), a ``row_number`` (of the record in its file, from 1) and the
     ``order`` columns; ``chunk`` is a bounded slice number that grows with that order.
     """
 
@@ -32,13 +32,21 @@ class RawTable:
     header_row: int = 0
     candidates: list[tuple[int, list[str], bool]] = field(default_factory=list)
 
+    def cell(self, name: str) -> Column:
+        return F.col(quoted(PROPERTY + name))
+
+    def texts(self) -> DataFrame:
+        """The cells under their own names."""
+        return self.df.select(*[self.cell(c).alias(c) for c in self.columns])
+
 
 ROWS_PER_CHUNK = 1_000_000
 
 
 def raw_table(df: DataFrame, columns: list[str], row_number: str, header_row: int = 0) -> RawTable:
     """Text columns of any table, numbered by one of its columns."""
-    rows = df.select(*[quoted(c) for c in columns], F.col(row_number).cast("bigint").alias("row_number"))
+    cells = [F.col(quoted(c)).alias(PROPERTY + c) for c in columns]
+    rows = df.select(*cells, F.col(row_number).cast("bigint").alias("row_number"))
     chunk = F.floor(F.col("row_number") / ROWS_PER_CHUNK)
     rows = rows.filter(~all_blank(columns))
     return RawTable(rows, columns, ["row_number"], chunk, list(columns), header_row)
@@ -47,7 +55,7 @@ def raw_table(df: DataFrame, columns: list[str], row_number: str, header_row: in
 def all_blank(columns: list[str]) -> Column:
     blank = F.lit(True)
     for c in columns:
-        blank = blank & F.coalesce(F.trim(F.col(quoted(c))) == "", F.lit(True))
+        blank = blank & F.coalesce(F.trim(F.col(quoted(PROPERTY + c))) == "", F.lit(True))
     return blank
 
 
@@ -124,7 +132,7 @@ def read_csv(spark: SparkSession, path: str, header_row: int | None = None, mult
     )
     numbered = staged.join(offsets, ["__file", "__block"]).withColumn("row_number", F.col("__at") + F.col("__shift") + 1)
     body = numbered.filter(F.col("row_number") > at + 1).select(
-        *[F.col(c).alias(name) for c, name in zip(cells, columns)], "row_number", "__file", "__block"
+        *[F.col(c).alias(PROPERTY + name) for c, name in zip(cells, columns)], "row_number", "__file", "__block"
     )
     found = [(i, [c.strip() for c in row], i == at) for i, row in enumerate(head) if _full(row)]
     return RawTable(

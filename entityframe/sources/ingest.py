@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from entityframe.functions import coerce, values
-from entityframe.functions.props import Bag, quoted
+from entityframe.functions.props import PROPERTY, Bag
 from entityframe.model import COLUMNS, EntitySchema, Field
 from entityframe.operators import ordinal, schemas, validation
 from entityframe.session import stage, tune
@@ -28,7 +28,7 @@ def coerced(raw: RawTable, schema: EntitySchema) -> DataFrame:
     known = [(c, schema.field(c)) for c in raw.columns if schema.field(c) is not None]
     cells, typed, errors, props = {}, {}, [], []
     for i, (name, f) in enumerate(known):
-        text = F.trim(F.col(quoted(name)))
+        text = F.trim(raw.cell(name))
         cells[f"__cell{i}"] = F.when(text != "", text)
         typed[f"__value{i}"] = coerce.value(F.col(f"__cell{i}"), f.type).cast(schemas.cell_type(f.type))
         error = coerce.error(F.col(f"__cell{i}"), F.col(f"__value{i}"), f.type)
@@ -58,7 +58,7 @@ def checked(raw: RawTable, schema: EntitySchema, id_norm=values.uuid_norm, skip_
 def path_column(schema_name: str, raw: RawTable) -> Column:
     """``slug(schema).slug(first non-blank cell)``, with ``entity`` and ``row_N`` to fall back on."""
     base = coerce.slug(F.lit(schema_name))
-    cells = [F.nullif(F.trim(F.col(quoted(c))), F.lit("")) for c in raw.columns]
+    cells = [F.nullif(F.trim(raw.cell(c)), F.lit("")) for c in raw.columns]
     row = F.concat(F.lit("row_"), (F.col("row_number") - F.lit(raw.header_row + 1)).cast("string"))
     child = F.nullif(coerce.slug(F.coalesce(*cells)), F.lit(""))
     return F.concat(F.coalesce(F.nullif(base, F.lit("")), F.lit("entity")), F.lit("."), F.coalesce(child, row))
@@ -98,7 +98,7 @@ class Ingest:
         """Write the checked rows once; valid rows, rejects and counts are then read, not redone."""
         if self._staged is None:
             named = self.rows().withColumn("__base", path_column(self.schema.name, self.raw))
-            self._staged = stage(named.drop(*self.raw.columns), "ingest")
+            self._staged = stage(named.drop(*[PROPERTY + c for c in self.raw.columns]), "ingest")
         return self
 
     def valid(self) -> DataFrame:
@@ -148,11 +148,12 @@ class Ingest:
         )
 
     def preview(self, limit: int = PREVIEW_ROWS) -> DataFrame:
-        """First rows of the file with their trimmed cells and errors; nothing is written."""
+        """First rows of the file: ``row_number``, the trimmed cells as the struct ``values``, and
+        ``error``; nothing is written."""
         found = checked(self.raw, self.schema, self.id_norm, self.skip_validation)
         first = found.orderBy(*self.raw.order).limit(limit)
-        cells = [F.trim(F.coalesce(F.col(quoted(c)), F.lit(""))).alias(c) for c in self.raw.columns]
-        return first.select("row_number", *cells, "error")
+        cells = [F.trim(F.coalesce(self.raw.cell(c), F.lit(""))).alias(c) for c in self.raw.columns]
+        return first.select("row_number", F.struct(*cells).alias("values"), "error")
 
     def write(self, entities_path: str, rejects_path: str, manifest_path: str, batch_id: str | None = None) -> str:
         """Append entities, rejects and one manifest row.
@@ -271,7 +272,7 @@ def plan(
     if not schema_name.strip():
         raise ValueError("schema name is required")
     tune(raw.df.sparkSession)
-    table = schemas.infer(raw.df, raw.columns, overrides).orderBy("ordinal").collect()
+    table = schemas.infer(raw.texts(), raw.columns, overrides).orderBy("ordinal").collect()
     detected = [Field(r["field_name"], r["detected_type"], r["required"]) for r in table]
     wanted = [replace(d, type=r["field_type"]) for d, r in zip(detected, table)]
     if existing is None:

@@ -48,7 +48,7 @@ RAW = """
 )
 def ingest_profile(spark, sf):
     raw = X.raw_upload(spark, sf)
-    return schemas.profile(raw.df, raw.columns).drop("ordinal")
+    return schemas.profile(raw.texts(), raw.columns).drop("ordinal")
 
 
 @query(
@@ -67,7 +67,7 @@ def ingest_profile(spark, sf):
 )
 def ingest_infer_schema(spark, sf):
     raw = X.raw_upload(spark, sf)
-    return schemas.infer(raw.df, raw.columns, {"user": "string"}).drop("ordinal")
+    return schemas.infer(raw.texts(), raw.columns, {"user": "string"}).drop("ordinal")
 
 
 @query(
@@ -182,7 +182,7 @@ def ingest_summary(spark, sf):
 )
 def ingest_preview(spark, sf):
     """The first ten rows with their errors; nothing is written."""
-    return upload(spark, sf).preview()
+    return upload(spark, sf).preview().select("row_number", "values.*", "error")
 
 
 @query(

@@ -65,7 +65,7 @@ def test_partial_invalid(upload):
 def test_preview_errors(upload):
     existing = EntitySchema("Upload", (Field("name", "STRING", True), Field("age", "INTEGER")))
     rows = upload("name,age\nAlice,30\nBob,not_a_number\n", existing=existing).ingest.preview().collect()
-    assert [(r["row_number"], r["name"], r["error"] is not None) for r in rows] == [(2, "Alice", False), (3, "Bob", True)]
+    assert [(r["row_number"], r["values"]["name"], r["error"] is not None) for r in rows] == [(2, "Alice", False), (3, "Bob", True)]
 
 
 def test_override(upload):
@@ -85,10 +85,18 @@ def test_messy_file(upload):
     plan = upload(text)
     raw = plan.ingest.raw
     assert raw.columns == ["a_b", "a_b_2", "column_3", "x_y"]
-    rows = raw.df.orderBy("row_number").select(*raw.columns).collect()
+    rows = raw.df.orderBy("row_number").select(*[raw.cell(c) for c in raw.columns]).collect()
     assert [tuple(r) for r in rows] == [("1", "two ", "3", 'q, "r"'), ("4", "5", None, None), ("6", "7", "8", "9")]
 
 
+def test_headers_may_be_any_name(upload):
+    plan = upload("row_number,properties,error,__base,path\n7,a,b,c,d\n8,a,,c,d\n")
+    assert [k[0] for k in kinds(plan)] == ["row_number", "properties", "error", "base", "path"]
+    got = plan.ingest.valid().select("row_number", "path", "properties.row_number", "properties.properties", "properties.path")
+    assert sorted(map(tuple, got.collect())) == [(2, "upload.n7", 7, "a", "d"), (3, "upload.n8", 8, "a", "d")]
+    assert plan.ingest.preview().count() == 2
+
+
 def test_header_cleaning():
     assert clean_headers([" Name ", "name", "name", "a.b c-d", "", "__x__"]) == ["Name", "name", "name_2", "a_b_c_d", "column_5", "x"]
 
@@ -147,7 +155,7 @@ def test_multi_block_row_numbers(spark, tmp_path):
     try:
         raw = read_csv(spark, str(path))
         assert raw.df.select("__block").distinct().count() > 5
-        assert raw.df.filter(F.col("row_number") != F.col("k").try_cast("int") + 2).count() == 0
+        assert raw.df.filter(F.col("row_number") != F.col("@k").try_cast("int") + 2).count() == 0
         assert raw.df.count() == 20_000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
