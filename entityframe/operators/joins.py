@@ -222,7 +222,8 @@ def _cross(left: Records, right: Records, criteria, limit, offset, allow_cartesi
         return JoinResult(_edges(both, both.df), total)
     if not allow_cartesian:
         raise CartesianError("a whole cross join needs allow_cartesian=True; pass a limit to page it")
-    both = _both(left, right, left.df.crossJoin(right.df))
+    pairs = product.whole([product.Factor(left.df, _newest(left, "l")), product.Factor(right.df, _newest(right, "r"))])
+    both = _both(left, right, pairs)
     keys = [_sort_key(both, s) for s in criteria]
     rest = [*behind.order, *ties] if follow else [*ties, *behind.order]
     return JoinResult(_edges(both, ordinal.page(both.df, [*keys, *rest], limit, offset)), total)

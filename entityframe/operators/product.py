@@ -31,16 +31,23 @@ def total(factors: list[Factor]) -> DataFrame:
     return joined.select(size.alias("total"))
 
 
-def page(factors: list[Factor], limit: int, offset: int = 0, at: str | None = None) -> DataFrame:
-    """Rows ``[offset, offset + limit)`` of the product in factor-major order.
+def whole(factors: list[Factor]) -> DataFrame:
+    """Every row of the product, unordered: its positions spread over the cluster, each joined to
+    the factors on equality."""
+    return _rows(factors, None, 0).drop("__p")
 
-    ``at`` names a column that keeps the position.
-    """
+
+def page(factors: list[Factor], limit: int, offset: int = 0) -> DataFrame:
+    """Rows ``[offset, offset + limit)`` of the product in factor-major order."""
+    return _rows(factors, limit, offset).orderBy("__p").drop("__p")
+
+
+def _rows(factors: list[Factor], limit: int | None, offset: int) -> DataFrame:
     spark = factors[0].df.sparkSession
     sizes = [f.df.count() for f in factors]
     rows = reduce(lambda a, b: a * b, sizes)
-    first, last = max(offset, 0), min(max(offset, 0) + limit, rows)
-    name = at or "__p"
+    first, last = max(offset, 0), rows if limit is None else min(max(offset, 0) + limit, rows)
+    name = "__p"
     out = spark.range(first, max(first, last)).withColumnRenamed("id", name)
     stride = rows
     for i, (factor, size) in enumerate(zip(factors, sizes)):
@@ -53,8 +60,7 @@ def page(factors: list[Factor], limit: int, offset: int = 0, at: str | None = No
             out = out.withColumn("__at", F.expr(f"{name} div {stride} % {size}"))
         out = out.join(indexed.withColumnRenamed("__i", f"__i{i}"), F.col("__at") == F.col(f"__i{i}"))
         out = out.drop("__at", f"__i{i}")
-    out = out.orderBy(name)
-    return out if at else out.drop(name)
+    return out
 
 
 def _slice(factor: Factor, size: int, low: int, high: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from entityframe.functions import values
 from entityframe.functions.props import Bag, quoted
 from entityframe.model import ENVELOPE, FieldType, PropertyFilter
-from entityframe.operators import joins, predicates
+from entityframe.operators import joins, predicates, product
 from entityframe.operators.joins import ANTI, INNER, LEFT, CartesianError
 from entityframe.plans import nodes as N
 from entityframe.plans.records import ENVELOPE_TYPES, AliasInfo, Records, entity_columns, load_expressions
@@ -75,7 +75,8 @@ class Compiler:
             return r
         if not self.options.allow_cartesian:
             raise CartesianError("a whole cross product needs allow_cartesian=True; paginate it instead")
-        return replace(r, df=reduce(DataFrame.crossJoin, [f.df for f in r.factors]), factors=[])
+        parts = [product.Factor(f.df, f.order_columns()) for f in r.factors]
+        return replace(r, df=product.whole(parts), factors=[])
 
     # --- one input ------------------------------------------------------------------------------
 
@@ -360,14 +361,18 @@ class Compiler:
             order = [o for f in fs for o in f.order]
             return Records(None, aliases, order, any(f.sorted for f in fs), factors=fs)
         left, right = self._sides(node, left, right)
-        if how == ANTI:  # rows survive only when there is nothing to pair them with
-            empty = right.df.limit(1).agg(F.count("*").alias("__n"))
-            df = left.df.withColumn("__one", F.lit(0).cast("bigint")).join(empty, F.col("__one") == F.col("__n"))
-            return left.with_df(df.drop("__one", "__n"), counter=None)
+        # Left rows that stay alone: all of them when there is nothing to pair them with, else none.
+        empty = right.df.limit(1).agg(F.count("*").alias("__n"))
+        alone = left.df.withColumn("__one", F.lit(0).cast("bigint")).join(empty, F.col("__one") == F.col("__n"))
+        alone = alone.drop("__one", "__n")
+        if how == ANTI:
+            return left.with_df(alone, counter=None)
         if not self.options.allow_cartesian:
             raise CartesianError("a left join without a field needs allow_cartesian=True")
         clash = [c for a in left.aliases if a in right.aliases for c in left.columns_of(a)]
-        return self._merged(left.df.drop(*clash).join(right.df, F.lit(True), "left"), how, left, right)
+        sides = [product.Factor(left.df.drop(*clash), left.order_columns()), product.Factor(right.df, right.order_columns())]
+        pairs = product.whole(sides).unionByName(alone.drop(*clash), allowMissingColumns=True)
+        return self._merged(pairs, how, left, right)
 
     # --- union ----------------------------------------------------------------------------------
 

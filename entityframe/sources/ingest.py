@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from entityframe.functions import coerce, values
 from entityframe.functions.props import PROPERTY, Bag
-from entityframe.model import COLUMNS, EntitySchema, Field
+from entityframe.model import EntitySchema, Field
 from entityframe.operators import ordinal, schemas, validation
 from entityframe.session import stage, tune
 from entityframe.sources.csv_files import RawTable

@@ -67,7 +67,7 @@ FLAGSHIP = (
     """
 )
 def dag_flagship(spark, sf):
-    """A page of the sorted join: the report the reference would show."""
+    """A page of the sorted join, as a report shows it."""
     nodes = (*FLAGSHIP, Sort("s", ("row",), "row", "customer"), Paginate("p", ("s",), 100, 50))
     return flat(run(spark, sf, nodes, ("Order", "Customer")))
 

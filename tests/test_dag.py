@@ -189,7 +189,13 @@ def test_cartesian_chain_is_paged_without_a_product(spark):
 def test_whole_cross_product_on_request(spark):
     st = store({t: typed(spark, t, "idx int", [(f"{t}{i}", i) for i in range(n)]) for t, n in {"A": 3, "B": 4}.items()})
     nodes = [Load("a", (), "a", "A"), Load("b", (), "b", "B"), Join("ab", ("a", "b"), "a", "b", "")]
+    whole = run(nodes, st, Options(allow_cartesian=True)).frame()
+    assert len(set(whole.select("a.id", "b.id").collect())) == whole.count() == 12
+    nodes[2] = LeftJoin("ab", ("a", "b"), "a", "b", "")
     assert run(nodes, st, Options(allow_cartesian=True)).frame().count() == 12
+    nodes[1] = Load("b", (), "b", "B", (PropertyFilter("idx", "77"),))
+    alone = run(nodes, st, Options(allow_cartesian=True)).frame().select("a.id", "b.id").collect()
+    assert sorted(r[0] for r in alone) == ["A0", "A1", "A2"] and {r[1] for r in alone} == {None}
 
 
 def test_anti_join_without_a_field(spark):

@@ -3,7 +3,7 @@
 import pytest
 
 from entityframe.session import shared_dir
-from showcase import dag_queries, fixtures as X, ingest_queries, join_queries, listing_queries, version_queries  # noqa: F401
+import __spark_entry__  # noqa: F401
 from showcase.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
