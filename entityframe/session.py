@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,7 @@ RUNTIME_CONF = {
 # recording a call site for each would be most of the build time.
 STARTUP_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
-_local_dir: str | None = None
+_shared: str | None = None
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -42,20 +41,18 @@ def builder(app: str = "entityframe") -> SparkSession.Builder:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
+def use_shared_dir(path: str) -> None:
+    """Name the shared folder for sessions whose ``spark.checkpoint.dir`` is unset, as local tests do."""
+    global _shared
+    _shared = path
 
-    Only a local session without that setting gets a temporary folder.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else what ``use_shared_dir`` was told."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or _shared
+    if not found:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    global _local_dir
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="entityframe-")
-    return _local_dir
+    return found.rstrip("/")
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -68,15 +65,19 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/entityframe/{label}-{uuid.uuid4().hex}"
+    """A new folder below the shared one; the session deletes it when it ends."""
+    path = f"{shared_dir(spark)}/entityframe/{label}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts lineage so that values which depend on physical placement (row ids) are fixed once and
     survive lost executors; later reads still prune columns.
     """
     path = staging_path(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.option("compression", codec).mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

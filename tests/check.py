@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -71,6 +72,7 @@ def session(cores=8):
 
     spark = (
         builder("check").master(f"local[{cores}]")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="entityframe-"))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -13,7 +13,7 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query(spark, duck, name):
     problems, _ = compare(spark, duck, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert not problems
