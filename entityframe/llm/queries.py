@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entityframe.llm import quality_rules
+from entityframe.llm import quality_model, quality_rules
 from entityframe.llm.text import STOP_WORDS
 
 QUERIES: dict = {}
@@ -35,7 +35,7 @@ with base as (
     from documents
 ), runs as (
     select doc_id, i, count(*) over (partition by doc_id, run) as times
-    from (select doc_id, i, words[i : i + 7] as run from (select doc_id, words, unnest(range(1, len(words) - 6)) as i from base))
+    from (select doc_id, i, hash(words[i : i + 7]) as run from (select doc_id, words, unnest(range(1, len(words) - 6)) as i from base))
 ), repeated as (
     select doc_id, count(distinct k) as n from (select doc_id, unnest(range(i, i + 8)) as k from runs where times > 1) group by doc_id
 ), counted as (
@@ -62,3 +62,9 @@ from shares
 @query(RULES_SQL)
 def op6_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_quality_rule_ensemble(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.learn(docs, table(spark, sf_dir, "labels")))
