@@ -3,3 +3,20 @@
 Nothing outside this package (and ``corpus_pipeline.py``) imports it. Every operator takes and returns DataFrames, reads
 only the columns it is told to, and leaves other columns alone.
 """
+
+from __future__ import annotations
+
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per application, so that tasks can import it wherever it is installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        context.addFile(str(Path(__file__).resolve().parent.parent), recursive=True)
+        _shipped.add(context.applicationId)
+    return spark

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entityframe.llm import quality_model, quality_rules
+from entityframe.llm import near_dup, quality_model, quality_rules
 from entityframe.llm.text import STOP_WORDS
 
 QUERIES: dict = {}
@@ -68,3 +68,8 @@ def op6_quality_rules(spark, sf_dir):
 def op1_quality_rule_ensemble(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality_model.score(docs, quality_model.learn(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op2_minmax_near_dedup(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
