@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from entityframe.llm import near_dup, quality_model, quality_rules
+from entityframe.llm import line_dedup, near_dup, quality_model, quality_rules
 from entityframe.llm.text import STOP_WORDS
 
 QUERIES: dict = {}
@@ -73,3 +74,9 @@ def op1_quality_rule_ensemble(spark, sf_dir):
 @query()
 def op2_minmax_near_dedup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query()
+def op9_fuzzy_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
