@@ -63,16 +63,18 @@ def stop_words(words: Column) -> Column:
     return T.long_size(F.filter(words, lambda w: F.lower(w).isin(known)))
 
 
-def judge(docs: DataFrame, rules: tuple[Threshold, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Threshold, ...] = RULES, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: the base measures, the ratios the rules read, ``base_failed`` and ``kept``.
 
     ``base_failed``: under 20 words, or over 30 % of the words lie in an 8-word window that the text holds twice or more.
-    ``kept`` is false if that holds or a threshold is broken.
+    ``kept`` is false if that holds or a threshold is broken. Columns in ``carry`` come along in a struct ``row``.
     """
     t = F.col("__text")
-    counted = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).select("doc_id", *[c.alias(n) for n, c in measures(t).items()])
+    row = [F.struct(*carry).alias("row")] if carry else []
+    kept = ["doc_id", *["row" for _ in row]]
+    counted = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"), *row).select(*kept, *[c.alias(n) for n, c in measures(t).items()])
     based = counted.select(
-        "doc_id",
+        *kept,
         T.long_size(F.col("__words")).alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         "n_symbols",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityframe.llm import line_dedup, near_dup, quality_model, quality_rules
+from entityframe.llm import line_dedup, mixing, near_dup, packing, quality_model, quality_rules
 from entityframe.llm.text import STOP_WORDS
 
 QUERIES: dict = {}
@@ -80,3 +80,14 @@ def op2_minmax_near_dedup(spark, sf_dir):
 def op9_fuzzy_line_dedup(spark, sf_dir):
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query()
+def op10_pfair_mixing(spark, sf_dir):
+    out = mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return out.select("doc_id", "source", "block", "release", "deadline", "slot", "in_block")
+
+
+@query()
+def op3_conflict_best_fit(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
