@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityframe.llm import line_dedup, mixing, near_dup, packing, quality_model, quality_rules
+from entityframe.llm import license_scan, line_dedup, mixing, near_dup, packing, quality_model, quality_rules
 from entityframe.llm.text import STOP_WORDS
 
 QUERIES: dict = {}
@@ -91,3 +91,8 @@ def op10_pfair_mixing(spark, sf_dir):
 @query()
 def op3_conflict_best_fit(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
