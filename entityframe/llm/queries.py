@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityframe.llm import license_scan, line_dedup, mixing, near_dup, packing, quality_model, quality_rules
+from entityframe.llm import license_scan, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, token_files, vp_search
 from entityframe.llm.text import STOP_WORDS
 
 QUERIES: dict = {}
@@ -96,3 +96,19 @@ def op3_conflict_best_fit(spark, sf_dir):
 @query()
 def op5_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op8_simple8b_token_files(spark, sf_dir):
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query()
+def op7_vantage_point_search(spark, sf_dir):
+    return vp_search.nearest(table(spark, sf_dir, "embeddings"))
