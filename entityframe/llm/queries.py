@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityframe.llm import license_scan, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, token_files, vp_search
+from entityframe.llm import license_scan, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, suffix_dedup, token_files, vp_search
 from entityframe.llm.text import STOP_WORDS
 
 QUERIES: dict = {}
@@ -112,3 +112,8 @@ def op8_simple8b_token_files(spark, sf_dir):
 @query()
 def op7_vantage_point_search(spark, sf_dir):
     return vp_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op4_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
