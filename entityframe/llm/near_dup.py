@@ -123,9 +123,10 @@ def block_links(ids: np.ndarray, groups: np.ndarray, sides: np.ndarray, sets: li
     step = max(1, (32 << 20) // max(1, 4 * len(sets)))
     order = np.argsort(token, kind="stable")
     owner, token = owner[order], token[order]
-    for at in range(0, int(token[-1]) + 1 if len(token) else 0, step):
+    tokens = int(token[-1]) + 1 if len(token) else 0
+    for at in range(0, tokens, step):
         lo, hi = np.searchsorted(token, [at, at + step])
-        has = np.zeros((len(sets), step), dtype=np.float32)
+        has = np.zeros((len(sets), min(step, tokens - at)), dtype=np.float32)
         has[owner[lo:hi], token[lo:hi] - at] = 1
         inter += has @ has.T
     linked = 100 * inter.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - inter.astype(np.int64))
