@@ -79,7 +79,7 @@ class Search:
     def _reach(self, who: np.ndarray) -> np.ndarray:
         """Lifted distance of the k-th neighbour so far, with room for rounding."""
         worst = self.scores[who, -1]
-        square = 2 * self.largest**2 - 2 * self.largest * worst * self.largest / self.norms[who]
+        square = 2 * self.largest**2 - 2 * self.largest * worst / self.norms[who]
         return np.where(np.isinf(worst), np.inf, np.sqrt(np.maximum(square, 0.0)) + 1e-7 * self.largest)
 
     def _visit(self, node: Node, who: np.ndarray) -> None:
