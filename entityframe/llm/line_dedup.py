@@ -95,10 +95,16 @@ def _links_in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     mixed = sizes.filter("low < high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = members.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(sets, "key")
     # A block is a share of a bucket of about BLOCK rows, so its list is bounded whatever the size of the bucket.
-    blocks = rows.groupBy("bucket", "blocks", "block").agg(F.collect_list(F.struct("key", "component", "hashes")).alias("items"))
+    blocks = rows.groupBy("bucket", "blocks", "block").agg(F.collect_list(F.struct("key", "component", "hashes", "bands")).alias("items"))
     first = blocks.select("bucket", F.col("items").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     pairs = first.join(blocks.select("bucket", "block", F.col("items").alias("right")), ["bucket", "block"])
-    differ = lambda x, y: (x["component"] != y["component"]) & similar(x["hashes"], y["hashes"])
+
+    def differ(x: Column, y: Column) -> Column:
+        # A pair may share several buckets; it is looked at in that of its first common band.
+        common = [F.when(F.get(x["bands"], F.lit(k)) == F.get(y["bands"], F.lit(k)), F.get(x["bands"], F.lit(k))) for k in range(BANDS)]
+        own = F.when(x["component"] != y["component"], F.coalesce(*common) == F.col("bucket"))
+        return F.when(own, similar(x["hashes"], y["hashes"])).otherwise(F.lit(False))
+
     of_one = lambda x: F.transform(F.filter("right", lambda y: differ(x, y)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))
     return pairs.select(F.explode(F.flatten(F.transform("left", of_one))).alias("p")).select("p.a", "p.b").distinct()
 
@@ -116,11 +122,12 @@ def line_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     wanted = members.select("key").distinct()
     norms = lines.select("key", "norm").join(wanted, "key").groupBy("key").agg(F.first("norm").alias("norm"))
-    sets = stage(norms.select("key", shingle_hashes(F.col("norm")).alias("hashes")), "line-sets", "zstd")
+    hashed = norms.select("key", shingle_hashes(F.col("norm")).alias("hashes"))
+    sets = stage(hashed.select("*", band_keys(signature(F.col("hashes"))).alias("bands")), "line-sets", "zstd")
 
     pairs = members.filter("key <> hub").select("hub", "key").distinct()
     hub_sets = sets.select(F.col("key").alias("hub"), F.col("hashes").alias("hub_hashes"))
-    checked = pairs.join(sets, "key").join(hub_sets, "hub").filter(similar(F.col("hub_hashes"), F.col("hashes")))
+    checked = pairs.join(sets.drop("bands"), "key").join(hub_sets, "hub").filter(similar(F.col("hub_hashes"), F.col("hashes")))
     links = stage(checked.select(F.col("hub").alias("a"), F.col("key").alias("b")), "line-links")
 
     first_round = components(links).withColumnRenamed("id", "key")
