@@ -15,7 +15,9 @@ def double_text(c: Column) -> Column:
     """Plain decimal text: integral doubles without a fraction, no exponent in the usual range."""
     size = F.abs(c)
     whole = (c == F.floor(c)) & (size < 1e15)
-    plain = F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"), "0+$", "")
+    # 17 significant digits of the smallest value in range end 26 places behind the point.
+    small = F.regexp_replace(c.try_cast("decimal(38,27)").cast("string"), "0+$", "")
+    plain = F.when(size < 1e9, small).otherwise(F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"), "0+$", ""))
     return (
         F.when(whole, c.try_cast("bigint").cast("string"))
         .when((size >= 1e-9) & (size < 1e15), plain)

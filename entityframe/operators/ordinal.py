@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from entityframe.session import stage
 
-# A window group, or a page sorted through one task, holds at most this many rows.
+# A window group holds at most this many rows.
 ROWS_PER_CHUNK = 1_000_000
-TOP_ROWS = 100_000
+# The documented default pages (20 to 200 rows) are a top-k: every split passes on that many rows at
+# most, so 100 000 splits pass 25 million. Every larger page is cut by position.
+TOP_ROWS = 250
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
@@ -37,8 +39,8 @@ def positions(df: DataFrame, order: list[Column], name: str = "pos") -> DataFram
 def page(df: DataFrame, order: list[Column], limit: int | None, offset: int = 0) -> DataFrame:
     """Rows ``[offset, offset + limit)`` under a total order; a limit of None or 0 means all.
 
-    Shallow pages are a top-k; deep ones, which a top-k would carry through one task, are cut by
-    position instead.
+    Pages that end within the first ``TOP_ROWS`` rows are a top-k; all others, which a top-k would
+    carry through one task, are cut by position.
     """
     limit = limit or None
     offset = max(offset or 0, 0)
@@ -64,15 +66,11 @@ def running_totals(
     """Add inclusive running sums per key under an order, safe for a key that holds most rows.
 
     ``chunk`` must grow with the order. Rows are summed within (key, chunk), and one line per
-    (key, chunk) carries the totals of the chunks before. Without a chunk the largest group is
-    counted first; only when it is too large are the rows range-sorted and chunks cut by position.
+    (key, chunk) carries the totals of the chunks before. Without a chunk the rows are range-sorted
+    and chunks cut by position, whatever the size of the groups.
     """
     cols = df.columns
     if chunk is None:
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if largest <= rows_per_chunk:
-            w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-            return df.withColumns({n: F.sum(c).over(w) for n, c in totals.items()})
         df = positions(df, [F.col(c).asc() for c in (*keys, *order)], "__pos")
         chunk = F.floor(F.col("__pos") / rows_per_chunk)
 
@@ -107,3 +105,21 @@ def rank_in_group(
 ) -> DataFrame:
     """1-based row number per key under an order that is total within the key."""
     return running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, chunk, rows_per_chunk)
+
+
+def last_before(df: DataFrame, keys: list[str], order: str, value: Column, name: str, chunk: Column) -> DataFrame:
+    """Add the last non-null ``value`` of the key's rows before a row; ``order`` is total in the key.
+
+    Like ``running_totals``, within bounded chunks plus one carried line per chunk.
+    """
+    marked = df.withColumns({"__mark": F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.alias("v"))), "__chunk": chunk})
+    w = Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = marked.withColumn("__own", F.max("__mark").over(w))
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marked.groupBy(*keys, "__chunk").agg(F.max("__mark").alias("__most")).withColumn("__past", F.max("__most").over(before))
+    carried = carried.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__chunk").alias("__k_chunk"), "__past")
+    match = F.col("__chunk") == F.col("__k_chunk")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    joined = within.join(carried, match, "left")
+    return joined.select(*df.columns, F.coalesce("__own", "__past")["v"].alias(name))

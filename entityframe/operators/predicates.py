@@ -36,6 +36,18 @@ def property_filters(bag: Bag, filters) -> Column:
     return all_of(tests)
 
 
+def pattern(term: str) -> str:
+    """A contains pattern: ``%`` and ``_`` are wildcards, and a backslash makes the next character plain."""
+    out, rest = [], iter(term)
+    for c in rest:
+        if c == "\\":
+            c = next(rest, "\\")
+            out.append("\\" + c if c in "%_\\" else c)
+        else:
+            out.append(c)
+    return f"%{''.join(out)}%"
+
+
 def listing_filters(bag: Bag, filters) -> Column:
     """Listing rules: case-insensitive contains; a blank value asks only for a non-null one.
 
@@ -47,7 +59,7 @@ def listing_filters(bag: Bag, filters) -> Column:
             continue
         text = bag.text(f.key.strip())
         wanted = (f.value or "").strip()
-        tests.append(text.ilike(f"%{wanted}%") if wanted else text.isNotNull())
+        tests.append(text.ilike(pattern(wanted)) if wanted else text.isNotNull())
     return all_of(tests)
 
 
@@ -76,7 +88,7 @@ def text_search(bag: Bag, term: str) -> Column:
     wanted = (term or "").strip()
     if not wanted:
         return F.lit(True)
-    like = f"%{wanted}%"
+    like = pattern(wanted)
     texts = [F.col("entity_type"), F.col("path"), bag.json()]
     return reduce(lambda a, b: a | b, [F.coalesce(t.ilike(like), F.lit(False)) for t in texts])
 

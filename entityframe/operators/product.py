@@ -1,4 +1,4 @@
-"""Pages and totals of a cross product, without forming the product.
+"""Pages and totals of a cross product, without forming the product; the whole of it is a cross join.
 
 Row ``p`` of the product of sorted factors is found by arithmetic: the index into a factor is
 ``p // (rows of all later factors) % rows of this factor``. A page therefore needs only a short
@@ -32,9 +32,9 @@ def total(factors: list[Factor]) -> DataFrame:
 
 
 def whole(factors: list[Factor]) -> DataFrame:
-    """Every row of the product, unordered: its positions spread over the cluster, each joined to
-    the factors on equality."""
-    return _rows(factors, None, 0).drop("__p")
+    """Every row of the product, unordered. This is the cross join it looks like, with as many rows as
+    the product of the counts: callers ask for it with ``allow_cartesian=True`` only."""
+    return reduce(lambda a, b: a.crossJoin(b), [f.df for f in factors])
 
 
 def page(factors: list[Factor], limit: int, offset: int = 0) -> DataFrame:
@@ -42,11 +42,11 @@ def page(factors: list[Factor], limit: int, offset: int = 0) -> DataFrame:
     return _rows(factors, limit, offset).orderBy("__p").drop("__p")
 
 
-def _rows(factors: list[Factor], limit: int | None, offset: int) -> DataFrame:
+def _rows(factors: list[Factor], limit: int, offset: int) -> DataFrame:
     spark = factors[0].df.sparkSession
     sizes = [f.df.count() for f in factors]
     rows = reduce(lambda a, b: a * b, sizes)
-    first, last = max(offset, 0), rows if limit is None else min(max(offset, 0) + limit, rows)
+    first, last = max(offset, 0), min(max(offset, 0) + limit, rows)
     name = "__p"
     out = spark.range(first, max(first, last)).withColumnRenamed("id", name)
     stride = rows

@@ -95,6 +95,11 @@ def compatible(existing: FieldType, detected: FieldType) -> bool:
     return existing is detected or (existing is FieldType.FLOAT and detected is FieldType.INTEGER)
 
 
+def field_of(schema: EntitySchema, name: str) -> Field | None:
+    """A field by its name, case aside, as columns are told apart; the exact spelling goes first."""
+    return schema.field(name) or next((f for f in schema.fields if f.name.casefold() == name.casefold()), None)
+
+
 @dataclass(frozen=True)
 class SchemaChange:
     field: str
@@ -113,15 +118,16 @@ class Reconciled:
 
 def reconcile(existing: EntitySchema, detected: list[Field]) -> Reconciled:
     """Extend a schema by what a file holds: new fields are added, clashing types reported and
-    kept, and a field becomes required when the file has it in every row."""
+    kept, and a field becomes required when the file has it in every row. Names compare without case."""
     schema, added, changes, updated = existing, [], [], False
     for d in detected:
-        have = schema.field(d.name)
+        have = field_of(schema, d.name)
         if have is None:
             schema, updated = schema.with_field(d), True
             added.append(d.name)
             continue
         if not compatible(have.type, d.type):
+            # Fixed value: the wording users of the upload log know.
             message = f"field {d.name} type mismatch: existing={have.type.value}, detected={d.type.value}"
             changes.append(SchemaChange(d.name, message, have.type.value, d.type.value))
         if d.required and not have.required:

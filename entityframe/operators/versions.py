@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from entityframe.functions.props import Bag
 from entityframe.model import COLUMNS
 from entityframe.operators import ordinal
+from entityframe.session import stage
 from entityframe.sources.tables import packed
 
 IMAGE = ("organization_id", "schema_id", "entity_type", "path", "properties")
@@ -21,7 +22,7 @@ HISTORY = (
     "changed_at",
     "reason",
 )
-INSERT, UPDATE, DELETE, ROLLBACK = "INSERT", "UPDATE", "DELETE", "ROLLBACK"
+INSERT, UPDATE, UPSERT, DELETE, ROLLBACK = "INSERT", "UPDATE", "UPSERT", "DELETE", "ROLLBACK"
 
 
 def max_versions(history: DataFrame) -> DataFrame:
@@ -30,11 +31,32 @@ def max_versions(history: DataFrame) -> DataFrame:
 
 
 class Applied:
-    """Outcome of a batch of changes: the new current rows and the rows to append to history."""
+    """Outcome of a batch of changes: the new current rows, the rows to append to history, and the
+    changes that were refused (``seq, id, op, reason``)."""
 
-    def __init__(self, current: DataFrame, archived: DataFrame):
+    def __init__(self, current: DataFrame, archived: DataFrame, refused: DataFrame | None = None):
         self.current = current
         self.archived = archived
+        self.refused = refused
+
+
+def _checked(chain: DataFrame, chunk: Column) -> DataFrame:
+    """Add ``__refused``, why a change cannot be applied (null if it can).
+
+    What exists before a change follows from the last change before it that settles the matter: an
+    insert, upsert or rollback leaves the entity there, a delete leaves it gone, whether or not they
+    were refused; an update settles nothing.
+    """
+    op = F.col("op")
+    settles = F.when(op.isin("START", INSERT, UPSERT, ROLLBACK), F.lit(True)).when(op == DELETE, F.lit(False))
+    told = ordinal.last_before(chain, ["id"], "seq", settles, "__there", chunk)
+    there = F.coalesce("__there", F.lit(False))
+    reason = (
+        F.when(~F.coalesce(op.isin("START", INSERT, UPDATE, UPSERT, DELETE, ROLLBACK), F.lit(False)), F.lit("unknown operation"))
+        .when((op == INSERT) & there, F.lit("entity already exists"))
+        .when(op.isin(UPDATE, DELETE) & ~there, F.lit("entity not found"))
+    )
+    return told.withColumn("__refused", reason).drop("__there")
 
 
 def apply_changes(
@@ -44,16 +66,22 @@ def apply_changes(
     chunk: Column | None = None,
     rows_per_chunk: int = ordinal.ROWS_PER_CHUNK,
 ) -> Applied:
-    """Apply inserts, updates, deletes and rollbacks in the order of ``seq``.
+    """Apply inserts, updates, upserts, deletes and rollbacks in the order of ``seq``.
 
     ``changes`` has the columns ``seq`` (total per entity), ``op``, ``id``, the whole new image
     (``organization_id`` … ``properties``; null for a delete), ``changed_at`` and ``reason``, and
     optionally ``original_created_at``. Several changes to one entity form a chain: every image
     that is replaced or deleted is archived under the change that ended it, and each new image
-    takes the next version. An entity that is gone continues from its highest archived version.
+    takes the next version.
+
+    An INSERT of an entity that is there, an UPDATE or DELETE of one that is not (never was, or is
+    deleted by then), and an unknown op are refused and change nothing. An UPSERT writes either way;
+    it, an INSERT or a ROLLBACK brings a deleted entity back, which then continues from its highest
+    archived version.
 
-    Chains are numbered by chunked running sums and linked by an equi-join on (id, number), so one
-    entity may take most of the changes.
+    The chains of touched entities are written once to the shared folder with their numbers; both
+    outcomes are read from there. Chains are numbered by running sums over slices of ``seq`` and
+    linked by an equi-join on (id, number), so one entity may take most of the changes.
     """
     current = packed(current)
     stamped = changes if "original_created_at" in changes.columns else changes.withColumn(
@@ -67,55 +95,53 @@ def apply_changes(
         F.col("changed_at").cast("timestamp").alias("changed_at"),
         "reason",
         "original_created_at",
+        F.lit(None).cast("bigint").alias("__live"),
+        F.lit(None).cast("timestamp").alias("__created"),
     )
-    touched = incoming.groupBy("id").agg(
-        F.min("changed_at").alias("__born"), F.min("original_created_at").alias("__original")
-    )
-    live = current.join(touched.select("id"), "id", "left_semi")
-
-    # Where each chain starts: the live version, else the highest archived one, else nothing.
-    base = touched.join(
-        live.select("id", F.col("version").alias("__live"), F.col("created_at").alias("__created")), "id", "left"
-    )
-    if history is not None:
-        past = max_versions(history).select(F.col("entity_id").alias("id"), F.col("max_version").alias("__past"))
-        base = base.join(past, "id", "left")
-    else:
-        base = base.withColumn("__past", F.lit(None).cast("bigint"))
-    base = base.select(
-        "id",
-        F.coalesce("__live", "__past", F.lit(0)).alias("__base"),
-        F.coalesce("__created", "__original", "__born").alias("__created_at"),
-    )
-
-    starts = live.select(
+    ids = incoming.select("id").distinct()
+    starts = current.join(ids, "id", "left_semi").select(
         "id",
         F.lit("START").alias("op"),
-        F.lit(None).cast("bigint").alias("seq"),
+        F.lit(-(2**62)).cast("bigint").alias("seq"),
         *IMAGE,
         F.col("updated_at").alias("changed_at"),
         F.lit(None).cast("string").alias("reason"),
         F.lit(None).cast("timestamp").alias("original_created_at"),
+        F.col("version").cast("bigint").alias("__live"),
+        F.col("created_at").alias("__created"),
     )
-    chain = starts.unionByName(incoming).withColumn("seq", F.coalesce("seq", F.lit(-(2**62))))
+    # A sequence number occurs once per entity, so a slice of the numbers bounds its rows.
+    sliced = F.floor(F.col("seq") / rows_per_chunk) if chunk is None else chunk
+    checked = _checked(starts.unionByName(incoming), sliced)
+    counts = F.col("__refused").isNull()
     numbered = ordinal.running_totals(
-        chain,
+        checked,
         ["id"],
         ["seq"],
         {
-            "__n": F.lit(1).cast("bigint"),
-            "__added": F.when(F.col("op").isin("START", DELETE), 0).otherwise(1).cast("bigint"),
+            "__n": F.when(counts, 1).otherwise(0).cast("bigint"),
+            "__added": F.when(counts & ~F.col("op").isin("START", DELETE), 1).otherwise(0).cast("bigint"),
         },
-        chunk,
-        rows_per_chunk,
+        sliced,
     )
-    images = (
-        numbered.join(base, "id")
-        .withColumn("version", F.col("__base") + F.col("__added"))
-        .withColumn("created_at", F.col("__created_at"))
-        .withColumnRenamed("changed_at", "updated_at")
+    chain = stage(numbered, "chain")
+    valid = chain.filter(F.col("__refused").isNull())
+
+    # Where each chain starts: the live version, else the highest archived one, else nothing.
+    base = valid.groupBy("id").agg(
+        F.max("__live").alias("__live"),
+        F.coalesce(F.max("__created"), F.min("original_created_at"), F.min(F.when(F.col("op") != "START", F.col("changed_at")))).alias("__born"),
     )
-    ending = numbered.select(
+    if history is not None:
+        past = max_versions(history).select(F.col("entity_id").alias("id"), F.col("max_version").alias("__past"))
+        base = base.join(past, "id", "left")
+    else:
+        base = base.withColumn("__past", F.lit(None).cast("bigint"))
+    base = base.select("id", F.coalesce("__live", "__past", F.lit(0)).alias("__base"), "__born")
+
+    images = valid.drop("__live", "__created").join(base, "id").withColumn("version", F.col("__base") + F.col("__added"))
+    images = images.withColumn("created_at", F.col("__born")).withColumnRenamed("changed_at", "updated_at")
+    ending = valid.select(
         F.col("id").alias("__id"),
         (F.col("__n") - 1).alias("__ends"),
         F.col("op").alias("__op"),
@@ -126,7 +152,7 @@ def apply_changes(
     standing = linked.filter(F.col("op") != DELETE)
 
     survivors = standing.filter(F.col("__id").isNull()).select(*COLUMNS)
-    untouched = current.join(touched.select("id"), "id", "left_anti").select(*COLUMNS)
+    untouched = current.join(ids, "id", "left_anti").select(*COLUMNS)
     kind = F.when(F.col("__op").isin(DELETE, ROLLBACK), F.col("__op")).otherwise(UPDATE)
     archived = standing.filter(F.col("__id").isNotNull()).select(
         F.col("id").alias("entity_id"),
@@ -138,7 +164,8 @@ def apply_changes(
         F.col("__at").alias("changed_at"),
         F.coalesce(F.nullif("__reason", F.lit("")), kind).alias("reason"),
     )
-    return Applied(untouched.unionByName(survivors), archived)
+    refused = chain.filter(F.col("__refused").isNotNull()).select("seq", "id", "op", F.col("__refused").alias("reason"))
+    return Applied(untouched.unionByName(survivors), archived, refused)
 
 
 def rollback_changes(requests: DataFrame, history: DataFrame) -> DataFrame:
@@ -188,6 +215,13 @@ def versions_at(current: DataFrame, history: DataFrame, wanted: DataFrame) -> Da
     )
 
 
+def _leaves(df: DataFrame) -> Column:
+    """Leaves sorted by key; of those whose flattened keys collide (``"a.b"`` and a nested ``b``) the last stays."""
+    at_end = lambda every: lambda x, i: ~F.coalesce(F.get(every, i + 1)["key"] == x["key"], F.lit(False))
+    kept = F.transform(F.array(F.sort_array(Bag.of(df).leaves())), lambda every: F.filter(every, at_end(every)))
+    return kept[0]
+
+
 def flatten(df: DataFrame, *keep: str) -> DataFrame:
     """One row per property leaf: ``key`` like ``a.b`` or ``a[0]`` and its JSON-encoded ``value``."""
     return df.select(*keep, F.inline(Bag.of(df).leaves()))
@@ -201,7 +235,7 @@ def diff(base: DataFrame, target: DataFrame, on: list[str]) -> DataFrame:
     """
 
     def leaves(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*on, F.map_from_entries(Bag.of(df).leaves()).alias(name))
+        return df.select(*on, F.map_from_entries(_leaves(df)).alias(name))
 
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     both = leaves(base, "__old").join(leaves(target, "__new"), on, "full_outer")
@@ -218,7 +252,7 @@ def diff(base: DataFrame, target: DataFrame, on: list[str]) -> DataFrame:
 
 def canonical_lines(df: DataFrame) -> Column:
     """A snapshot as deterministic text lines, built within the row."""
-    leaves = F.sort_array(Bag.of(df).leaves())
+    leaves = _leaves(df)
     lines = F.transform(leaves, lambda x: F.concat(F.lit("  "), x.key, F.lit(": "), x.value))
     head = F.array(
         F.concat(F.lit("Path: "), F.coalesce("path", F.lit(""))),

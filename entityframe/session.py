@@ -55,15 +55,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread the rows of a plain scan over the cores if it comes in few splits.
-
-    For work that is heavy per row. A scan with splits enough for the cluster is left as it is.
-    """
-    wanted = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(wanted) if scan.rdd.getNumPartitions() * 2 <= wanted else scan
-
-
 def staging_path(spark: SparkSession, label: str) -> str:
     """A new folder below the shared one; the session deletes it when it ends."""
     path = f"{shared_dir(spark)}/entityframe/{label}-{uuid.uuid4().hex}"

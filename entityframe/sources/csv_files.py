@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from entityframe.functions.props import PROPERTY, quoted
-from entityframe.session import spread, stage
+from entityframe.operators import ordinal
+from entityframe.session import stage
 
 HEADER_CANDIDATES = 10
-HEAD_LINES = 1000
 
 
 @dataclass
@@ -60,87 +60,95 @@ def all_blank(columns: list[str]) -> Column:
 
 
 def clean_headers(cells: list[str]) -> list[str]:
-    """Header labels as column names: blanks, dots and dashes to ``_``, empty ones numbered,
-    repeats suffixed."""
-    names, seen = [], {}
-    for i, cell in enumerate(cells, start=1):
-        name = cell.strip()
-        for mark in " .-":
-            name = name.replace(mark, "_")
-        name = name.strip("_") or f"column_{i}"
-        seen[name] = seen.get(name, 0) + 1
-        names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
-    return names
-
-
-def _head(spark: SparkSession, path: str) -> list[list[str]]:
-    """The first records of a file, parsed on the driver; at most HEAD_LINES lines."""
-    lines = spark.read.text(path).filter(F.col("_metadata.file_block_start") == 0).limit(HEAD_LINES).collect()
-    text = [r["value"] for r in lines]
-    if text:
-        text[0] = text[0].removeprefix("﻿")
-    return list(csv.reader((t for t in text if t.strip()), skipinitialspace=True))
+    """Column names from header labels.
+
+    Blanks, dots and dashes read as underscores, outer ones go, a label without anything left is named
+    by its place. Names are told apart without regard to case, as columns are: the n-th of equal ones
+    gets the suffix ``_n``.
+    """
+    plain = [cell.strip().translate(str.maketrans(" .-", "___")).strip("_") for cell in cells]
+    named = [name or f"column_{i}" for i, name in enumerate(plain, start=1)]
+    folded = [name.casefold() for name in named]
+    nth = [folded[: i + 1].count(f) for i, f in enumerate(folded)]
+    return [name if n == 1 else f"{name}_{n}" for name, n in zip(named, nth)]
+
+
+def _cells(record: str) -> list[str]:
+    return next(csv.reader([record.removeprefix("\ufeff")], skipinitialspace=True), [])
 
 
 def _full(row: list[str]) -> bool:
     return any(cell.strip() for cell in row)
 
 
+def _records(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """Non-empty records as text with their place, staged: ``record, row_number, __file, __block``.
+
+    Files are numbered each on its own. With ``multi_line`` the parser finds the records: all their
+    text lands in the column for what does not fit the one-column shape.
+    """
+    if multi_line:
+        shape = T.StructType([T.StructField("one", T.StringType()), T.StructField("all", T.StringType())])
+        read = spark.read.schema(shape).options(header=False, mode="PERMISSIVE", escape='"', multiLine=True, columnNameOfCorruptRecord="all").csv(path)
+        text = F.coalesce("all", "one")
+    else:
+        read, text = spark.read.text(path), F.col("value")
+    placed = read.select(
+        text.alias("record"),
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__at"),
+    )
+    staged = stage(placed.filter(F.trim("record") != ""), "csv")
+    # Within a block the rows keep their order; numbers follow from the counts of the blocks before.
+    in_block = F.struct("__file", "__block")
+    parts = staged.groupBy("__file", "__block").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("__file", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    ranked = ordinal.running_totals(staged.withColumn("__in", in_block), ["__in"], ["__at"], {"__nth": F.lit(1).cast("bigint")}, F.shiftright("__at", 20))
+    return ranked.join(offsets, ["__file", "__block"]).select("record", (F.col("__before") + F.col("__nth")).alias("row_number"), "__file", "__block")
+
+
 def read_csv(spark: SparkSession, path: str, header_row: int | None = None, multi_line: bool = False) -> RawTable:
     """Read a CSV file, or a folder of files that share a header, as text rows.
 
-    The header is the first non-blank record or the chosen one; short rows are padded, long ones
-    cut, blank ones dropped. Rows are staged once with their place in the file, which fixes the
-    record numbers and spares later passes the CSV parsing.
+    The header is the first non-blank record or the chosen one, wherever it stands; short rows are
+    padded, long ones cut, blank ones dropped. Records are staged once with their number in the file,
+    which later passes read. Files of a folder come in the order of their paths, and each has its
+    header at the same place.
     """
-    head = _head(spark, path)
-    if not head:
+    numbered = _records(spark, path, multi_line)
+    first_file = numbered.agg(F.min("__file")).first()[0]
+    if first_file is None:
         raise ValueError("no rows found in file")
+    own = numbered.filter(F.col("__file") == first_file)
+    full = F.col("record").rlike(r'[^\s,"\x{FEFF}]')
+    found = own.filter(full).orderBy("row_number").limit(HEADER_CANDIDATES).collect()
     if header_row is None:
-        at = next((i for i, row in enumerate(head) if _full(row)), None)
-        if at is None:
+        if not found:
             raise ValueError("header row could not be detected")
+        at, header = found[0]["row_number"] - 1, found[0]["record"]
     else:
         at = header_row
-        if not 0 <= at < len(head):
+        chosen = own.filter(F.col("row_number") == at + 1).select("record").first() if at >= 0 else None
+        if chosen is None:
             raise ValueError(f"header row index {at} out of range")
-        if not _full(head[at]):
+        header = chosen["record"]
+        if not _full(_cells(header)):
             raise ValueError(f"selected header row {at + 1} is empty")
-    columns = clean_headers(head[at])
-    cells = [f"c{i}" for i in range(len(columns))]
-    shape = T.StructType([T.StructField(c, T.StringType()) for c in cells])
-    read = (
-        spark.read.schema(shape)
-        .option("header", False)
-        .option("mode", "PERMISSIVE")
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
-    placed = read.select(
-        F.xxhash64("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__at"),
-        *cells,
-    )
-    staged = stage(spread(placed), "csv")
-    blocks = staged.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
-    before = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        "__file", "__block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift")
-    )
-    numbered = staged.join(offsets, ["__file", "__block"]).withColumn("row_number", F.col("__at") + F.col("__shift") + 1)
-    body = numbered.filter(F.col("row_number") > at + 1).select(
-        *[F.col(c).alias(PROPERTY + name) for c, name in zip(cells, columns)], "row_number", "__file", "__block"
-    )
-    found = [(i, [c.strip() for c in row], i == at) for i, row in enumerate(head) if _full(row)]
+    labels = _cells(header)
+    columns = clean_headers(labels)
+    shape = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
+    options = {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "escape": '"'}
+    parsed = numbered.filter(F.col("row_number") > at + 1).withColumn("__cells", F.from_csv("record", shape.simpleString()[7:-1].replace(":", " "), options))
+    body = parsed.select(*[F.col(f"__cells.c{i}").alias(PROPERTY + name) for i, name in enumerate(columns)], "row_number", "__file", "__block")
+    candidates = [(r["row_number"] - 1, [c.strip() for c in _cells(r["record"])], r["row_number"] - 1 == at) for r in found]
     return RawTable(
         body.filter(~all_blank(columns)),
         columns,
         ["__file", "row_number"],
         F.struct("__file", "__block"),
-        [c.strip() for c in head[at]],
+        [c.strip() for c in labels],
         at,
-        found[:HEADER_CANDIDATES],
+        candidates,
     )

@@ -40,8 +40,9 @@ def result_rows(result, limit: int | None = None, offset: int = 0, separator: st
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """One folder of CSV parts, each with the header; no part is larger than one task's rows."""
-    rows.write.mode("errorifexists").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """One folder of CSV parts, each with the header; no part is larger than one task's rows. Cells keep their blanks."""
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.mode("errorifexists").options(header=True, escape='"', emptyValue="", **blanks).csv(path)
 
 
 def read_back(spark, path: str, columns: list[str]) -> DataFrame:
@@ -52,6 +53,8 @@ def read_back(spark, path: str, columns: list[str]) -> DataFrame:
         .option("header", True)
         .option("escape", '"')
         .option("multiLine", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
         .fillna("")
     )

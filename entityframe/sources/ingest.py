@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass, replace
 
@@ -17,6 +18,7 @@ from entityframe.session import stage, tune
 from entityframe.sources.csv_files import RawTable
 
 PREVIEW_ROWS = 10
+MESSAGE_CHARS = 2000
 LOG_PAGE = 200
 
 
@@ -25,7 +27,7 @@ def coerced(raw: RawTable, schema: EntitySchema) -> DataFrame:
 
     Cells are trimmed, blank ones count as absent, and columns the schema lacks are skipped.
     """
-    known = [(c, schema.field(c)) for c in raw.columns if schema.field(c) is not None]
+    known = [(c, schemas.field_of(schema, c)) for c in raw.columns if schemas.field_of(schema, c) is not None]
     cells, typed, errors, props = {}, {}, [], []
     for i, (name, f) in enumerate(known):
         text = F.trim(raw.cell(name))
@@ -35,7 +37,8 @@ def coerced(raw: RawTable, schema: EntitySchema) -> DataFrame:
         if error is not None:
             errors.append(F.concat(F.lit(f"field {name}: "), error))
         props.append(F.col(f"__value{i}").alias(f.name))
-    missing = [f for f in schema.fields if f.name not in raw.columns]
+    present = {c.casefold() for c in raw.columns}
+    missing = [f for f in schema.fields if f.name.casefold() not in present]
     props += [F.lit(None).cast(schemas.cell_type(f.type)).alias(f.name) for f in missing]
     first = F.coalesce(*errors) if errors else F.lit(None).cast("string")
     # Cells, then values, then errors: each is used several times and worked out once.
@@ -81,6 +84,7 @@ class Ingest:
     file_name: str = ""
     id_norm: object = values.uuid_norm
     skip_validation: bool = False
+    notes: tuple[str, ...] = ()
     _staged: DataFrame | None = None
 
     def rows(self) -> DataFrame:
@@ -120,9 +124,22 @@ class Ingest:
             )
         )
 
+    def log(self) -> DataFrame:
+        """What is logged: the rejects, and notes on the file itself, which have no record number."""
+        if not self.notes:
+            return self.rejects()
+        rows = [(self.organization, self.schema.name, self.file_name, None, note) for note in self.notes]
+        shape = "organization_id string, schema_name string, file_name string, row_number bigint, error_message string"
+        return self.rejects().unionByName(self.raw.df.sparkSession.createDataFrame(rows, shape))
+
     def entities(self, batch_id: str) -> DataFrame:
-        """Valid rows as new entities. Ids are name-based, so a retried task repeats them."""
-        name = F.sha1(F.concat_ws("/", F.lit(batch_id), F.col("path")))
+        """Valid rows as new entities.
+
+        Ids are hashes of the batch, the file and the record's place in it, so a retried task repeats
+        them and no two records share one, even where their paths collide.
+        """
+        place = [F.col(c).cast("string") for c in self.raw.order]
+        name = F.sha1(F.concat_ws("/", F.lit(batch_id), F.lit(self.file_name), *place))
         key = F.concat_ws(
             "-", *[F.substring(name, at, size) for at, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
         )
@@ -150,27 +167,40 @@ class Ingest:
     def preview(self, limit: int = PREVIEW_ROWS) -> DataFrame:
         """First rows of the file: ``row_number``, the trimmed cells as the struct ``values``, and
         ``error``; nothing is written."""
-        found = checked(self.raw, self.schema, self.id_norm, self.skip_validation)
-        first = found.orderBy(*self.raw.order).limit(limit)
+        head = replace(self.raw, df=self.raw.df.orderBy(*self.raw.order).limit(limit))
+        first = checked(head, self.schema, self.id_norm, self.skip_validation).orderBy(*self.raw.order)
         cells = [F.trim(F.coalesce(self.raw.cell(c), F.lit(""))).alias(c) for c in self.raw.columns]
         return first.select("row_number", F.struct(*cells).alias("values"), "error")
 
     def write(self, entities_path: str, rejects_path: str, manifest_path: str, batch_id: str | None = None) -> str:
-        """Append entities, rejects and one manifest row.
+        """Append entities, rejects and one manifest row, which is PENDING first and ends as COMPLETED or,
+        if a step fails, FAILED with the reason.
 
         Each batch has its own folder, so writing a batch id again replaces that batch only.
         """
         batch = batch_id or str(uuid.uuid4())
+        spark = self.raw.df.sparkSession
+
+        def mark(status: str, written: int = 0, rejected: int = 0, reason: str | None = None) -> None:
+            row = manifest_row(spark, batch, self.organization, self.schema.name, self.file_name, written, rejected, status, reason)
+            _write_batch(row, manifest_path, batch)
+
+        mark("PENDING")
+        try:
+            written, rejected = self._write_rows(entities_path, rejects_path, batch)
+        except Exception as error:
+            mark("FAILED", reason=str(error)[:MESSAGE_CHARS])
+            raise
+        mark("COMPLETED", written, rejected)
+        return batch
+
+    def _write_rows(self, entities_path: str, rejects_path: str, batch: str) -> tuple[int, int]:
         seen, refused = Observation(), Observation()
         good = self.stage().entities(batch).observe(seen, F.count(F.lit(1)).alias("n"))
         _write_batch(good, entities_path, batch)
-        bad = self.rejects().withColumn("batch_id", F.lit(batch)).withColumn("created_at", F.current_timestamp())
+        bad = self.log().withColumn("batch_id", F.lit(batch)).withColumn("created_at", F.current_timestamp())
         _write_batch(bad.observe(refused, F.count(F.lit(1)).alias("n")), rejects_path, batch)
-        manifest = manifest_row(
-            good.sparkSession, batch, self.organization, self.schema.name, self.file_name, seen.get["n"], refused.get["n"]
-        )
-        _write_batch(manifest, manifest_path, batch)
-        return batch
+        return seen.get["n"], refused.get["n"] - len(self.notes)
 
 
 def _write_batch(df: DataFrame, path: str, batch: str) -> None:
@@ -197,12 +227,13 @@ MANIFEST = T.StructType(
         T.StructField("rows_flushed", T.LongType()),
         T.StructField("rows_rejected", T.LongType()),
         T.StructField("status", T.StringType()),
+        T.StructField("error_message", T.StringType()),
     ]
 )
 
 
-def manifest_row(spark, batch, organization, schema_name, file_name, written, rejected) -> DataFrame:
-    row = (batch, organization, schema_name, file_name, written, written, rejected, "COMPLETED")
+def manifest_row(spark, batch, organization, schema_name, file_name, written, rejected, status="COMPLETED", reason=None) -> DataFrame:
+    row = (batch, organization, schema_name, file_name, written, written, rejected, status, reason)
     return spark.createDataFrame([row], MANIFEST).withColumn("enqueued_at", F.current_timestamp())
 
 
@@ -234,20 +265,33 @@ def reject_log(rejects: DataFrame, organization: str, schema_name: str, file_nam
 
 @dataclass
 class Plan:
-    """What ingesting a file would do: the schema to use, what changed, and the row job."""
+    """What ingesting a file would do: the schema to use, what changed, and the row job.
+
+    Type conflicts are logged with the row errors, against the file itself (no row number).
+    """
 
     ingest: Ingest
     created: bool
     detected: list[Field]
     new_fields: tuple[str, ...]
     changes: tuple[schemas.SchemaChange, ...]
+    updated: bool = False
+
+    def schema_row(self) -> DataFrame:
+        """The settled schema as a registry row, ready for ``schemas.publish``; empty if nothing changed."""
+        job, schema = self.ingest, self.ingest.schema
+        name = f"{job.organization}/{schema.name}/{schema.version}"
+        fields = json.dumps([{"name": f.name, "type": f.type.value, "required": f.required} for f in schema.fields])
+        rows = [(schema.id or f"schema:{name}", job.organization, schema.name, schema.version, "ACTIVE", fields)] if self.created or self.updated else []
+        shape = "id string, organization_id string, name string, version string, status string, fields string"
+        return job.raw.df.sparkSession.createDataFrame(rows, shape).withColumn("created_at", F.current_timestamp())
 
     def headers(self, overrides: dict[str, str] | None = None) -> list[dict]:
         """Per file column: label, detected and effective type, required, overridden."""
         schema = self.ingest.schema
         out = []
         for name, label, d in zip(self.ingest.raw.columns, self.ingest.raw.labels, self.detected):
-            effective = schema.field(name) or d
+            effective = schemas.field_of(schema, name) or d
             out.append(
                 {
                     "name": name,
@@ -280,4 +324,6 @@ def plan(
         change = schemas.SchemaChange("", f"schema {schema_name} created")
         return Plan(Ingest(raw, schema, **options), True, detected, (), (change,))
     settled = schemas.reconcile(existing, wanted)
-    return Plan(Ingest(raw, settled.schema, **options), False, detected, settled.new_fields, settled.changes)
+    notes = tuple(c.message for c in settled.changes if c.existing_type)
+    job = Ingest(raw, settled.schema, notes=notes, **options)
+    return Plan(job, False, detected, settled.new_fields, settled.changes, settled.updated)

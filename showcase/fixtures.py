@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from entityframe import EntitySchema, EntityStore, Field, Options, entities_from, tune
 from entityframe.functions import values
-from entityframe.session import spread, stage
+from entityframe.session import stage
 
 ORG = "org-1"
 PLAIN_IDS = Options(key_norm=values.trim_norm)  # ids here are texts like customer:12, not UUIDs
@@ -215,7 +215,7 @@ EVENT_JSON = (
 def events(spark, sf) -> DataFrame:
     """Events with a schemaless VARIANT bag: nested object, list, a number that is text in errors,
     and a key that only purchases have (as JSON null)."""
-    df = spread(table(spark, sf, "events"))
+    df = table(spark, sf, "events")
     bag = F.parse_json(F.expr(EVENT_JSON))
     return entities_from(df, "Event", ref("event", "event_id"), bag, created_at="ts", organization=ORG)
 
@@ -260,7 +260,7 @@ def user_versions(spark, sf) -> DataFrame:
 
     tune(spark)
     df = table(spark, sf, "events")
-    ranked = ordinal.rank_in_group(df, ["user_id"], ["ts", "event_id"], "version")
+    ranked = ordinal.rank_in_group(df, ["user_id"], ["ts", "event_id"], "version", F.unix_date(F.to_date("ts")))
     return ranked.select(
         ref("user", "user_id").alias("id"),
         F.lit(ORG).alias("organization_id"),
@@ -324,13 +324,13 @@ def users_at_split(spark, sf) -> DataFrame:
 
 
 def user_changes(spark, sf) -> DataFrame:
-    """Events from the split day on as changes: an error deletes the user, anything else updates."""
+    """Events from the split day on as changes: an error deletes the user, anything else writes it."""
     return changes_of(table(spark, sf, "events"))
 
 
 def changes_of(events: DataFrame) -> DataFrame:
     df = events.filter(F.col("ts") >= F.lit(SPLIT).cast("timestamp_ntz"))
-    op = F.when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE")
+    op = F.when(F.col("event_type") == "error", "DELETE").otherwise("UPSERT")
     return df.select(
         F.col("event_id").alias("seq"),
         op.alias("op"),
@@ -352,7 +352,7 @@ RAW_COLUMNS = ["user", "kind", "amount", "ok", "seen_at", "day", "empty_col"]
 
 def raw_events(spark, sf) -> DataFrame:
     """Events as text cells with the flaws uploads have: blanks, padding, an unreadable number."""
-    df = spread(table(spark, sf, "events"))
+    df = table(spark, sf, "events")
     kind = F.col("event_type")
     whole = F.floor("value")
     stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSS")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from entityframe import EntitySchema, EntityStore, Field, PropertyFilter, tune
 from entityframe.functions import coerce
 from entityframe.functions.props import Bag
-from entityframe.operators import schemas, validation
+from entityframe.operators import ordinal, schemas, validation
 from entityframe.session import staging_path
 from entityframe.sources import export, ingest
 from entityframe.sources.csv_files import raw_table, read_csv
@@ -196,8 +196,22 @@ def ingest_preview(spark, sf):
     """
 )
 def ingest_csv(spark, sf):
-    """A CSV file end to end: written, read as text, profiled, coerced, validated, named."""
+    """CSV files end to end: read as text, profiled, coerced, validated, named."""
     tune(spark)
+    raw = read_csv(spark, order_files(spark, sf))
+    job = ingest.plan(raw, "Order File", organization=X.ORG, overrides={"Total_Price": "float"}).ingest
+    p = "properties"
+    return job.valid().select("path", F.col(f"{p}.key").alias("o_orderkey"), F.col(f"{p}.Total_Price").alias("price"), f"{p}.fresh")
+
+
+_order_files: dict[tuple[str, str], str] = {}
+
+
+def order_files(spark, sf) -> str:
+    """The upload: orders as CSV files that follow each other by key, written once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _order_files:
+        return _order_files[key]
     df = X.table(spark, sf, "orders").select(
         F.col("o_orderpriority").alias("Order Priority"),
         F.col("o_orderkey").cast("string").alias("key"),
@@ -205,12 +219,9 @@ def ingest_csv(spark, sf):
         F.when(F.col("o_orderstatus") == "O", "yes").otherwise("no").alias("fresh"),
         F.lit("a, \"quoted\" cell").alias("note.text"),
     )
-    folder = staging_path(spark, "upload")
-    df.orderBy(F.col("key").cast("bigint")).coalesce(1).write.option("header", True).option("escape", '"').csv(folder)
-    raw = read_csv(spark, folder)
-    job = ingest.plan(raw, "Order File", organization=X.ORG, overrides={"Total_Price": "float"}).ingest
-    p = "properties"
-    return job.valid().select("path", F.col(f"{p}.key").alias("o_orderkey"), F.col(f"{p}.Total_Price").alias("price"), f"{p}.fresh")
+    folder = _order_files[key] = staging_path(spark, "upload")
+    df.orderBy(F.col("key").cast("bigint")).write.option("header", True).option("escape", '"').csv(folder)
+    return folder
 
 
 @query(
@@ -429,11 +440,9 @@ FIELDS = """
 )
 def schema_compatibility(spark, sf):
     """Change level of every version against the one before, and the version number that follows."""
-    from pyspark.sql import Window
-
-    reg = registry(spark, sf)
-    ordered = Window.partitionBy("name").orderBy("created_at", "id")
-    versions = reg.withColumn("previous_version_id", F.lag("id").over(ordered))
+    reg = registry(spark, sf).withColumn("place", F.struct("created_at", "id"))
+    month = F.date_trunc("month", "created_at")
+    versions = ordinal.last_before(reg, ["name"], "place", F.col("id"), "previous_version_id", month)
     lines = X.table(spark, sf, "lineitem")
     fields = lines.groupBy(F.col("l_orderkey").alias("schema_id"), F.col("l_linenumber").alias("ordinal")).agg(
         F.max("l_returnflag").alias("field_type"), F.bool_or(F.col("l_linestatus") == "F").alias("required")
@@ -562,7 +571,7 @@ def stream_ingest(spark, sf):
         )
         return raw_table(text, ["user", "kind", "value"], "event_id")
 
-    jobs.ingest_stream(arriving, [], "", STREAMED, out, marks, X.ORG, as_raw).awaitTermination()
+    jobs.ingest_stream(arriving, [], "", STREAMED, out, marks, X.ORG, shape=as_raw).awaitTermination()
     stored = jobs.read_entities(spark, out)
     bag = Bag.of(stored)
     return stored.select("path", bag.typed("user", "bigint").alias("user"), bag.text("kind").alias("kind"), bag.number("value").alias("value"))
@@ -612,3 +621,95 @@ def ingest_reject_log(spark, sf):
 def ingest_manifest(spark, sf):
     """The manifest row a batch leaves, with counts observed while it was written."""
     return spark.read.parquet(f"{written(spark, sf)}/manifest").select("status", "rows_flushed", "rows_rejected")
+
+
+# --- the job's records of itself ----------------------------------------------------------------
+
+UPLOAD_SCHEMA = EntitySchema("Order Upload", (Field("key", "INTEGER", True), Field("status", "BOOLEAN")))
+
+
+def order_upload(spark, sf):
+    rows = X.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("key"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"),
+        (F.col("o_orderkey") + 2).alias("row_number"),
+    )
+    return raw_table(rows, ["key", "status", "price"], "row_number")
+
+
+@query(
+    """
+    SELECT 'Order Upload' AS name, '1.0.0' AS version, 'ARCHIVED' AS status FROM (SELECT COUNT(*) AS n FROM orders) WHERE n > 0
+    UNION ALL SELECT 'Order Upload', '2.0.0', 'ACTIVE' FROM (SELECT COUNT(*) AS n FROM orders) WHERE n > 0
+    """
+)
+def ingest_schema_version(spark, sf):
+    """The schema an upload settles on follows the one before it in the registry."""
+    tune(spark)
+    first = ingest.Plan(ingest.Ingest(order_upload(spark, sf), UPLOAD_SCHEMA, X.ORG), True, [], (), ())
+    registry = first.schema_row()
+    plan = ingest.plan(order_upload(spark, sf), "Order Upload", UPLOAD_SCHEMA, organization=X.ORG)
+    return schemas.publish(registry, plan.schema_row()).select("name", "version", "status")
+
+
+@query(
+    """
+    SELECT 'Order Upload' AS schema_name, 'orders.csv' AS file_name, CAST(NULL AS BIGINT) AS row_number,
+           'field status type mismatch: existing=BOOLEAN, detected=STRING' AS error_message
+    FROM (SELECT COUNT(*) AS n FROM orders) WHERE n > 0
+    """
+)
+def ingest_conflict_log(spark, sf):
+    """What the file holds against the schema, logged against the file."""
+    tune(spark)
+    plan = ingest.plan(order_upload(spark, sf), "Order Upload", UPLOAD_SCHEMA, organization=X.ORG, file_name="orders.csv")
+    found = plan.ingest.log().filter("row_number is null")
+    return found.select("schema_name", "file_name", "row_number", "error_message")
+
+
+@query("SELECT 'b9' AS batch_id, 'FAILED' AS status, CAST(0 AS BIGINT) AS rows_staged, true AS told FROM (SELECT COUNT(*) AS n FROM orders) WHERE n > 0")
+def ingest_failed_batch(spark, sf):
+    """A batch that breaks off leaves its state and the reason in the manifest."""
+    tune(spark)
+    raw = order_upload(spark, sf)
+    price = F.when(F.col("row_number") > 2, F.raise_error(F.lit("upload broke off"))).otherwise(raw.cell("price"))
+    raw.df = raw.df.withColumn("@price", price.cast("string"))
+    out = staging_path(spark, "failed")
+    job = ingest.Ingest(raw, EntitySchema("Order Upload", (Field("key", "INTEGER", True), Field("price", "FLOAT"))), X.ORG, "orders.csv")
+    try:
+        job.write(f"{out}/entities", f"{out}/rejects", f"{out}/manifest", batch_id="b9")
+    except Exception as error:  # noqa: BLE001
+        if "upload broke off" not in str(error):
+            raise
+    found = spark.read.parquet(f"{out}/manifest")
+    return found.select("batch_id", "status", "rows_staged", F.col("error_message").contains("upload broke off").alias("told"))
+
+
+@query("SELECT COUNT(*) AS entities, COUNT(*) AS ids FROM events")
+def ingest_unique_ids(spark, sf):
+    """Names that collide with the suffix of other names (x, x, x_2) share paths, but never ids."""
+    tune(spark)
+    label = F.when(F.col("event_id") % 3 == 2, "x_2").otherwise("x")
+    raw = raw_table(X.table(spark, sf, "events").select(label.alias("label"), "event_id"), ["label"], "event_id")
+    stored = ingest.Ingest(raw, EntitySchema("Label", (Field("label"),)), X.ORG).entities("b1")
+    return stored.agg(F.count("*").alias("entities"), F.countDistinct("id").alias("ids"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS state, o_orderpriority AS state_2 FROM orders")
+def ingest_late_header(spark, sf):
+    """A header behind 1100 records of blank cells, with two labels that differ by case only."""
+    tune(spark)
+    rows = X.table(spark, sf, "orders").select(
+        (F.col("o_orderkey") + 2000).alias("at"), F.concat_ws(",", "o_orderkey", "o_orderstatus", "o_orderpriority").alias("value")
+    )
+    head = spark.range(1100).select(F.col("id").alias("at"), F.lit(" , ,").alias("value"))
+    label = spark.range(1).select(F.lit(1500).cast("bigint").alias("at"), F.lit("Key,State,STATE").alias("value"))
+    folder = staging_path(spark, "late")
+    # One file is the point here; its rows are the orders.
+    head.unionByName(label).unionByName(rows).repartition(1).sortWithinPartitions("at").select("value").write.text(folder)
+    raw = read_csv(spark, folder)
+    chosen = read_csv(spark, folder, header_row=1100)
+    if chosen.columns != raw.columns:
+        raise AssertionError("the chosen header is the one that is found")
+    return raw.texts().select(F.col("Key").alias("key"), F.col("State").alias("state"), F.col("STATE_2").alias("state_2"))

@@ -70,14 +70,19 @@ def apply_changes_current(spark, sf):
 
 @query(CHAIN + "SELECT 'user:' || user_id AS id, CAST(version AS BIGINT) AS version, event_type AS kind, value FROM chain WHERE op <> 'DELETE' AND next_op IS NULL")
 def stream_history(spark, sf):
-    """The same changes arriving as a stream."""
+    """The same changes arriving as a stream of three files, a micro-batch each."""
     tune(spark)
-    shape = spark.read.parquet(f"{sf}/events.parquet").schema
-    arriving = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf)
-    out, marks = staging_path(spark, "history"), staging_path(spark, "marks")
-    jobs.history_stream(X.changes_of(arriving), spark, out, marks, X.users_at_split(spark, sf)).awaitTermination()
-    current = spark.read.parquet(f"{out}/current/0")
-    return current.select("id", "version", F.col("properties.kind").alias("kind"), F.col("properties.value").alias("value"))
+    out, marks, feed = (staging_path(spark, name) for name in ("history", "marks", "feed"))
+    events = X.table(spark, sf, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    third = (high - low) // 3 + 1
+    for part in range(3):
+        own = F.floor((F.col("event_id") - low) / third) == part
+        events.filter(own).coalesce(1).write.mode("append").parquet(feed)
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    start = X.users_at_split(spark, sf)
+    jobs.history_stream(X.changes_of(arriving), spark, out, marks, start, buckets=16).awaitTermination()
+    return jobs.read_state(spark, out, start, buckets=16).select("id", "version", F.col("properties.kind").alias("kind"), F.col("properties.value").alias("value"))
 
 
 @query(
@@ -183,3 +188,90 @@ def snapshot_canonical(spark, sf):
     return every.select(
         F.col("id").alias("entity_id"), "version", F.array_join(versions.canonical_lines(every), "\n").alias("lines")
     )
+
+
+def customer_changes(spark, sf, op):
+    """A change per customer to the user of the same number."""
+    return X.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("seq"),
+        op.alias("op"),
+        X.ref("user", "c_custkey").alias("id"),
+        F.lit(X.ORG).alias("organization_id"),
+        F.lit("schema:User").alias("schema_id"),
+        F.lit("User").alias("entity_type"),
+        F.concat(F.lit("u"), F.col("c_custkey")).alias("path"),
+        F.struct(F.lit("new").alias("kind"), F.col("c_acctbal").alias("value")).alias("properties"),
+        F.lit("2024-03-01").cast("timestamp").alias("changed_at"),
+        F.lit(None).cast("string").alias("reason"),
+    )
+
+
+AT_SPLIT = f"WITH base AS (SELECT user_id, COUNT(*) AS v0 FROM events WHERE ts < TIMESTAMP '{X.SPLIT}' GROUP BY 1)"
+
+
+@query(
+    AT_SPLIT
+    + """
+    SELECT 'user:' || user_id AS id, v0 AS version, false AS fresh FROM base
+    UNION ALL SELECT 'user:' || c_custkey, 1, true FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM base)
+    """
+)
+def apply_insert(spark, sf):
+    """Inserts are stored where the entity is new and change nothing where it is there."""
+    applied = versions.apply_changes(X.users_at_split(spark, sf), customer_changes(spark, sf, F.lit("INSERT")))
+    return applied.current.select("id", "version", (F.col("properties.kind") == "new").alias("fresh"))
+
+
+@query(
+    AT_SPLIT
+    + """
+    SELECT c_custkey AS seq, op, CASE WHEN op = 'BOGUS' THEN 'unknown operation' WHEN op = 'INSERT' THEN 'entity already exists' ELSE 'entity not found' END AS reason
+    FROM (SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'DELETE' ELSE 'BOGUS' END AS op,
+                 c_custkey IN (SELECT user_id FROM base) AS there FROM customer)
+    WHERE op = 'BOGUS' OR (op = 'INSERT' AND there) OR (op IN ('UPDATE', 'DELETE') AND NOT there)
+    """
+)
+def apply_refused(spark, sf):
+    """Changes that do not fit what is there are refused with a reason."""
+    kind = F.col("c_nationkey") % 4
+    op = F.when(kind == 0, "insert").when(kind == 1, "UPDATE").when(kind == 2, "DELETE").otherwise("BOGUS")
+    applied = versions.apply_changes(X.users_at_split(spark, sf), customer_changes(spark, sf, op))
+    return applied.refused.select("seq", "op", "reason")
+
+
+@query(
+    EVERY
+    + """
+    SELECT v.id, w.newest + 1 AS version, v.event_type AS kind FROM v JOIN (SELECT DISTINCT id, newest FROM v) w USING (id)
+    WHERE v.version = 1 AND CAST(replace(v.id, 'user:', '') AS BIGINT) % 2 = 0
+    UNION ALL SELECT id, version, event_type FROM v WHERE version = newest AND CAST(replace(id, 'user:', '') AS BIGINT) % 2 = 1
+    """
+)
+def rollback_deleted(spark, sf):
+    """Users that were deleted come back from their history with the version after their last."""
+    current, history = X.user_current_and_history(spark, sf)
+    even = F.regexp_replace("id", "user:", "").cast("bigint") % 2 == 0
+    gone = current.filter(even).withColumnRenamed("id", "entity_id").withColumns(
+        {"change_type": F.lit("DELETE"), "changed_at": F.col("updated_at"), "reason": F.lit("DELETE")}
+    )
+    past = history.unionByName(gone.select(*history.columns))
+    asked = gone.select(
+        F.lit(1).alias("seq"), F.col("entity_id").alias("id"), F.lit(1).alias("to_version"), F.col("changed_at"), F.lit("").alias("reason")
+    )
+    applied = versions.rollback(current.filter(~even), past, asked)
+    return applied.current.select("id", "version", F.col("properties.kind").alias("kind"))
+
+
+@query(
+    """
+    SELECT event_id, 'a.b' AS key, greatest('1', CAST(event_id % 3 AS VARCHAR)) AS old_value,
+           greatest('1', CAST(event_id % 5 AS VARCHAR)) AS new_value, 'changed' AS change
+    FROM events WHERE greatest('1', CAST(event_id % 3 AS VARCHAR)) <> greatest('1', CAST(event_id % 5 AS VARCHAR))
+    """
+)
+def snapshot_diff_same_key(spark, sf):
+    """A bag may hold a key with a dot and a nested one that reads the same: the last of the two counts."""
+    tune(spark)
+    bag = lambda n: F.parse_json(F.concat(F.lit('{"a.b":1,"a":{"b":'), (F.col("event_id") % n).cast("string"), F.lit("}}")))
+    df = X.table(spark, sf, "events").select("event_id")
+    return versions.diff(df.withColumn("properties", bag(3)), df.withColumn("properties", bag(5)), ["event_id"])

@@ -467,3 +467,43 @@ def test_store_over_one_mixed_table(spark):
     assert column(st.load("B"), "id") == ["b"] and st.all().count() == 2 and st.envelopes(["A"]).count() == 1
     with pytest.raises(KeyError):
         EntityStore().load("A")
+
+
+# --- text and uploads ---------------------------------------------------------------------------
+
+
+def test_small_doubles_keep_their_digits(spark):
+    numbers = [1.2345678901234567e-5, 1e-9, 0.1, 123456.789, 3.0, 1.5e14, -2.5e-7]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double").select(values.double_text(F.col("x")).alias("t"))
+    texts = [r.t for r in df.collect()]
+    assert [float(t) for t in texts] == numbers
+    assert texts[1:] == ["0.000000001", "0.1", "123456.789", "3", "150000000000000", "-0.00000025"]
+
+
+def test_backslash_makes_the_next_character_plain():
+    assert predicates.pattern("a\\b") == "%ab%"
+    assert predicates.pattern("C:\\dir") == "%C:dir%"
+    assert predicates.pattern("50\\%") == "%50\\%%" and predicates.pattern("end\\") == "%end\\\\%"
+
+
+def test_export_keeps_blanks(spark, tmp_path):
+    from entityframe.sources import export
+
+    rows = [("  lead", "tail  "), ("", 'a "b", c')]
+    export.write_csv(spark.createDataFrame(rows, "a string, b string"), str(tmp_path / "out"))
+    assert sorted(map(tuple, export.read_back(spark, str(tmp_path / "out"), ["a", "b"]).collect())) == sorted(rows)
+
+
+def test_header_names_differ_by_more_than_case():
+    from entityframe.sources.csv_files import clean_headers
+
+    assert clean_headers(["Name", "name", " a-b.c ", "", "NAME", "a b c"]) == ["Name", "name_2", "a_b_c", "column_4", "NAME_3", "a_b_c_2"]
+
+
+def test_multi_line_records(spark, tmp_path):
+    from entityframe.sources.csv_files import read_csv
+
+    (tmp_path / "a.csv").write_text('\n , \nkey,note\n1,"two\nlines"\n2\n3,x,extra\n')
+    raw = read_csv(spark, str(tmp_path / "a.csv"), multi_line=True)
+    rows = sorted((r["@key"], r["@note"], r["row_number"]) for r in raw.df.collect())
+    assert raw.columns == ["key", "note"] and rows == [("1", "two\nlines", 3), ("2", None, 4), ("3", "x", 5)]
