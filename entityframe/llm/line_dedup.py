@@ -33,14 +33,15 @@ _LAST = (1 << 63) - 1
 
 
 def normalised(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")))
 
 
-def shingle_hashes(norm: Column) -> Column:
-    """Sorted distinct hashes of the shingles that start at a word."""
+def shingle_hashes(norm: Column, distinct: bool = True) -> Column:
+    """Sorted hashes of the shingles that start at a word; a signature does not mind repeated ones."""
     pattern = rf"(?s)(?<![^ ])(?=([^ ].{{{SHINGLE_CHARS - 1}}}))"
     found = F.regexp_extract_all(norm, F.lit(pattern), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
+    hashes = F.transform(found, lambda s: F.xxhash64(s))
+    return F.sort_array(F.array_distinct(hashes) if distinct else hashes)
 
 
 def _bin(h: Column) -> Column:
@@ -57,8 +58,8 @@ def signature(hashes: Column) -> Column:
         return F.concat(F.flatten(runs), tail)
 
     def least_of_bins(sorted_hashes: Column) -> Column:
-        changes = lambda h, i: (i == 0) | (_bin(F.get(sorted_hashes, i - 1)) != _bin(h))
-        return F.filter(sorted_hashes, changes)
+        head = lambda h: F.shiftright(h, 64 - BINS_LOG)
+        return F.filter(sorted_hashes, lambda h, i: (i == 0) | (head(F.get(sorted_hashes, i - 1)) != head(h)))
 
     return let(let(hashes, least_of_bins), filled)
 
@@ -112,16 +113,18 @@ def _links_in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
 def line_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, component`` of every line that is linked to a different line."""
     lines = _long_lines(_identified(docs.select(doc_id, text), doc_id, text))
-    marked = lines.select("key", band_keys(signature(shingle_hashes(F.col("norm")))).alias("bands"))
-    distinct = stage(marked.groupBy("key").agg(F.count("*").alias("copies"), F.first("bands").alias("bands")), "lines", "zstd")
+    # Bands as plain numbers and hubs by one number: aggregates over those hash their rows and sort nothing.
+    marked = lines.select("key", band_keys(signature(shingle_hashes(F.col("norm"), distinct=False))).alias("bands"))
+    flat = marked.select("key", *[F.get("bands", F.lit(k)).alias(f"b{k}") for k in range(BANDS)])
+    distinct = stage(flat.groupBy("key").agg(F.count("*").alias("copies"), *[F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS)]), "lines", "zstd")
 
-    rows = distinct.select("key", "copies", F.explode("bands").alias("bucket"))
-    best = F.max(F.struct("copies", "key"))
-    hubs = rows.groupBy("bucket").agg(best.alias("best"), F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("best.key").alias("hub"))
-    members = stage(rows.select("bucket", "key").join(hubs, "bucket"), "line-buckets", "zstd")
+    rows = distinct.select("key", "copies", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("bucket"))
+    rank = F.col("copies") * (1 << 16) + F.pmod("key", F.lit(1 << 16))
+    hubs = rows.groupBy("bucket").agg(F.max_by("key", rank).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
+    members = stage(rows.select("bucket", "key").join(hubs.hint("shuffle_hash"), "bucket"), "line-buckets", "zstd")
 
     wanted = members.select("key").distinct()
-    norms = lines.select("key", "norm").join(wanted, "key").groupBy("key").agg(F.first("norm").alias("norm"))
+    norms = lines.select("key", "norm").join(wanted.hint("shuffle_hash"), "key").groupBy("key").agg(F.first("norm").alias("norm"))
     hashed = norms.select("key", shingle_hashes(F.col("norm")).alias("hashes"))
     sets = stage(hashed.select("*", band_keys(signature(F.col("hashes"))).alias("bands")), "line-sets", "zstd")
 
@@ -148,12 +151,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     linked = line_components(docs, doc_id, text)
     rows = _identified(docs, doc_id, text)
     lines = _long_lines(rows.select("__id", "__hash", "__lines")).select("__id", "__hash", "__no", "key")
-    named = lines.join(linked, "key", "left").select("__id", "__hash", "__no", F.coalesce("component", "key").alias("component"))
+    named = lines.join(linked.hint("shuffle_hash"), "key", "left").select("__id", "__hash", "__no", F.coalesce("component", "key").alias("component"))
     at = F.struct("__id", "__hash", "__no")
     first = named.groupBy("component").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(F.col("first") != F.col("last")).drop("last")
     gone = named.join(first, "component").filter(at != F.col("first")).groupBy("__id", "__hash").agg(F.collect_set("__no").alias("__gone"))
 
-    joined = rows.join(gone, ["__id", "__hash"], "left")
+    joined = rows.join(gone.hint("shuffle_hash"), ["__id", "__hash"], "left")
     stays = F.filter("__lines", lambda line, i: ~F.array_contains(F.col("__gone"), i))
     none = F.lit(0).cast("long")
     return joined.withColumns(
