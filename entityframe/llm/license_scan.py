@@ -93,12 +93,16 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str, str], ...] = TEMPLATE
     and empty texts have no row. Rows without an id, or with one id, are told apart by their text; equal rows count as one.
     """
     own = compile_templates(docs.sparkSession, templates)
+    known = sorted({x for h in own.hashes for x in h})
 
     def proposes(h: Column, j: Column) -> Column:
         return reduce(lambda a, b: a | b, [_minimum(h, j, mask).isin(list(own.keys[k])) for k, mask in enumerate(_MASKS)])
 
     def with_hits(h: Column) -> Column:
-        windows = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.floor((F.size(h) - 1) / STRIDE).cast("int"))).otherwise(F.array().cast("array<int>"))
+        # A minimum that is a template's is the hash of a template's shingle: windows without one need no minima.
+        places = F.filter(F.transform(h, lambda x, i: F.when(x.isin(known), i)), lambda i: i.isNotNull())
+        first = lambda p: F.greatest(F.ceil((p - (WINDOW - 1)) / STRIDE).cast("int"), F.lit(0))
+        windows = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(first(p), F.floor(p / STRIDE).cast("int")))))
         return F.struct(h.alias("h"), F.filter(windows, lambda j: proposes(h, j)).alias("hits"))
 
     row = F.xxhash64(whole(F.col(text))).alias("__row")
