@@ -39,8 +39,11 @@ def _selectors(values: np.ndarray) -> np.ndarray:
             continue
         room = n - at
         if seen[bits + 1 :].any():
-            too_wide = np.where(wide > bits, at, np.int32(n))
-            room = np.minimum.accumulate(too_wide[::-1])[::-1] - at
+            stops = np.flatnonzero(wide > bits)
+            tail = n - 1 - stops[-1]
+            if max(stops[0], int(np.diff(stops).max(initial=1)) - 1) < count and not tail:
+                continue
+            room = np.append(stops, n)[np.searchsorted(stops, at)].astype(np.int32) - at
         # A short tail is padded, so the end of the stream fits wherever its values do.
         fits = room >= count
         fits[max(0, n - count) :] |= (room == n - at)[max(0, n - count) :]

@@ -8,6 +8,7 @@ Parts are Parquet tables of such blocks, written by Spark's committer: a lost ta
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -25,25 +26,29 @@ MAGIC = b"ID8B"
 BLOCK_IDS = 1 << 16
 SKIP = 1 << 14
 END_ID = 2
-CACHE = 300_000
+CACHE = 600_000
 _HEADER = struct.Struct("<4sIQQQQ")  # magic, skip, documents, ids, words of lengths, words of ids
 _NO_ID = -(1 << 63)
 # Pieces that start where a run of blanks or line breaks follows another character. The tokenizer's own pieces never
 # reach over such a place; other white space could, so texts that have any are encoded whole.
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+_OTHER_SPACE = re.compile(r"[^\S \n]|\0")
+_SPACE_RUN = re.compile(r"[ \n]{2}|^[ \n]|[ \n]$")
+
+
+def pieces_of(text: str) -> list[str]:
+    """The pieces of a text. Where single blanks and line breaks part the words, splitting finds them; a piece that is
+    not the first and starts with neither then stands for one with a blank before it."""
+    return text.replace("\n", " \n").split(" ")
 
 
 class Encoder:
-    """Encodes texts with a tokenizer, each different piece once while the cache lasts."""
+    """Encodes texts with a tokenizer, each frequent piece once: the first ``CACHE`` different ones are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._reset()
-
-    def _reset(self) -> None:
         self.codes: dict[str, int] = {}
         self.flat = np.empty(0, dtype=np.uint32)
         self.starts = np.empty(0, dtype=np.int64)
@@ -52,29 +57,41 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.codes]
-        if not new:
-            return
-        if len(self.codes) > CACHE:
-            self._reset()
-            new = list(dict.fromkeys(pieces))
-        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
-        ids = self._ids(new)
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((i for own in ids for i in own), dtype=np.uint32, count=int(sizes.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, flat])
+    def _codes(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A number for each piece, and ids, starts and sizes by number; what does not fit the cache lives for this call."""
+        found = list(map(self.codes.get, pieces))
+        flat, starts, sizes = self.flat, self.starts, self.sizes
+        if None in found:
+            new = list(dict.fromkeys(p for p, c in zip(pieces, found, strict=True) if c is None))
+            ids = self._ids([_plain(p) for p in new])
+            own = dict(zip(new, range(len(sizes), len(sizes) + len(new)), strict=True))
+            found = [own[p] if c is None else c for p, c in zip(pieces, found, strict=True)]
+            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            starts = np.concatenate([starts, len(flat) + np.cumsum(size) - size])
+            sizes = np.concatenate([sizes, size])
+            flat = np.concatenate([flat, np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(size.sum()))])
+            if len(self.codes) < CACHE:
+                self.codes.update(own)
+                self.flat, self.starts, self.sizes = flat, starts, sizes
+        return np.array(found, dtype=np.int64), flat, starts, sizes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [[] if _OTHER_SPACE.search(t) else _PIECE.findall(t) for t in texts]
+        cut: list[list[str]] = []
+        for t in texts:
+            if not t or _OTHER_SPACE.search(t):
+                cut.append([])
+            elif _SPACE_RUN.search(t):
+                # A leading mark keeps a piece as it is; it is taken off before the tokenizer sees it.
+                cut.append([_AS_IS + p for p in _PIECE.findall(t)])
+            else:
+                own = pieces_of(t)
+                own[0] = _AS_IS + own[0]
+                cut.append(own)
         pieces = [p for own in cut for p in own]
-        self._learn(pieces)
-        codes = np.fromiter(map(self.codes.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        sizes = self.sizes[codes]
+        codes, flat, starts, size = self._codes(pieces)
+        sizes = size[codes]
         ends = np.cumsum(sizes)
-        flat = self.flat[np.repeat(self.starts[codes] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        flat = flat[np.repeat(starts[codes] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cut)])]
         out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         whole = [i for i, own in enumerate(cut) if not own and texts[i]]
@@ -83,6 +100,22 @@ class Encoder:
         return out
 
 
+_AS_IS = "\0\0"
+
+
+def _plain(piece: str) -> str:
+    """The text a piece stands for."""
+    if piece.startswith(_AS_IS):
+        return piece[len(_AS_IS) :]
+    return piece if piece.startswith("\n") else " " + piece
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process, so that what it remembers outlives a task."""
+    return Encoder(path)
+
+
 def pack_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """A block: header, document ids, offsets, lengths, ids. Streams of ids start anew every ``SKIP`` ids."""
     sizes = simple8b.encode(lengths)
@@ -125,7 +158,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", te
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, number, before = Encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        part, number, before = TaskContext.get().partitionId(), 0, 0
         for rows in parts:
             names = rows["doc_id"].fillna(_NO_ID).astype("int64").to_numpy() if rows["doc_id"].isna().any() else rows["doc_id"].to_numpy(dtype=np.int64)
             texts = rows["text"].tolist()
@@ -135,7 +168,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", te
                 while end < len(texts) and (end == start or chars + len(texts[end]) <= 3 * BLOCK_IDS):
                     chars += len(texts[end]) + 1
                     end += 1
-                ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode(texts[start:end])]
+                ids = [np.append(x, np.uint32(end_id)) for x in encoder(tokenizer).encode(texts[start:end])]
                 lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
                 n = int(lengths.sum())
                 block = pack_block(names[start:end], lengths, np.concatenate(ids))
