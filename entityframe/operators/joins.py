@@ -24,12 +24,17 @@ def key_join(
 ) -> DataFrame:
     """Equi-join on two key expressions; with ``null_safe`` null keys match each other.
 
-    ``drop`` names left columns that only the key needs.
+    ``drop`` names left columns that only the key needs. A left join is the inner join, whose hot keys
+    can be split on either side, and the left rows without a match.
     """
     lhs = left.withColumn("__lk", lkey).drop(*drop)
     rhs = right.withColumn("__rk", rkey)
     match = F.col("__lk").eqNullSafe(F.col("__rk")) if null_safe else F.col("__lk") == F.col("__rk")
-    return lhs.join(rhs, match, how).drop("__lk", "__rk")
+    if how != LEFT:
+        return lhs.join(rhs, match, how).drop("__lk", "__rk")
+    known = rhs.select("__rk").distinct()
+    alone = lhs.join(known, match, "left_anti").drop("__lk")
+    return lhs.join(rhs, match).drop("__lk", "__rk").unionByName(alone, allowMissingColumns=True)
 
 
 def list_join(left: DataFrame, right: DataFrame, keys: Column, rkey: Column, how: str, drop=()) -> DataFrame:
@@ -51,12 +56,10 @@ def list_join(left: DataFrame, right: DataFrame, keys: Column, rkey: Column, how
     same = F.col("__keys") == F.col("__hit")
     if how == ANTI:
         return lhs.join(matched, same, "left_anti").drop("__keys")
-    marked = lhs.join(matched, same, "left").withColumn("__lone", F.col("__hit").isNull())
-    # A row without a match goes on once, with no key; the others with each of their keys.
-    no_key = F.array(F.lit(None).cast("string"))
-    opened = marked.withColumn("__lk", F.explode(F.when(F.col("__lone"), no_key).otherwise(F.col("__keys"))))
-    joined = opened.drop("__keys", "__hit").join(rhs, F.col("__lk") == F.col("__rk"), "left")
-    return joined.filter(F.col("__lone") | F.col("__rk").isNotNull()).drop("__lone", "__lk", "__rk")
+    alone = lhs.join(matched, same, "left_anti").drop("__keys")
+    opened = lhs.withColumn("__lk", F.explode("__keys")).drop("__keys")
+    found = opened.join(rhs, F.col("__lk") == F.col("__rk")).drop("__lk", "__rk")
+    return found.unionByName(alone, allowMissingColumns=True)
 
 
 # --- saved joins --------------------------------------------------------------------------------

@@ -146,7 +146,8 @@ def edges(links: DataFrame, store) -> DataFrame:
 
 
 def dangling(links: DataFrame, store) -> DataFrame:
-    """Links with no target."""
+    """Links with no target; the links are written once and read on both sides."""
+    links = stage(links, "links")
     hit = resolve(links, store).select(
         F.col("parent_id").alias("__p"), F.col("by").alias("__b"), F.col("target_type").alias("__t"), F.col("key").alias("__k")
     )
@@ -167,9 +168,12 @@ def all_links(store, types: list[str] | None = None, id_norm=values.uuid_norm) -
 def enrich(store, types: list[str], hops: int = 1, id_norm=values.uuid_norm) -> DataFrame:
     """Edges from all entities of the given types; children reached by id are followed further.
 
-    ``hop`` numbers the step an edge was found in.
+    ``hop`` numbers the step an edge was found in. With several hops the link table of all types is
+    written once and read at each.
     """
-    step = edges(all_links(store, types, id_norm), store)
+    every = stage(all_links(store, None, id_norm), "links") if hops > 1 else None
+    first = all_links(store, types, id_norm) if every is None else every.filter(F.col("parent_type").isin(types))
+    step = edges(first, store)
     out = None
     for hop in range(1, hops + 1):
         if hop < hops:
@@ -179,14 +183,14 @@ def enrich(store, types: list[str], hops: int = 1, id_norm=values.uuid_norm) ->
         if hop == hops:
             break
         reached = step.filter("by_id").select(F.col("child_id").alias("__id")).distinct()
-        every = all_links(store, None, id_norm)
         onward = every.join(reached, F.col("parent_id") == F.col("__id"), "left_semi")
         step = edges(onward, store)
     return out
 
 
 def children_lists(found: DataFrame) -> DataFrame:
-    """Children gathered per parent; a list is never longer than the links in the parent's row."""
+    """Children gathered per parent. A list holds the entities the parent's links reach: as many as the links
+    by id, and for a link by reference text all entities that share the text (see ``reference_duplicates``)."""
     return found.groupBy("parent_id").agg(F.array_sort(F.collect_list("child_id")).alias("children"))
 
 

@@ -126,7 +126,7 @@ def by_ids(df: DataFrame, wanted: DataFrame, key: str = "id", pos: str = "pos")
 def by_references(df: DataFrame, schema: EntitySchema, wanted: DataFrame, key: str = "reference") -> DataFrame:
     """Entities of a type whose canonical reference is among the wanted texts.
 
-    Wanted texts are trimmed, blanks dropped and repeats removed first.
+    Wanted and stored texts are trimmed, blanks dropped and repeats removed first.
     """
     field_name = schema.canonical_reference
     if field_name is None:
@@ -135,7 +135,7 @@ def by_references(df: DataFrame, schema: EntitySchema, wanted: DataFrame, key: s
         wanted.select(F.trim(key).alias("__ref")).filter(F.coalesce(F.col("__ref"), F.lit("")) != "").distinct()
     )
     found = df.filter(F.col("entity_type") == F.lit(schema.name))
-    return found.join(asked, Bag.of(found).text(field_name) == asked["__ref"], "left_semi")
+    return found.join(asked, F.trim(Bag.of(found).text(field_name)) == asked["__ref"], "left_semi")
 
 
 def reference_value(df: DataFrame, schema: EntitySchema | None) -> Column:
