@@ -119,12 +119,12 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str, str], ...] = TEMPLATE
     )
     proposed = banded.join(F.broadcast(proposals), (F.col("__b.k") == F.col("k")) & (F.col("__b.m") == F.col("m")))
     start = F.greatest(F.col("__j") * STRIDE - F.col("segment") - WINDOW, F.lit(0))
-    proposed = proposed.select("doc_id", "__row", "__h", "template", "own", start.alias("start")).dropDuplicates(["doc_id", "__row", "template", "start"])
+    proposed = proposed.select("doc_id", "__row", "__h", "template", "own", start.alias("start"))
     stretch = F.slice("__h", F.col("start") + 1, F.size("own") + SLACK)
     share = F.size(F.array_intersect(stretch, "own")).cast("double") / F.size(F.array_distinct("own"))
     sure = proposed.select("doc_id", "__row", "template", "start", share.alias("share")).filter(F.col("share") >= CONTAINED)
     found = sure.groupBy("doc_id", "__row", "template").agg(
-        F.max("share").alias("containment"), F.min("start").cast("long").alias("at_word"), F.count("*").alias("places")
+        F.max("share").alias("containment"), F.min("start").cast("long").alias("at_word"), F.count_distinct("start").alias("places")
     )
     names = F.create_map(*[F.lit(x) for i, t in enumerate(templates) for x in (i, f"{t[0]}\n{t[1]}")])
     named = found.withColumn("__name", F.split(names[F.col("template")], "\n"))
