@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one; those left without a word go, and lengths follow the text."""
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS), whole=True)
     left = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(HAS_WORD))
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

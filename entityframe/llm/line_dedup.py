@@ -1,7 +1,8 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-A line is normalised (lower case, white space runs to one blank, trimmed). Its shingles are the 12-character strings
-that start at a word, hashed to 64 bits. The signature is a one-permutation MinHash: hashes fall into 64 bins by their
+A line is normalised (lower case, white space runs to one blank, trimmed). Its shingles are its 12-character strings,
+hashed to 64 bits: those at every character with ``whole``, else only those that start at a word, which leave the rest
+of long words, the end of the line and scripts without blanks unread. The signature is a one-permutation MinHash: hashes fall into 64 bins by their
 leading bits, the smallest of each bin counts, and an empty bin borrows from the next one that has a value. A band
 takes four bins a quarter of the range apart, so that one shingle seldom fills a band alone.
 
@@ -36,11 +37,25 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")))
 
 
-def shingle_hashes(norm: Column, distinct: bool = True) -> Column:
-    """Sorted hashes of the shingles that start at a word; a signature does not mind repeated ones."""
+def _at_words(norm: Column) -> Column:
     pattern = rf"(?s)(?<![^ ])(?=([^ ].{{{SHINGLE_CHARS - 1}}}))"
-    found = F.regexp_extract_all(norm, F.lit(pattern), F.lit(1))
-    hashes = F.transform(found, lambda s: F.xxhash64(s))
+    return F.transform(F.regexp_extract_all(norm, F.lit(pattern), F.lit(1)), lambda s: F.xxhash64(s))
+
+
+def _at_characters(norm: Column) -> Column:
+    """Hashes of four characters each, then of three such in a row: linear in the line, whatever its length."""
+    fours = lambda chars: F.transform(chars, lambda c, i: F.xxhash64(c, *[F.get(chars, i + j) for j in (1, 2, 3)]))
+
+    def joined(parts: Column) -> Column:
+        starts = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - (SHINGLE_CHARS - 1), F.lit(0)))
+        return F.transform(starts, lambda h, i: F.xxhash64(h, *[F.get(parts, i + j) for j in range(4, SHINGLE_CHARS, 4)]))
+
+    return let(let(F.split(norm, ""), fours), joined)
+
+
+def shingle_hashes(norm: Column, distinct: bool = True, whole: bool = False) -> Column:
+    """Sorted hashes of the shingles; a signature does not mind repeated ones."""
+    hashes = _at_characters(norm) if whole else _at_words(norm)
     return F.sort_array(F.array_distinct(hashes) if distinct else hashes)
 
 
@@ -77,6 +92,10 @@ def similar(a: Column, b: Column) -> Column:
     return F.when(fits, (100 + PERCENT) * inter >= PERCENT * (na + nb)).otherwise(F.lit(False))
 
 
+def similar_lines(a: Column, b: Column, whole: bool = False) -> Column:
+    return let(shingle_hashes(a, whole=whole), lambda x: let(shingle_hashes(b, whole=whole), lambda y: similar(x, y)))
+
+
 def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Every row with ``__id`` (rows without one come last) and ``__hash`` of its text; equal rows are one document."""
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -90,31 +109,37 @@ def _long_lines(rows: DataFrame) -> DataFrame:
     return normal.filter(F.length("norm") >= MIN_CHARS).withColumn("key", F.xxhash64("norm"))
 
 
-def _links_in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _links_in_blocks(members: DataFrame, texts: DataFrame, whole: bool) -> DataFrame:
     """Links between components that still share a bucket; ``members`` has ``bucket, key, component``."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = sizes.filter("low < high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(sets, "key")
+    rows = members.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(texts, "key")
     # A block is a share of a bucket of about BLOCK rows, so its list is bounded whatever the size of the bucket.
-    blocks = rows.groupBy("bucket", "blocks", "block").agg(F.collect_list(F.struct("key", "component", "hashes", "bands")).alias("items"))
+    blocks = rows.groupBy("bucket", "blocks", "block").agg(F.collect_list(F.struct("key", "component", "norm", "bands")).alias("items"))
     first = blocks.select("bucket", F.col("items").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     pairs = first.join(blocks.select("bucket", "block", F.col("items").alias("right")), ["bucket", "block"])
 
+    def hashed(items: str) -> Column:
+        return F.transform(items, lambda x: F.struct(x["key"].alias("key"), x["component"].alias("component"), x["bands"].alias("bands"), shingle_hashes(x["norm"], whole=whole).alias("hashes")))
+
     def differ(x: Column, y: Column) -> Column:
-        # A pair may share several buckets; it is looked at in that of its first common band.
-        common = [F.when(F.get(x["bands"], F.lit(k)) == F.get(y["bands"], F.lit(k)), F.get(x["bands"], F.lit(k))) for k in range(BANDS)]
-        own = F.when(x["component"] != y["component"], F.coalesce(*common) == F.col("bucket"))
+        # A pair may share several buckets; it is looked at in that of its smallest common band.
+        own = F.when(x["component"] != y["component"], F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("bucket"))
         return F.when(own, similar(x["hashes"], y["hashes"])).otherwise(F.lit(False))
 
-    of_one = lambda x: F.transform(F.filter("right", lambda y: differ(x, y)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))
-    return pairs.select(F.explode(F.flatten(F.transform("left", of_one))).alias("p")).select("p.a", "p.b").distinct()
+    def links(left: Column, right: Column) -> Column:
+        of_one = lambda x: F.transform(F.filter(right, lambda y: differ(x, y)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))
+        return F.flatten(F.transform(left, of_one))
+
+    found = let(hashed("left"), lambda left: let(hashed("right"), lambda right: links(left, right)))
+    return pairs.select(F.explode(found).alias("p")).select("p.a", "p.b").distinct()
 
 
-def line_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """``key, component`` of every line that is linked to a different line."""
     lines = _long_lines(_identified(docs.select(doc_id, text), doc_id, text))
     # Bands as plain numbers and hubs by one number: aggregates over those hash their rows and sort nothing.
-    marked = lines.select("key", band_keys(signature(shingle_hashes(F.col("norm"), distinct=False))).alias("bands"))
+    marked = lines.select("key", band_keys(signature(shingle_hashes(F.col("norm"), distinct=False, whole=whole))).alias("bands"))
     flat = marked.select("key", *[F.get("bands", F.lit(k)).alias(f"b{k}") for k in range(BANDS)])
     distinct = stage(flat.groupBy("key").agg(F.count("*").alias("copies"), *[F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS)]), "lines", "zstd")
 
@@ -123,32 +148,32 @@ def line_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     hubs = rows.groupBy("bucket").agg(F.max_by("key", rank).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
     members = stage(rows.select("bucket", "key").join(hubs.hint("shuffle_hash"), "bucket"), "line-buckets", "zstd")
 
-    wanted = members.select("key").distinct()
-    norms = lines.select("key", "norm").join(wanted.hint("shuffle_hash"), "key").groupBy("key").agg(F.first("norm").alias("norm"))
-    hashed = norms.select("key", shingle_hashes(F.col("norm")).alias("hashes"))
-    sets = stage(hashed.select("*", band_keys(signature(F.col("hashes"))).alias("bands")), "line-sets", "zstd")
+    # Texts are kept rather than shingles at every character, which take eight times the room.
+    wanted = members.groupBy("key").agg(F.collect_list("bucket").alias("bands"))
+    norms = lines.select("key", "norm").join(wanted.select("key").hint("shuffle_hash"), "key").groupBy("key").agg(F.first("norm").alias("norm"))
+    texts = stage(norms.join(wanted, "key"), "line-texts", "zstd")
 
     pairs = members.filter("key <> hub").select("hub", "key").distinct()
-    hub_sets = sets.select(F.col("key").alias("hub"), F.col("hashes").alias("hub_hashes"))
-    checked = pairs.join(sets.drop("bands"), "key").join(hub_sets, "hub").filter(similar(F.col("hub_hashes"), F.col("hashes")))
+    hub_texts = texts.select(F.col("key").alias("hub"), F.col("norm").alias("hub_norm"))
+    checked = pairs.join(texts.drop("bands"), "key").join(hub_texts, "hub").filter(similar_lines(F.col("hub_norm"), F.col("norm"), whole))
     links = stage(checked.select(F.col("hub").alias("a"), F.col("key").alias("b")), "line-links")
 
     first_round = components(links).withColumnRenamed("id", "key")
     placed = members.select("bucket", "key").join(first_round, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    more = _links_in_blocks(stage(placed, "line-places", "zstd"), sets)
+    more = _links_in_blocks(stage(placed, "line-places", "zstd"), texts, whole)
     return components(links.union(more)).withColumnRenamed("id", "key")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """The rows with ``text`` reduced to the lines that stay, plus ``n_lines`` and ``n_removed``.
 
     Of all lines in one component, or equal once normalised, the first stays, in order of id and line number; the line
     break of a removed line goes with it. Lines under 24 characters stay as they are: too short to be called similar.
-    Null texts stay null, with no line. Rows without an id take part after all others. Equal rows (same id, same text)
+    ``whole`` takes shingles at every character. Null texts stay null, with no line. Rows without an id take part after all others. Equal rows (same id, same text)
     are one document and are all treated alike. Other columns are kept; columns named ``n_lines`` or ``n_removed`` are
     replaced.
     """
-    linked = line_components(docs, doc_id, text)
+    linked = line_components(docs, doc_id, text, whole)
     rows = _identified(docs, doc_id, text)
     lines = _long_lines(rows.select("__id", "__hash", "__lines")).select("__id", "__hash", "__no", "key")
     named = lines.join(linked.hint("shuffle_hash"), "key", "left").select("__id", "__hash", "__no", F.coalesce("component", "key").alias("component"))

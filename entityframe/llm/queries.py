@@ -78,7 +78,7 @@ def op2_minmax_near_dedup(spark, sf_dir):
 
 @query()
 def op9_fuzzy_line_dedup(spark, sf_dir):
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), whole=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
