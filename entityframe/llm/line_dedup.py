@@ -2,9 +2,10 @@
 
 A line is normalised (lower case, white space runs to one blank, trimmed). Its shingles are its 12-character strings,
 hashed to 64 bits: those at every character with ``whole``, else only those that start at a word, which leave the rest
-of long words, the end of the line and scripts without blanks unread. The signature is a one-permutation MinHash: hashes fall into 64 bins by their
-leading bits, the smallest of each bin counts, and an empty bin borrows from the next one that has a value. A band
-takes four bins a quarter of the range apart, so that one shingle seldom fills a band alone.
+of long words, the end of the line and scripts without blanks unread. A band is a bottom sketch: the smallest few of a set of hashes, which two lines share
+just when those smallest of their union are common to both. Sets of more than 64 hashes are cut into 12 ranges, and the
+four smallest of each range are a band; no hash is in two. Up to 80 hashes, 12 independent permutations of the whole
+set give a band of three each. Sets between the two have both kinds, so that similar sets always share a kind.
 
 Lines that share a band are only proposed. First every line of a bucket is held against the line of the bucket with the
 most copies; where a bucket still holds several components, its lines are cut into blocks of bounded size and every
@@ -26,8 +27,11 @@ from entityframe.session import stage
 MIN_CHARS = 24
 SHINGLE_CHARS = 12
 BINS_LOG = 6
-BAND_BINS = 4
 BANDS = 12
+RANGE_VALUES = 4  # hashes in the band of a range; one with fewer than three gives no band
+SMALL_VALUES = 3  # hashes in the band of a permutation
+MANY = 64
+SMALL = 80  # MANY / 0.8: a set this small is similar to none that is not also this small, or above MANY itself
 PERCENT = 80
 BLOCK = 256
 _LAST = (1 << 63) - 1
@@ -64,7 +68,10 @@ def _bin(h: Column) -> Column:
 
 
 def signature(hashes: Column) -> Column:
-    """The smallest hash of each bin; empty bins take the value of the next one, the last ones that of the first."""
+    """The smallest hash of each bin; empty bins take the value of the next one, the last ones that of the first.
+
+    The bands do not use it any more: on small sets most of its values are the same few.
+    """
 
     def filled(least: Column) -> Column:
         before = lambda i: F.coalesce(_bin(F.get(least, i - 1)), F.lit(-1))
@@ -79,9 +86,34 @@ def signature(hashes: Column) -> Column:
     return let(let(hashes, least_of_bins), filled)
 
 
-def band_keys(sig: Column) -> Column:
-    step = (1 << BINS_LOG) // BAND_BINS
-    return F.array(*[F.xxhash64(F.lit(k), *[F.get(sig, F.lit(k + j * step)) for j in range(BAND_BINS)]) for k in range(BANDS)])
+def _range_bands(hashes: Column) -> Column:
+    share = lambda h: F.shiftright((F.shiftright(h, 32) + (1 << 31)) * BANDS, 32)
+
+    def band(h: Column, i: Column) -> Column:
+        at = lambda j: F.get(hashes, i + j)
+        fourth = [F.when(share(at(j)) == share(h), at(j)) for j in range(3, RANGE_VALUES)]
+        starts = (i == 0) | (share(at(-1)) != share(h))
+        return F.when(F.when(starts, share(at(2)) == share(h)), F.xxhash64(F.lit(-1), h, at(1), at(2), *fourth))
+
+    return F.array_compact(F.transform(hashes, band))
+
+
+def _small_bands(hashes: Column) -> Column:
+    def band(k: int) -> Column:
+        least = F.slice(F.sort_array(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k)))), 1, SMALL_VALUES)
+        return F.xxhash64(F.lit(k), least)
+
+    return F.array(*[band(k) for k in range(BANDS)])
+
+
+def band_keys(hashes: Column) -> Column:
+    """Up to twice ``BANDS`` keys of a sorted array of distinct hashes; which kinds follows from its size alone."""
+    none = F.array().cast("array<long>")
+
+    def keys(h: Column) -> Column:
+        return F.concat(F.when(F.size(h) <= SMALL, _small_bands(h)).otherwise(none), F.when(F.size(h) > MANY, _range_bands(h)).otherwise(none))
+
+    return let(hashes, keys)
 
 
 def similar(a: Column, b: Column) -> Column:
@@ -139,11 +171,12 @@ def line_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``key, component`` of every line that is linked to a different line."""
     lines = _long_lines(_identified(docs.select(doc_id, text), doc_id, text))
     # Bands as plain numbers and hubs by one number: aggregates over those hash their rows and sort nothing.
-    marked = lines.select("key", band_keys(signature(shingle_hashes(F.col("norm"), distinct=False, whole=whole))).alias("bands"))
-    flat = marked.select("key", *[F.get("bands", F.lit(k)).alias(f"b{k}") for k in range(BANDS)])
-    distinct = stage(flat.groupBy("key").agg(F.count("*").alias("copies"), *[F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS)]), "lines", "zstd")
+    marked = lines.select("key", band_keys(shingle_hashes(F.col("norm"), whole=whole)).alias("bands"))
+    names = [f"b{k}" for k in range(2 * BANDS)]
+    flat = marked.select("key", *[F.get("bands", F.lit(k)).alias(name) for k, name in enumerate(names)])
+    distinct = stage(flat.groupBy("key").agg(F.count("*").alias("copies"), *[F.first(name).alias(name) for name in names]), "lines", "zstd")
 
-    rows = distinct.select("key", "copies", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("bucket"))
+    rows = distinct.select("key", "copies", F.explode(F.array_compact(F.array(*names))).alias("bucket"))
     rank = F.col("copies") * (1 << 16) + F.pmod("key", F.lit(1 << 16))
     hubs = rows.groupBy("bucket").agg(F.max_by("key", rank).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
     members = stage(rows.select("bucket", "key").join(hubs.hint("shuffle_hash"), "bucket"), "line-buckets", "zstd")
