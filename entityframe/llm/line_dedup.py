@@ -134,11 +134,12 @@ def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), "__hash": F.xxhash64(whole), "__lines": F.split(whole, "\n")})
 
 
-def _long_lines(rows: DataFrame) -> DataFrame:
-    """``__id, __hash, __no, norm, key`` of each line long enough to take part."""
+def _lines(rows: DataFrame, whole: bool) -> DataFrame:
+    """``__id, __hash, __no, norm, key`` of each line that takes part: with ``whole`` all that are not blank, else long ones."""
     lines = rows.select("__id", "__hash", F.posexplode("__lines").alias("__no", "__line"))
-    normal = lines.filter(F.length("__line") >= MIN_CHARS).select("__id", "__hash", "__no", normalised(F.col("__line")).alias("norm"))
-    return normal.filter(F.length("norm") >= MIN_CHARS).withColumn("key", F.xxhash64("norm"))
+    taken = lines if whole else lines.filter(F.length("__line") >= MIN_CHARS)
+    normal = taken.select("__id", "__hash", "__no", normalised(F.col("__line")).alias("norm"))
+    return normal.filter(F.length("norm") >= (1 if whole else MIN_CHARS)).withColumn("key", F.xxhash64("norm"))
 
 
 def _links_in_blocks(members: DataFrame, texts: DataFrame, whole: bool) -> DataFrame:
@@ -169,7 +170,7 @@ def _links_in_blocks(members: DataFrame, texts: DataFrame, whole: bool) -> DataF
 
 def line_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """``key, component`` of every line that is linked to a different line."""
-    lines = _long_lines(_identified(docs.select(doc_id, text), doc_id, text))
+    lines = _lines(_identified(docs.select(doc_id, text), doc_id, text), whole).filter(F.length("norm") >= MIN_CHARS)
     # Bands as plain numbers and hubs by one number: aggregates over those hash their rows and sort nothing.
     marked = lines.select("key", band_keys(shingle_hashes(F.col("norm"), whole=whole)).alias("bands"))
     names = [f"b{k}" for k in range(2 * BANDS)]
@@ -201,14 +202,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", who
     """The rows with ``text`` reduced to the lines that stay, plus ``n_lines`` and ``n_removed``.
 
     Of all lines in one component, or equal once normalised, the first stays, in order of id and line number; the line
-    break of a removed line goes with it. Lines under 24 characters stay as they are: too short to be called similar.
-    ``whole`` takes shingles at every character. Null texts stay null, with no line. Rows without an id take part after all others. Equal rows (same id, same text)
+    break of a removed line goes with it. Lines under 24 characters are too short to be called similar. ``whole`` takes
+    shingles at every character and removes equal short lines too, all but blank ones; without it short lines stay. Null texts stay null, with no line. Rows without an id take part after all others. Equal rows (same id, same text)
     are one document and are all treated alike. Other columns are kept; columns named ``n_lines`` or ``n_removed`` are
     replaced.
     """
     linked = line_components(docs, doc_id, text, whole)
     rows = _identified(docs, doc_id, text)
-    lines = _long_lines(rows.select("__id", "__hash", "__lines")).select("__id", "__hash", "__no", "key")
+    lines = _lines(rows.select("__id", "__hash", "__lines"), whole).select("__id", "__hash", "__no", "key")
     named = lines.join(linked.hint("shuffle_hash"), "key", "left").select("__id", "__hash", "__no", F.coalesce("component", "key").alias("component"))
     at = F.struct("__id", "__hash", "__no")
     first = named.groupBy("component").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(F.col("first") != F.col("last")).drop("last")

@@ -75,3 +75,12 @@ def test_whole_lines_match_brute_force(make, monkeypatch):
             if group[a] != group[b] and alike(lines[a], lines[b]):
                 group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
     assert {r.doc_id for r in got if not r.n_removed} == set(group)
+
+
+def test_short_lines_are_removed_where_equal(spark, make, tmp_path):
+    items = [(1, "Les.\n\nLes.\nshort"), (2, "les. \n \t\nother\n\n今天天气很好我们去公园"), (3, "Les\n今天天气很好我们去公园\nshore"), (4, "ab  " + " " * 30 + "c"), (5, "ab c")]
+    make(items).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in Q.op9_fuzzy_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 1), 2: (5, 1), 3: (3, 1), 4: (1, 0), 5: (1, 1)}
+    text = {r.doc_id: r.text for r in line_dedup.dedup_lines(make(items), whole=True).collect()}
+    assert text[1] == "Les.\n\nshort" and text[2] == " \t\nother\n\n今天天气很好我们去公园" and text[3] == "Les\nshore"
