@@ -1,13 +1,17 @@
-"""Approximate nearest neighbours by inner product: a vantage-point tree per shard of the candidates.
+"""Approximate nearest neighbours by inner product: vantage-point trees per shard of the candidates, one per norm band.
 
 Largest inner product becomes nearest Euclidean point by one extra coordinate: a candidate x is lifted to
-(x, √(M² - |x|²)) with M the largest norm, a query q is scaled to length M and gets 0 there. Vantage points split the
+(x, √(M² - |x|²)) with M the largest norm of the tree, a query q is scaled to length M and gets 0 there. Vantage points split the
 lifted candidates at the median distance; each half keeps the least and largest distance of its points from the vantage
 point, and the triangle inequality bounds from below how near any of them can be to a query.
 
 A half is left out when ``factor`` times that bound exceeds the distance of the k-th neighbour found so far. Factor 1 is
 the exact search; larger factors leave out more. All queries of a block walk a tree together, so the work at a node is
-a few array operations. Every vector is indexed; scores are recomputed in double precision from the original vectors.
+a few array operations. Every vector is indexed. The norms in a tree differ by a factor of two at most, so a few long
+vectors neither flatten the distances of the others nor coarsen their scores.
+
+The k best are chosen by the exact double score, summed the same way for every pair, so that equal vectors tie. A matrix
+product with a bound on its rounding picks the pairs that are worth that sum.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ FACTOR = 1.1
 SHARD_ROWS = 8192
 QUERY_ROWS = 2048
 LEAF = 128
-_DIGITS = 11  # scores that agree to so many digits of the largest norm are ties until they are recomputed
+_PAIRS = 1 << 16
 
 
 @dataclass
@@ -60,22 +64,32 @@ def build(lifted: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> Node:
 class Search:
     """The k best candidates of every query of a block, by score and then by the smaller id."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, largest: float, k: int, factor: float):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         self.query_ids, self.queries = query_ids, queries
-        self.k, self.factor, self.largest = k, factor, largest
-        rest = np.sqrt(np.maximum(largest**2 - (self.vectors**2).sum(axis=1), 0.0))
-        self.lifted = np.concatenate([self.vectors, rest[:, None]], axis=1)
+        self.k, self.factor = k, factor
+        self.lengths = np.sqrt((self.vectors**2).sum(axis=1))
         self.norms = np.sqrt((queries**2).sum(axis=1))
-        self.aimed = np.concatenate([queries * (largest / self.norms)[:, None], np.zeros((len(queries), 1))], axis=1)
         self.scores = np.full((len(queries), k), -np.inf)
         self.found = np.full((len(queries), k), len(ids), dtype=np.int64)
 
     def run(self) -> Search:
-        self._visit(build(self.lifted, np.arange(len(self.ids))), np.arange(len(self.queries)))
+        band = np.frexp(self.lengths)[1]
+        for one in np.unique(band)[::-1]:
+            self._search(np.flatnonzero(band == one))
         return self
 
+    def _search(self, points: np.ndarray) -> None:
+        """All queries against the candidates of one norm band."""
+        own, lengths = self.vectors[points], self.lengths[points]
+        self.largest = float(lengths.max())
+        rest = np.sqrt(np.maximum(self.largest**2 - lengths**2, 0.0))
+        self.points = points
+        self.lifted = np.concatenate([own, rest[:, None]], axis=1)
+        self.aimed = np.concatenate([self.queries * (self.largest / self.norms)[:, None], np.zeros((len(self.queries), 1))], axis=1)
+        self._visit(build(self.lifted, np.arange(len(points))), np.arange(len(self.queries)))
+
     def _reach(self, who: np.ndarray) -> np.ndarray:
         """Lifted distance of the k-th neighbour so far, with room for rounding."""
         worst = self.scores[who, -1]
@@ -99,14 +113,30 @@ class Search:
 
     def _leaf(self, points: np.ndarray, who: np.ndarray) -> None:
         for at in range(0, len(points), 4 * LEAF):
-            self._merge(points[at : at + 4 * LEAF], who)
+            self._merge(self.points[points[at : at + 4 * LEAF]], who)
+
+    def _worthwhile(self, points: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """Exact scores of all pairs that may be among the k best; -inf for the others."""
+        rough = self.queries[who] @ self.vectors[points].T
+        off = 4 * (self.vectors.shape[1] + 1) * np.finfo(float).eps * self.norms[who][:, None] * self.lengths[points][None, :]
+        same = self.query_ids[who][:, None] == self.ids[points][None, :]
+        least = self.scores[who, -1]
+        if len(points) > self.k:
+            low = np.where(same, -np.inf, rough - off)
+            least = np.maximum(least, np.partition(low, -self.k, axis=1)[:, -self.k])
+        query, place = np.nonzero(~same & (rough + off >= least[:, None]))
+        scores = np.full(rough.shape, -np.inf)
+        for at in range(0, len(query), _PAIRS):
+            q, p = query[at : at + _PAIRS], place[at : at + _PAIRS]
+            scores[q, p] = self._exact(who[q], points[p])
+        return scores
+
+    def _exact(self, query: np.ndarray, point: np.ndarray) -> np.ndarray:
+        return (self.queries[query] * self.vectors[point]).sum(axis=1)
 
     def _merge(self, points: np.ndarray, who: np.ndarray) -> None:
-        # Rounded, so that equal vectors tie whatever order the products were added in.
-        unit = 10.0 ** (np.ceil(np.log10(self.largest)) * 2 - _DIGITS)
-        scores = np.round(self.queries[who] @ self.vectors[points].T / unit) * unit
-        scores[self.query_ids[who][:, None] == self.ids[points][None, :]] = -np.inf
-        better = scores.max(axis=1) >= self.scores[who, -1]
+        scores = self._worthwhile(points, who)
+        better = scores.max(axis=1) > -np.inf
         who, scores = who[better], scores[better]
         all_scores = np.concatenate([self.scores[who], scores], axis=1)
         all_found = np.concatenate([self.found[who], np.broadcast_to(points, scores.shape)], axis=1)
@@ -117,9 +147,7 @@ class Search:
 
     def rows(self) -> pd.DataFrame:
         query, place = np.nonzero(np.isfinite(self.scores))
-        at = self.found[query, place]
-        score = (self.queries[query] * self.vectors[at]).sum(axis=1)
-        return pd.DataFrame({"query_id": self.query_ids[query], "vec_id": self.ids[at], "score": score})
+        return pd.DataFrame({"query_id": self.query_ids[query], "vec_id": self.ids[self.found[query, place]], "score": self.scores[query, place]})
 
 
 def nearest(
@@ -137,9 +165,8 @@ def nearest(
     sound = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & sound)
     rows = rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    square = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
     is_query = F.pmod(F.col("id"), F.lit(every)) == 0
-    count, asked, largest = rows.agg(F.count("*"), F.count(F.when(is_query, 1)), F.sqrt(F.max(square))).first()
+    count, asked = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     if not count or not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards, blocks = -(-count // shard_rows), -(-asked // query_rows)
@@ -155,7 +182,7 @@ def nearest(
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         grids = [np.stack(side["v"].to_list()).astype(np.float64) for side in (left, right)]
-        return Search(left["id"].to_numpy(), grids[0], right["id"].to_numpy(), grids[1], float(largest), k, factor).run().rows()
+        return Search(left["id"].to_numpy(), grids[0], right["id"].to_numpy(), grids[1], k, factor).run().rows()
 
     keys = ["dim", "shard", "block"]
     found = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
