@@ -6,6 +6,8 @@ of a path (ancestors, descendants) or on its parent (children, siblings), never
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +114,15 @@ def siblings(df: DataFrame, anchors: DataFrame) -> DataFrame:
     return near.join(marks, match).drop("__up", "__anchor_up", "anchor_org")
 
 
+def hierarchies(df: DataFrame, anchors: DataFrame) -> DataFrame:
+    """One row per anchor and entity of its hierarchy, marked by ``relation`` as in ``hierarchy_of``."""
+    marks = _anchors(anchors)
+    own = df.join(marks, (F.col("path") == F.col("anchor_path")) & _same_org()).drop("anchor_org")
+    parts = {"current": own, "ancestor": ancestors(df, anchors).drop("depth"), "child": children(df, anchors), "sibling": siblings(df, anchors)}
+    marked = [part.withColumn("relation", F.lit(name)) for name, part in parts.items()]
+    return reduce(DataFrame.unionByName, marked)
+
+
 # --- new paths ----------------------------------------------------------------------------------
 
 
