@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityframe.llm import license_scan, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, suffix_dedup, token_files, vp_search
+from entityframe.llm import cross_tokens, license_scan, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, suffix_dedup, token_files, vp_search
 from entityframe.llm.text import STOP_WORDS
 
 QUERIES: dict = {}
@@ -117,3 +117,10 @@ def op7_vantage_point_search(spark, sf_dir):
 @query()
 def op4_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_lockstep_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    return cross_tokens.align(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
