@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityframe.llm import cross_tokens, license_scan, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, suffix_dedup, token_files, vp_search
+from entityframe.llm import cross_tokens, filter_audit, license_scan, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, suffix_dedup, token_files, vp_search
 from entityframe.llm.text import STOP_WORDS
 
 QUERIES: dict = {}
@@ -124,3 +124,45 @@ def op12_lockstep_alignment(spark, sf_dir):
     import public_tokenizers
 
     return cross_tokens.align(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+AUDIT_SQL = """
+with words as (
+    select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w
+    from documents
+), marked as (
+    select doc_id, coalesce(max(if(quality = 1, 1, 0)), 0) as good, coalesce(max(if(toxic = 1, 1, 0)), 0) as toxic from labels group by doc_id
+), masks as (
+    select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+        if(len(w) < 50, 1, 0) + if(100 * len(list_distinct(w)) < 65 * len(w), 2, 0)
+            + if(100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text), 4, 0) + if(regexp_matches(text, '[#$%&*|]'), 8, 0)
+            + if(coalesce(doc_id > min(doc_id) over (partition by text), false), 16, 0) as mask
+    from words left join marked using (doc_id)
+), cells as (
+    select part, mask, count(*) as n, sum(good) as g, sum(toxic) as t from masks group by part, mask
+), letters as (
+    select unnest(['A', 'B', 'C', 'D', 'E']) as l
+), orders as (
+    select a.l || b.l || c.l || d.l || e.l as filter_order from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps as (
+    select filter_order, step, 1 << (ascii(filter_order[step]) - 65) as bit,
+        coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::bigint as before
+    from orders, (select unnest(range(1, 6)) as step)
+)
+select part, filter_order, cast(step as integer) as step,
+    cast(sum(if(mask & (bit | before) = 0, n, 0)) as bigint) as kept,
+    cast(sum(if(mask & bit <> 0 and mask & before = 0, n, 0)) as bigint) as removed,
+    cast(sum(if(mask & bit <> 0 and mask & before <> 0, n, 0)) as bigint) as redundant,
+    cast(sum(if(mask = bit, n, 0)) as bigint) as unique_fails,
+    cast(sum(if(mask & bit <> 0 and mask & before = 0, g, 0)) as bigint) as good_lost,
+    cast(sum(if(mask & bit <> 0 and mask & before = 0, t, 0)) as bigint) as toxic_lost,
+    cast(sum(if(mask & bit <> 0, n * (120 // greatest(bit_count(mask::bigint), 1)), 0)) as bigint) as shapley
+from cells, steps group by part, filter_order, step
+"""
+
+
+@query(AUDIT_SQL)
+def op13_retraction_audit(spark, sf_dir):
+    return filter_audit.audit(filter_audit.count_masks(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels")))
