@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityframe.llm import cross_tokens, filter_audit, license_scan, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, suffix_dedup, token_files, vp_search
+from entityframe.llm import cross_tokens, filter_audit, license_scan, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, suffix_dedup, token_files, url_filter, vp_search
 from entityframe.llm.text import STOP_WORDS
 
 QUERIES: dict = {}
@@ -166,3 +166,53 @@ from cells, steps group by part, filter_order, step
 @query(AUDIT_SQL)
 def op13_retraction_audit(spark, sf_dir):
     return filter_audit.audit(filter_audit.count_masks(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels")))
+
+
+def _url_sql() -> str:
+    """Rules by a case of the longest first; host scores by one table per round."""
+    q = lambda text: "'" + text.replace("'", "''") + "'"
+    host = f"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), {q(url_filter._UPPER)}, {q(url_filter._LOWER)})"
+    path = "coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '')"
+    longest = sorted(url_filter.RULES, key=lambda r: -len(r.name))
+    fits = lambda r: f"(host = {q(r.host)} or ends_with(host, {q('.' + r.host)})) and starts_with(path, {q(r.path)})"
+    case = lambda value: "case " + " ".join(f"when {fits(r)} then {q(value(r))}" for r in longest) + " end"
+    d = url_filter.DAMPING
+    rounds = [
+        f"""r{n} as materialized (
+    select kind, host, (seed * {100 - d}) // 100 + (coalesce(arrived, 0) // 100) * {d} + ((coalesce(arrived, 0) % 100) * {d}) // 100 as score
+    from seeds left join (
+        select kind, dst as host, sum(score // outs)::bigint as arrived from ways join r{n - 1} using (kind, host) group by all
+    ) using (kind, host)
+)"""
+        for n in range(1, url_filter.ROUNDS + 1)
+    ]
+    return f"""
+with placed as materialized (
+    select page_id, {host} as host, {path} as path, html from pages
+), judged as materialized (
+    select page_id, host, path, html, {case(lambda r: r.name)} as rule, {case(lambda r: r.verdict)} as rule_verdict from placed
+), named as (
+    select distinct host as src, trim(translate(run, {q(url_filter._UPPER)}, {q(url_filter._LOWER)}), {q(url_filter.EDGES)}) as dst
+    from (select host, unnest(regexp_split_to_array(html, {q(url_filter.SEPARATORS)})) as run from judged) where contains(run, '.')
+), edges as materialized (
+    select src, dst from named where src <> '' and dst <> '' and src <> dst and dst in (select host from judged)
+), ways as materialized (
+    select *, count(*) over (partition by kind, host) as outs
+    from (select 'trust' as kind, src as host, dst from edges union all select 'distrust', dst, src from edges)
+), seeds as materialized (
+    select 'trust' as kind, host, (count(*) filter (rule_verdict = 'allow') * {url_filter.UNIT}) // count(*) as seed from judged where host <> '' group by host
+    union all
+    select 'distrust', host, (count(*) filter (rule_verdict = 'block') * {url_filter.UNIT}) // count(*) from judged where host <> '' group by host
+), r0 as materialized (
+    select kind, host, seed as score from seeds
+), {", ".join(rounds)}, blocked as (
+    select host from r{url_filter.ROUNDS} group by host
+    having max(score) filter (kind = 'distrust') * 100 > max(score) filter (kind = 'trust') * {url_filter.MARGIN}
+)
+select page_id, host, path, rule, coalesce(rule_verdict, if(host in (select host from blocked), 'block', 'allow')) as verdict from judged
+"""
+
+
+@query(_url_sql())
+def op11_link_graph_urls(spark, sf_dir):
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.RULES)

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_registered_names():
-    assert [sum(n.startswith(f"op{k}_") for n in Q.QUERIES) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in Q.QUERIES) for k in range(1, 14)] == [1] * 13
     assert set(Q.ORACLES) <= set(Q.QUERIES)
 
 
