@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from entityframe.model import COLUMNS, EntitySchema
-from entityframe.operators import versions
-from entityframe.session import stage
+from entityframe.model import EntitySchema
 from entityframe.sources.csv_files import RawTable, raw_table
 from entityframe.sources.ingest import Ingest
-from entityframe.sources.tables import packed
+from entityframe.streaming.state import HistoryStore
 
 
 def ingest_stream(
@@ -52,93 +49,41 @@ def read_entities(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/entities")
 
 
-BUCKETS = 256
-
-
-def _bucket(column: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
-
-
-def _newest(spark: SparkSession, out: str, before: int | None = None) -> dict[int, tuple[int, int, int]]:
-    """Per bucket the newest batch that wrote it, and how many live and archived entities it holds.
-
-    One line per bucket: bounded by the number of buckets.
-    """
-    marks = spark.read.parquet(f"{out}/marks")
-    if before is not None:
-        marks = marks.filter(F.col("batch") < before)
-    last = marks.groupBy("bucket").agg(F.max_by(F.struct("batch", "live", "past"), "batch").alias("m")).collect()
-    return {r["bucket"]: (r["m"]["batch"], r["m"]["live"], r["m"]["past"]) for r in last}
-
-
-def _stored(spark: SparkSession, out: str, table: str, places: list[tuple[int, int]]) -> DataFrame | None:
-    paths = [f"{out}/{table}/batch={batch}/bucket={bucket}" for bucket, batch in places]
-    return spark.read.parquet(*paths) if paths else None
-
-
-def _state(spark: SparkSession, out: str, start: DataFrame, newest: dict[int, tuple[int, int, int]], wanted: list[int], buckets: int) -> DataFrame:
-    """Live entities of some buckets: as last written, else as at the start."""
-    unwritten = [b for b in wanted if b not in newest]
-    own = start.filter(_bucket("id", buckets).isin(unwritten)) if unwritten else start.limit(0)
-    written = _stored(spark, out, "current", [(b, newest[b][0]) for b in wanted if b in newest and newest[b][1]])
-    return own if written is None else own.unionByName(written)
-
-
 def history_stream(
     changes: DataFrame,
     spark: SparkSession,
     out: str,
     checkpoint: str,
     start: DataFrame,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> StreamingQuery:
-    """Apply a stream of changes; a micro-batch rewrites only the buckets of the state it touches.
+    """Apply a stream of changes to the entities of ``start``, a batch of the store at ``out`` per micro-batch.
 
-    Entities are dealt into ``buckets`` by a hash of their id. Batch ``n`` writes the new state of the
-    touched buckets, their highest archived versions, the rows it archived, and a mark per bucket, all
-    under its own number, and reads what earlier batches marked: a folder being read is never
-    written, and a batch run again repeats its own folders only. ``read_state`` gives the newest state.
+    Changes may come late or more than once: the outcome is that of all changes in the order of ``seq``. ``buckets`` sets
+    the number of key ranges, else it follows the size of ``start``. See ``state.HistoryStore`` for the files; ``read_state``,
+    ``read_history`` and ``read_refused`` give what the newest finished micro-batch left.
     """
-    start = packed(start).select(*COLUMNS)
-
-    def mark(rows: list[tuple[int, int, int]], number: int) -> None:
-        spark.createDataFrame(rows, "bucket int, live long, past long").write.mode("overwrite").parquet(f"{out}/marks/batch={number}")
-
-    def one_batch(batch: DataFrame, number: int) -> None:
-        batch = stage(batch, "changes")
-        touched = sorted(r[0] for r in batch.select(_bucket("id", buckets)).distinct().collect())
-        if not touched:
-            mark([], number)
-            return
-        newest = _newest(spark, out, number) if number else {}
-        current = _state(spark, out, start, newest, touched, buckets)
-        past = _stored(spark, out, "past", [(b, newest[b][0]) for b in touched if b in newest and newest[b][2]])
-        applied = versions.apply_changes(current, batch, past)
-        applied.archived.write.mode("overwrite").parquet(f"{out}/history/batch={number}")
-        most = applied.archived.select("entity_id", "version")
-        most = versions.max_versions(most if past is None else most.unionByName(past.select("entity_id", "version")))
-        for name, rows, key in (("current", applied.current, "id"), ("past", most.withColumnRenamed("max_version", "version"), "entity_id")):
-            placed = rows.withColumn("bucket", _bucket(key, buckets))
-            placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/{name}/batch={number}")
-        held = {name: _counts(spark, f"{out}/{name}/batch={number}") for name in ("current", "past")}
-        mark([(b, held["current"].get(b, 0), held["past"].get(b, 0)) for b in touched], number)
-
+    store = HistoryStore(spark, out)
+    store.create(start, buckets)
     return (
-        changes.writeStream.foreachBatch(one_batch)
+        changes.writeStream.foreachBatch(store.apply)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def _counts(spark: SparkSession, path: str) -> dict[int, int]:
-    df = spark.read.schema("bucket int").parquet(path)
-    return {r["bucket"]: r["count"] for r in df.groupBy("bucket").count().collect()}
+def read_state(spark: SparkSession, out: str, start: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
+    """The live entities of a history stream; the store itself knows its start and its key ranges."""
+    return HistoryStore(spark, out).current()
+
+
+def read_history(spark: SparkSession, out: str) -> DataFrame:
+    return HistoryStore(spark, out).history()
 
 
-def read_state(spark: SparkSession, out: str, start: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """The newest live entities of a history stream."""
-    return _state(spark, out, packed(start).select(*COLUMNS), _newest(spark, out), list(range(buckets)), buckets)
+def read_refused(spark: SparkSession, out: str) -> DataFrame:
+    return HistoryStore(spark, out).refused()
 
 
-__all__ = ["history_stream", "ingest_stream", "read_entities", "read_state"]
+__all__ = ["history_stream", "ingest_stream", "read_entities", "read_history", "read_refused", "read_state"]

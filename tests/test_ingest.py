@@ -193,8 +193,7 @@ def test_history_stream(spark, tmp_path):
         )
         jobs.history_stream(changes, spark, str(tmp_path / "out"), str(tmp_path / "marks"), start).awaitTermination()
     current = jobs.read_state(spark, str(tmp_path / "out"), start)
-    touched = {p.name for p in (tmp_path / "out/current/batch=0").glob("bucket=*")}
-    assert len(touched) == 1  # only the bucket of the changed entity is written
+    assert spark.read.parquet(str(tmp_path / "out/deltas/0-0")).count() == 1  # only the changed entity is written
     assert sorted(map(tuple, current.select("id", "version").collect())) == [("a", 3), ("b", 1)]
     past = spark.read.parquet(str(tmp_path / "out/history"))
     assert sorted(map(tuple, past.select("entity_id", "version").collect())) == [("a", 1), ("a", 2)]
