@@ -68,21 +68,55 @@ def apply_changes_current(spark, sf):
     return applied.current.select("id", "version", F.col("properties.kind").alias("kind"), F.col("properties.value").alias("value"))
 
 
-@query(CHAIN + "SELECT 'user:' || user_id AS id, CAST(version AS BIGINT) AS version, event_type AS kind, value FROM chain WHERE op <> 'DELETE' AND next_op IS NULL")
-def stream_history(spark, sf):
-    """The same changes arriving as a stream of three files, a micro-batch each."""
+def streamed(spark, sf, thirds, repeat=()):
+    """Run the changes through a stream, a third of the feed (by event id) per micro-batch in the order given; ``repeat``
+    names thirds that arrive a second time at the end."""
     tune(spark)
     out, marks, feed = (staging_path(spark, name) for name in ("history", "marks", "feed"))
     events = X.table(spark, sf, "events")
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
     third = (high - low) // 3 + 1
-    for part in range(3):
-        own = F.floor((F.col("event_id") - low) / third) == part
-        events.filter(own).coalesce(1).write.mode("append").parquet(feed)
-    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(feed)
     start = X.users_at_split(spark, sf)
-    jobs.history_stream(X.changes_of(arriving), spark, out, marks, start, buckets=16).awaitTermination()
-    return jobs.read_state(spark, out, start, buckets=16).select("id", "version", F.col("properties.kind").alias("kind"), F.col("properties.value").alias("value"))
+    for at, part in enumerate((*thirds, *repeat)):
+        own = F.floor((F.col("event_id") - low) / third) == part
+        events.filter(own).repartitionByRange("event_id").write.parquet(f"{feed}/part={at}")
+        # What has arrived by now; files of earlier parts are known to the checkpoint.
+        arriving = spark.readStream.schema(events.schema).parquet(f"{feed}/part=*")
+        jobs.history_stream(X.changes_of(arriving), spark, out, marks, start).awaitTermination()
+    return out
+
+
+NEWEST = CHAIN + "SELECT 'user:' || user_id AS id, CAST(version AS BIGINT) AS version, event_type AS kind, value FROM chain WHERE op <> 'DELETE' AND next_op IS NULL"
+
+
+@query(NEWEST)
+def stream_history(spark, sf):
+    """The same changes arriving as a stream, a third after the other."""
+    state = jobs.read_state(spark, streamed(spark, sf, (0, 1, 2)))
+    return state.select("id", "version", F.col("properties.kind").alias("kind"), F.col("properties.value").alias("value"))
+
+
+@query(NEWEST)
+def stream_history_late(spark, sf):
+    """The last third arrives before the others and a second time: the outcome is that of the order of the changes."""
+    state = jobs.read_state(spark, streamed(spark, sf, (2, 0, 1), repeat=(2,)))
+    return state.select("id", "version", F.col("properties.kind").alias("kind"), F.col("properties.value").alias("value"))
+
+
+@query(
+    CHAIN
+    + """
+    SELECT 'user:' || user_id AS entity_id, CAST(version AS BIGINT) AS version, next_op AS change_type, value,
+           strftime(next_ts, '%Y-%m-%d %H:%M:%S') AS changed_at
+    FROM chain WHERE op <> 'DELETE' AND next_op IS NOT NULL
+    """
+)
+def stream_history_archived(spark, sf):
+    """What the stream archived, with the middle third late."""
+    past = jobs.read_history(spark, streamed(spark, sf, (0, 2, 1)))
+    return past.select(
+        "entity_id", "version", "change_type", F.col("properties.value").alias("value"), F.date_format("changed_at", "yyyy-MM-dd HH:mm:ss").alias("changed_at")
+    )
 
 
 @query(
@@ -153,13 +187,11 @@ def snapshot_flatten(spark, sf):
 @query(
     EVERY
     + """
-    , f AS (SELECT id, version, 'kind' AS key, '"' || event_type || '"' AS val FROM v
-            UNION ALL SELECT id, version, 'value', regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') FROM v
-            UNION ALL SELECT id, version, 'meta.k', CAST(k AS VARCHAR) FROM v
-            UNION ALL SELECT id, version, 'tags[0]', '"' || event_type || '"' FROM v
-            UNION ALL SELECT id, version, 'tags[1]', '"seen"' FROM v)
-    SELECT b.id AS entity_id, b.version + 1 AS version, b.key, b.val AS old_value, t.val AS new_value, 'changed' AS change
-    FROM f b JOIN f t ON b.id = t.id AND b.key = t.key AND t.version = b.version + 1 WHERE b.val IS DISTINCT FROM t.val
+    , f AS (SELECT id, version, unnest([
+                {'key': 'kind', 'val': '"' || event_type || '"'}, {'key': 'value', 'val': regexp_replace(CAST(value AS VARCHAR), '\\.0$', '')},
+                {'key': 'meta.k', 'val': CAST(k AS VARCHAR)}, {'key': 'tags[0]', 'val': '"' || event_type || '"'}, {'key': 'tags[1]', 'val': '"seen"'}], recursive := true) FROM v),
+    d AS (SELECT *, lag(val) OVER (PARTITION BY id, key ORDER BY version) AS before FROM f)
+    SELECT id AS entity_id, version, key, before AS old_value, val AS new_value, 'changed' AS change FROM d WHERE version > 1 AND val IS DISTINCT FROM before
     """
 )
 def snapshot_diff(spark, sf):
