@@ -1,11 +1,11 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-A line is normalised (lower case, white space runs to one blank, trimmed). Its shingles are its 12-character strings,
-hashed to 64 bits: those at every character with ``whole``, else only those that start at a word, which leave the rest
-of long words, the end of the line and scripts without blanks unread. A band is a bottom sketch: the smallest few of a set of hashes, which two lines share
-just when those smallest of their union are common to both. Sets of more than 64 hashes are cut into 12 ranges, and the
-four smallest of each range are a band; no hash is in two. Up to 80 hashes, 12 independent permutations of the whole
-set give a band of three each. Sets between the two have both kinds, so that similar sets always share a kind.
+A line is normalised (lower case, white space runs to one blank, trimmed). Its shingles are its 12-character strings: those
+at every character with ``whole``, else only those that start at a word, which leave the rest of long words, the end of the
+line and scripts without blanks unread. Different lines are opened into a row per shingle, whose hash is put through 18
+permutations (rotations of two independent hashes); the smallest and the largest value under each are kept by one aggregate
+that needs no shuffle. Three such values of different permutations make a band, so two lines share a band with the third
+power of their similarity, whatever their length.
 
 Lines that share a band are only proposed. First every line of a bucket is held against the line of the bucket with the
 most copies; where a bucket still holds several components, its lines are cut into blocks of bounded size and every
@@ -17,6 +17,8 @@ Equal lines are recognised by a 64-bit hash: among n different lines the chance
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,19 +28,19 @@ from entityframe.session import stage
 
 MIN_CHARS = 24
 SHINGLE_CHARS = 12
-BINS_LOG = 6
 BANDS = 12
-RANGE_VALUES = 4  # hashes in the band of a range; one with fewer than three gives no band
-SMALL_VALUES = 3  # hashes in the band of a permutation
-MANY = 64
-SMALL = 80  # MANY / 0.8: a set this small is similar to none that is not also this small, or above MANY itself
+PERMUTATIONS = 18  # each gives two values, so that every band has three
+ROTATION = 7  # bits between two permutations of one hash
 PERCENT = 80
 BLOCK = 256
 _LAST = (1 << 63) - 1
+_ODD_SPACE = ("  ", "\t", "\x0b", "\x0c", "\r", "\n")
 
 
 def normalised(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")))
+    """Only lines that hold other white space than single blanks go through the regular expression."""
+    odd = functools.reduce(lambda x, y: x | y, [line.contains(c) for c in _ODD_SPACE])
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")).otherwise(line)))
 
 
 def _at_words(norm: Column) -> Column:
@@ -63,57 +65,26 @@ def shingle_hashes(norm: Column, distinct: bool = True, whole: bool = False) ->
     return F.sort_array(F.array_distinct(hashes) if distinct else hashes)
 
 
-def _bin(h: Column) -> Column:
-    return (F.shiftright(h, 64 - BINS_LOG) + (1 << (BINS_LOG - 1))).cast("int")
-
-
-def signature(hashes: Column) -> Column:
-    """The smallest hash of each bin; empty bins take the value of the next one, the last ones that of the first.
-
-    The bands do not use it any more: on small sets most of its values are the same few.
-    """
-
-    def filled(least: Column) -> Column:
-        before = lambda i: F.coalesce(_bin(F.get(least, i - 1)), F.lit(-1))
-        runs = F.transform(least, lambda m, i: F.array_repeat(m, _bin(m) - before(i)))
-        tail = F.array_repeat(F.get(least, F.lit(0)), F.lit((1 << BINS_LOG) - 1) - _bin(F.element_at(least, -1)))
-        return F.concat(F.flatten(runs), tail)
-
-    def least_of_bins(sorted_hashes: Column) -> Column:
-        head = lambda h: F.shiftright(h, 64 - BINS_LOG)
-        return F.filter(sorted_hashes, lambda h, i: (i == 0) | (head(F.get(sorted_hashes, i - 1)) != head(h)))
-
-    return let(let(hashes, least_of_bins), filled)
-
-
-def _range_bands(hashes: Column) -> Column:
-    share = lambda h: F.shiftright((F.shiftright(h, 32) + (1 << 31)) * BANDS, 32)
-
-    def band(h: Column, i: Column) -> Column:
-        at = lambda j: F.get(hashes, i + j)
-        fourth = [F.when(share(at(j)) == share(h), at(j)) for j in range(3, RANGE_VALUES)]
-        starts = (i == 0) | (share(at(-1)) != share(h))
-        return F.when(F.when(starts, share(at(2)) == share(h)), F.xxhash64(F.lit(-1), h, at(1), at(2), *fourth))
-
-    return F.array_compact(F.transform(hashes, band))
-
+def hashed(lines: DataFrame, whole: bool = False) -> DataFrame:
+    """``(key, h)``: a row per shingle of ``(key, norm)``. Four bytes a character make every shingle a slice of fixed size."""
+    if not whole:
+        pattern = rf"(?s)(?<![^ ])(?=([^ ].{{{SHINGLE_CHARS - 1}}}))"
+        return lines.select("key", F.explode(F.regexp_extract_all("norm", F.lit(pattern), F.lit(1))).alias("s")).select("key", F.xxhash64("s").alias("h"))
+    wide = lines.select("key", F.encode("norm", "UTF-32").alias("u"))
+    starts = F.sequence(F.lit(0), (F.octet_length("u") / 4).cast("int") - SHINGLE_CHARS)
+    cut = F.expr(f"xxhash64(substring(u, 4 * i + 1, {4 * SHINGLE_CHARS}))")
+    return wide.select("key", "u", F.explode(starts).alias("i")).select("key", cut.alias("h"))
 
-def _small_bands(hashes: Column) -> Column:
-    def band(k: int) -> Column:
-        least = F.slice(F.sort_array(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k)))), 1, SMALL_VALUES)
-        return F.xxhash64(F.lit(k), least)
 
-    return F.array(*[band(k) for k in range(BANDS)])
-
-
-def band_keys(hashes: Column) -> Column:
-    """Up to twice ``BANDS`` keys of a sorted array of distinct hashes; which kinds follows from its size alone."""
-    none = F.array().cast("array<long>")
-
-    def keys(h: Column) -> Column:
-        return F.concat(F.when(F.size(h) <= SMALL, _small_bands(h)).otherwise(none), F.when(F.size(h) > MANY, _range_bands(h)).otherwise(none))
-
-    return let(hashes, keys)
+def bands(shingles: DataFrame) -> DataFrame:
+    """``key`` and its bands ``b0`` … from ``(key, h)``; rows of a key may be spread, and shingles may repeat."""
+    turned = lambda h, bits: F.col(h) if not bits else F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits))
+    half = PERMUTATIONS // 2
+    both = shingles.select("key", "h", F.xxhash64("h").alias("g"))
+    turns = both.select("key", *[turned("hg"[k // half], ROTATION * (k % half)).alias(f"p{k}") for k in range(PERMUTATIONS)])
+    kept = [f(f"p{k}").alias(f"v{k + PERMUTATIONS * n}") for n, f in enumerate((F.min, F.max)) for k in range(PERMUTATIONS)]
+    band = lambda j: F.xxhash64(F.lit(j), *[f"v{k}" for k in range(j, 2 * PERMUTATIONS, BANDS)])
+    return turns.groupBy("key").agg(*kept).select("key", *[band(j).alias(f"b{j}") for j in range(BANDS)])
 
 
 def similar(a: Column, b: Column) -> Column:
@@ -168,24 +139,22 @@ def _links_in_blocks(members: DataFrame, texts: DataFrame, whole: bool) -> DataF
     return pairs.select(F.explode(found).alias("p")).select("p.a", "p.b").distinct()
 
 
-def line_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
-    """``key, component`` of every line that is linked to a different line."""
-    lines = _lines(_identified(docs.select(doc_id, text), doc_id, text), whole).filter(F.length("norm") >= MIN_CHARS)
-    # Bands as plain numbers and hubs by one number: aggregates over those hash their rows and sort nothing.
-    marked = lines.select("key", band_keys(shingle_hashes(F.col("norm"), whole=whole)).alias("bands"))
-    names = [f"b{k}" for k in range(2 * BANDS)]
-    flat = marked.select("key", *[F.get("bands", F.lit(k)).alias(name) for k, name in enumerate(names)])
-    distinct = stage(flat.groupBy("key").agg(F.count("*").alias("copies"), *[F.first(name).alias(name) for name in names]), "lines", "zstd")
-
-    rows = distinct.select("key", "copies", F.explode(F.array_compact(F.array(*names))).alias("bucket"))
+def _components(lines: DataFrame, whole: bool) -> DataFrame:
+    """``key, component`` of every long line that is linked to a different line."""
+    long = lines.filter(F.length("norm") >= MIN_CHARS)
+    # Copies are reduced to one before the shuffle. What is opened into shingles stands by key already, so the bands need no
+    # further one, and the second use of the different lines reads the same shuffle.
+    distinct = long.groupBy("key").agg(F.first("norm").alias("norm"))
+    copies = long.groupBy("key").agg(F.count("*").alias("copies"))
+    names = [f"b{k}" for k in range(BANDS)]
+    known = stage(bands(hashed(distinct, whole)).join(distinct, "key").join(copies, "key"), "line-bands", "zstd")
+
+    rows = known.select("key", "copies", F.explode(F.array(*names)).alias("bucket"))
     rank = F.col("copies") * (1 << 16) + F.pmod("key", F.lit(1 << 16))
     hubs = rows.groupBy("bucket").agg(F.max_by("key", rank).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
     members = stage(rows.select("bucket", "key").join(hubs.hint("shuffle_hash"), "bucket"), "line-buckets", "zstd")
-
-    # Texts are kept rather than shingles at every character, which take eight times the room.
     wanted = members.groupBy("key").agg(F.collect_list("bucket").alias("bands"))
-    norms = lines.select("key", "norm").join(wanted.select("key").hint("shuffle_hash"), "key").groupBy("key").agg(F.first("norm").alias("norm"))
-    texts = stage(norms.join(wanted, "key"), "line-texts", "zstd")
+    texts = stage(known.select("key", "norm").join(wanted, "key"), "line-texts", "zstd")
 
     pairs = members.filter("key <> hub").select("hub", "key").distinct()
     hub_texts = texts.select(F.col("key").alias("hub"), F.col("norm").alias("hub_norm"))
@@ -198,22 +167,32 @@ def line_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return components(links.union(more)).withColumnRenamed("id", "key")
 
 
+def line_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """``key, component`` of every line that is linked to a different line."""
+    return _components(stage(_lines(_identified(docs.select(doc_id, text), doc_id, text), whole), "lines", "zstd"), whole)
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """The rows with ``text`` reduced to the lines that stay, plus ``n_lines`` and ``n_removed``.
 
     Of all lines in one component, or equal once normalised, the first stays, in order of id and line number; the line
     break of a removed line goes with it. Lines under 24 characters are too short to be called similar. ``whole`` takes
-    shingles at every character and removes equal short lines too, all but blank ones; without it short lines stay. Null texts stay null, with no line. Rows without an id take part after all others. Equal rows (same id, same text)
-    are one document and are all treated alike. Other columns are kept; columns named ``n_lines`` or ``n_removed`` are
-    replaced.
+    shingles at every character and removes equal short lines too, all but blank ones; without it short lines stay. Null
+    texts stay null, with no line. Rows without an id take part after all others. Equal rows (same id, same text) are one
+    document and are all treated alike. Other columns are kept; columns named ``n_lines`` or ``n_removed`` are replaced.
     """
-    linked = line_components(docs, doc_id, text, whole)
     rows = _identified(docs, doc_id, text)
-    lines = _lines(rows.select("__id", "__hash", "__lines"), whole).select("__id", "__hash", "__no", "key")
-    named = lines.join(linked.hint("shuffle_hash"), "key", "left").select("__id", "__hash", "__no", F.coalesce("component", "key").alias("component"))
+    lines = stage(_lines(rows.select("__id", "__hash", "__lines"), whole), "lines", "zstd")
+    linked = _components(lines, whole)
+    # The first place of a line, then of its component: hot lines and components are reduced before each shuffle.
     at = F.struct("__id", "__hash", "__no")
-    first = named.groupBy("component").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(F.col("first") != F.col("last")).drop("last")
-    gone = named.join(first, "component").filter(at != F.col("first")).groupBy("__id", "__hash").agg(F.collect_set("__no").alias("__gone"))
+    places = lines.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    joined = places.join(linked.hint("shuffle_hash"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    joined = stage(joined, "line-places", "zstd")
+    first = joined.groupBy("component").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter(F.col("first") != F.col("last"))
+    of_key = joined.select("key", "component").join(first.select("component", "first"), "component").select("key", "first")
+    gone = lines.select("__id", "__hash", "__no", "key").join(of_key, "key").filter(at != F.col("first"))
+    gone = gone.groupBy("__id", "__hash").agg(F.collect_set("__no").alias("__gone"))
 
     joined = rows.join(gone.hint("shuffle_hash"), ["__id", "__hash"], "left")
     stays = F.filter("__lines", lambda line, i: ~F.array_contains(F.col("__gone"), i))

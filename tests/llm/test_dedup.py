@@ -155,16 +155,6 @@ def test_line_dedup_matches_brute_force(make, odd_rows, monkeypatch):
     assert ours == collections.Counter((i[0], want[i[0], i[1] or ""]) for i in items)
 
 
-def test_signature_fills_empty_bins(spark):
-    hashes = [-(2**63), -5, 3, 2**62 + 1]
-    row = spark.createDataFrame([(hashes,)], "h array<long>").select(line_dedup.signature(line_dedup.F.col("h")).alias("s")).first()
-    want = []
-    for b in range(64):
-        later = [h for h in hashes if (h >> 58) + 32 >= b]
-        want.append(later[0] if later else hashes[0])
-    assert row.s == want
-
-
 def test_loser_tree():
     rng = random.Random(1)
     for _ in range(200):
