@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,12 +65,30 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Run-time settings for a block; afterwards they are as before."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts lineage so that values which depend on physical placement (row ids) are fixed once and
-    survive lost executors; later reads still prune columns.
+    survive lost executors; later reads still prune columns. Once the table is written, the shuffle
+    files it came from are of no use and are removed, rather than when the driver next collects garbage.
     """
     path = staging_path(df.sparkSession, label)
-    df.write.option("compression", codec).mode("errorifexists").parquet(path)
+    with settings(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.option("compression", codec).mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

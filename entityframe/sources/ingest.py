@@ -176,40 +176,73 @@ class Ingest:
         """Append entities, rejects and one manifest row, which is PENDING first and ends as COMPLETED or,
         if a step fails, FAILED with the reason.
 
-        Each batch has its own folder, so writing a batch id again replaces that batch only.
+        Every attempt writes its entities to a folder of its own, and readers (``stored.StoredEntities``) go by the attempt
+        the manifest names as committed: a batch shows whole once it is COMPLETED, and a batch written again shows its
+        earlier rows until then. What other attempts of the batch left is removed when one is completed.
         """
-        batch = batch_id or str(uuid.uuid4())
+        batch, attempt = batch_id or str(uuid.uuid4()), uuid.uuid4().hex
         spark = self.raw.df.sparkSession
+        before = committed_attempt(spark, manifest_path, batch)
 
-        def mark(status: str, written: int = 0, rejected: int = 0, reason: str | None = None) -> None:
+        def mark(status: str, written: int = 0, rejected: int = 0, reason: str | None = None, commit: tuple[str | None, str | None] = before) -> None:
             row = manifest_row(spark, batch, self.organization, self.schema.name, self.file_name, written, rejected, status, reason)
-            _write_batch(row, manifest_path, batch)
+            row = row.withColumns({"attempt": F.lit(attempt), "committed": F.lit(commit[0]).cast("string"), "columns": F.lit(commit[1]).cast("string")})
+            _write_batch(row, f"{manifest_path.rstrip('/')}/batch_id={batch}")
 
         mark("PENDING")
+        folder = f"{entities_path.rstrip('/')}/batch_id={batch}"
         try:
-            written, rejected = self._write_rows(entities_path, rejects_path, batch)
+            written, rejected, columns = self._write_rows(f"{folder}/attempt={attempt}", rejects_path, batch)
         except Exception as error:
             mark("FAILED", reason=str(error)[:MESSAGE_CHARS])
             raise
-        mark("COMPLETED", written, rejected)
+        mark("COMPLETED", written, rejected, commit=(attempt, columns))
+        _keep_only(spark, folder, f"attempt={attempt}")
         return batch
 
-    def _write_rows(self, entities_path: str, rejects_path: str, batch: str) -> tuple[int, int]:
+    def _write_rows(self, folder: str, rejects_path: str, batch: str) -> tuple[int, int, str]:
+        """Rows written and refused, and the typed columns the entities have, as a JSON schema."""
         seen, refused = Observation(), Observation()
-        good = self.stage().entities(batch).observe(seen, F.count(F.lit(1)).alias("n"))
-        _write_batch(good, entities_path, batch)
+        good = with_typed_columns(self.stage().entities(batch))
+        columns = T.StructType([f for f in good.schema.fields if f.name.startswith(PROPERTY)])
+        _write_batch(good.observe(seen, F.count(F.lit(1)).alias("n")), folder)
         bad = self.log().withColumn("batch_id", F.lit(batch)).withColumn("created_at", F.current_timestamp())
-        _write_batch(bad.observe(refused, F.count(F.lit(1)).alias("n")), rejects_path, batch)
-        return seen.get["n"], refused.get["n"] - len(self.notes)
+        _write_batch(bad.observe(refused, F.count(F.lit(1)).alias("n")), f"{rejects_path.rstrip('/')}/batch_id={batch}")
+        return seen.get["n"], refused.get["n"] - len(self.notes), columns.json()
 
 
-def _write_batch(df: DataFrame, path: str, batch: str) -> None:
+def _write_batch(df: DataFrame, folder: str) -> None:
     shown = _stored(df).drop("batch_id")
-    keys = ["entity_type"] if "properties" in df.columns else []
     writer = shown.write.mode("overwrite")
-    if keys:
-        writer = writer.partitionBy(*keys)
-    writer.parquet(f"{path.rstrip('/')}/batch_id={batch}")
+    if "properties" in df.columns:
+        writer = writer.partitionBy("entity_type")
+    writer.parquet(folder)
+
+
+def with_typed_columns(entities: DataFrame) -> DataFrame:
+    """The entities with every property a second time as a column of its own type, which a scan can prune and filter by."""
+    if "properties" not in entities.columns:
+        return entities
+    bag = Bag.of(entities)
+    return entities.withColumns({PROPERTY + n: bag.value(n) for n in bag.names()})
+
+
+def committed_attempt(spark, manifest_path: str, batch: str) -> tuple[str | None, str | None]:
+    """The attempt of a batch that readers see, and its typed columns; nothing where it was never completed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{manifest_path.rstrip('/')}/batch_id={batch}")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None, None
+    row = spark.read.schema("committed string, columns string").parquet(folder.toString()).first()
+    return (row["committed"], row["columns"]) if row else (None, None)
+
+
+def _keep_only(spark, folder: str, name: str) -> None:
+    """Remove the folders of a batch's other attempts."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.listStatus(place):
+        if found.getPath().getName() != name:
+            fs.delete(found.getPath(), True)
 
 
 def _stored(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from entityframe.model import EntitySchema
 from entityframe.sources.csv_files import RawTable, raw_table
 from entityframe.sources.ingest import Ingest
+from entityframe.sources.stored import StoredEntities
 from entityframe.streaming.state import HistoryStore
 
 
@@ -46,7 +47,8 @@ def ingest_stream(
 
 
 def read_entities(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/entities")
+    """The entities of the micro-batches that are completed by now."""
+    return StoredEntities(spark, f"{out}/entities", f"{out}/manifest").mixed()
 
 
 def history_stream(

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entityframe import EntitySchema, EntityStore, Field, PropertyFilter, tune
+from entityframe import EntitySchema, Field, PropertyFilter, tune
 from entityframe.functions import coerce
 from entityframe.functions.props import Bag
-from entityframe.operators import ordinal, schemas, validation
+from entityframe.operators import listing, ordinal, schemas, validation
 from entityframe.session import staging_path
 from entityframe.sources import export, ingest
 from entityframe.sources.csv_files import raw_table, read_csv
+from entityframe.sources.stored import StoredEntities
 from entityframe.streaming import jobs
 from showcase import dag_queries as D
 from showcase import fixtures as X
@@ -594,7 +595,8 @@ def written(spark, sf) -> str:
 )
 def ingest_append(spark, sf):
     """Entities appended as one batch, partitioned by type, and loaded from the store."""
-    stored = EntityStore(mixed=spark.read.parquet(f"{written(spark, sf)}/entities"), organization=X.ORG).load("Event Upload")
+    out = written(spark, sf)
+    stored = StoredEntities(spark, f"{out}/entities", f"{out}/manifest", X.ORG).store().load("Event Upload")
     bag = Bag.of(stored)
     return stored.select("entity_type", "path", bag.number("amount").alias("amount"), bag.text("kind").alias("kind"))
 
@@ -668,22 +670,73 @@ def ingest_conflict_log(spark, sf):
     return found.select("schema_name", "file_name", "row_number", "error_message")
 
 
-@query("SELECT 'b9' AS batch_id, 'FAILED' AS status, CAST(0 AS BIGINT) AS rows_staged, true AS told FROM (SELECT COUNT(*) AS n FROM orders) WHERE n > 0")
-def ingest_failed_batch(spark, sf):
-    """A batch that breaks off leaves its state and the reason in the manifest."""
+class BreaksOff(ingest.Ingest):
+    """A job that fails while the rejects are written, when its entities are there already."""
+
+    def log(self):
+        failed = F.when(F.col("row_number").isNull(), F.raise_error(F.lit("upload broke off")))
+        return super().log().withColumn("error_message", F.coalesce(failed.cast("string"), "error_message"))
+
+
+def broken_upload(spark, sf, out, batch):
     tune(spark)
-    raw = order_upload(spark, sf)
-    price = F.when(F.col("row_number") > 2, F.raise_error(F.lit("upload broke off"))).otherwise(raw.cell("price"))
-    raw.df = raw.df.withColumn("@price", price.cast("string"))
-    out = staging_path(spark, "failed")
-    job = ingest.Ingest(raw, EntitySchema("Order Upload", (Field("key", "INTEGER", True), Field("price", "FLOAT"))), X.ORG, "orders.csv")
+    fields = EntitySchema("Order Upload", (Field("key", "INTEGER", True), Field("price", "FLOAT")))
+    job = BreaksOff(order_upload(spark, sf), fields, X.ORG, "orders.csv", notes=("a note on the file",))
     try:
-        job.write(f"{out}/entities", f"{out}/rejects", f"{out}/manifest", batch_id="b9")
+        job.write(f"{out}/entities", f"{out}/rejects", f"{out}/manifest", batch_id=batch)
     except Exception as error:  # noqa: BLE001
         if "upload broke off" not in str(error):
             raise
+
+
+@query(
+    """
+    SELECT 'b9' AS batch_id, 'FAILED' AS status, CAST(0 AS BIGINT) AS rows_staged, true AS told, n AS on_disk, CAST(0 AS BIGINT) AS shown
+    FROM (SELECT COUNT(*) AS n FROM orders) WHERE n > 0
+    """
+)
+def ingest_failed_batch(spark, sf):
+    """A batch that breaks off after its entities were written leaves its state and the reason, and shows no entity."""
+    out = staging_path(spark, "failed")
+    broken_upload(spark, sf, out, "b9")
     found = spark.read.parquet(f"{out}/manifest")
-    return found.select("batch_id", "status", "rows_staged", F.col("error_message").contains("upload broke off").alias("told"))
+    shown = StoredEntities(spark, f"{out}/entities", f"{out}/manifest").mixed()
+    there = spark.read.parquet(f"{out}/entities").agg(F.count("*").alias("on_disk")).withColumn("of", F.lit("b9"))
+    counts = there.join(shown.agg(F.count("*").alias("shown")).withColumn("of", F.lit("b9")), "of")
+    told = found.select("batch_id", "status", "rows_staged", F.col("error_message").contains("upload broke off").alias("told"))
+    return told.join(counts, F.col("batch_id") == F.col("of")).drop("of")
+
+
+@query("SELECT o_orderkey AS key, CAST(o_totalprice AS DOUBLE) AS price FROM orders WHERE o_totalprice BETWEEN 100000 AND 150000")
+def ingest_committed_range(spark, sf):
+    """A batch that is written again and breaks off still shows its first rows; a range search on a typed column of theirs."""
+    out = staging_path(spark, "again")
+    fields = EntitySchema("Order Upload", (Field("key", "INTEGER", True), Field("price", "FLOAT")))
+    tune(spark)
+    ingest.Ingest(order_upload(spark, sf), fields, X.ORG, "orders.csv").write(f"{out}/entities", f"{out}/rejects", f"{out}/manifest", batch_id="b1")
+    for batch in ("b1", "b2"):
+        broken_upload(spark, sf, out, batch)
+    store = StoredEntities(spark, f"{out}/entities", f"{out}/manifest", X.ORG).store([fields])
+    found = listing.search_range(store.load("Order Upload"), "price", 100_000, 150_000)
+    bag = Bag.of(found)
+    return found.select(bag.value("key").alias("key"), bag.value("price").alias("price"))
+
+
+@query("SELECT 'customer:' || c_custkey AS id, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 7")
+def stored_containment(spark, sf):
+    """Containment on an ingested store reads the typed columns of its keys."""
+    tune(spark)
+    out = staging_path(spark, "contained")
+    text = X.table(spark, sf, "customer").select(
+        *[F.col(c).cast("string").alias(n) for c, n in (("c_custkey", "no"), ("c_name", "name"), ("c_mktsegment", "segment"), ("c_nationkey", "nation"))], (F.col("c_custkey") + 1).alias("row_number")
+    )
+    fields = EntitySchema("Client", (Field("no", "INTEGER", True), Field("name"), Field("segment"), Field("nation", "INTEGER")))
+    job = ingest.Ingest(raw_table(text, ["no", "name", "segment", "nation"], "row_number"), fields, X.ORG, "clients.csv")
+    job.write(f"{out}/entities", f"{out}/rejects", f"{out}/manifest", batch_id="b1")
+    store = StoredEntities(spark, f"{out}/entities", f"{out}/manifest", X.ORG).store([fields])
+    found = listing.search_containment(store.load("Client"), {"segment": "BUILDING", "nation": 7})
+    bag = Bag.of(found)
+    return found.select(F.concat(F.lit("customer:"), bag.text("no")).alias("id"), bag.text("name").alias("name"))
 
 
 @query("SELECT COUNT(*) AS entities, COUNT(*) AS ids FROM events")

@@ -5,6 +5,7 @@ from entityframe import EntitySchema, EntityStore, Field, PropertyFilter
 from entityframe.operators import listing, schemas
 from entityframe.sources import export, ingest
 from entityframe.sources.csv_files import clean_headers, raw_table, read_csv
+from entityframe.sources.stored import StoredEntities
 from entityframe.streaming import jobs
 from helpers import bags, column
 
@@ -197,3 +198,52 @@ def test_history_stream(spark, tmp_path):
     assert sorted(map(tuple, current.select("id", "version").collect())) == [("a", 3), ("b", 1)]
     past = spark.read.parquet(str(tmp_path / "out/history"))
     assert sorted(map(tuple, past.select("entity_id", "version").collect())) == [("a", 1), ("a", 2)]
+
+
+def test_only_committed_entities_show(upload, spark, tmp_path):
+    fields = EntitySchema("Upload", (Field("name"), Field("age", "INTEGER")))
+    paths = [str(tmp_path / d) for d in ("entities", "rejects", "manifest")]
+    job = lambda text: upload(text, existing=fields).ingest
+    snapshot = lambda: StoredEntities(spark, paths[0], paths[2])
+    names = lambda: sorted(column(snapshot().mixed(), "path"))
+
+    def breaks(which, batch):
+        which.log = lambda: which.rejects().withColumn("error_message", F.raise_error(F.lit("broke off")).cast("string"))
+        with pytest.raises(Exception, match="broke off"):
+            which.write(*paths, batch_id=batch)
+
+    breaks(job("name,age\nZoe,1\nBad,x\n"), "b0")
+    assert names() == [] and spark.read.parquet(paths[0]).count() == 1
+    job("name,age\nAlice,30\nBob,x\n").write(*paths, batch_id="b1")
+    taken = snapshot()
+    breaks(job("name,age\nCarl,5\nBad,x\n"), "b1")
+    assert names() == ["upload.alice"]
+    job("name,age\nDora,7\nEve,50\n").write(*paths, batch_id="b2")
+    assert names() == ["upload.alice", "upload.dora", "upload.eve"] and column(taken.mixed(), "path") == ["upload.alice"]
+    job("name,age\nCarl,5\n").write(*paths, batch_id="b1")
+    assert names() == ["upload.carl", "upload.dora", "upload.eve"]
+    assert len(list((tmp_path / "entities/batch_id=b1").glob("attempt=*"))) == 1
+    job("name,age\nBad,x\n").write(*paths, batch_id="b3")  # no valid row
+    assert len(names()) == 3
+    stats = ingest.batch_stats(spark.read.parquet(paths[2])).first()
+    assert (stats["total_batches"], stats["completed_batches"], stats["failed_batches"]) == (4, 3, 1)
+
+
+def test_typed_columns_of_a_store_are_filtered_by_the_scan(upload, spark, tmp_path):
+    paths = [str(tmp_path / d) for d in ("entities", "rejects", "manifest")]
+    old = EntitySchema("Upload", (Field("name"), Field("age", "STRING")))
+    upload("name,age\nOld,41\nOdd,n/a\n", existing=old).ingest.write(*paths, batch_id="b1")
+    new = EntitySchema("Upload", (Field("Name"), Field("age", "INTEGER"), Field("city")))
+    upload("name,age,city\nAlice,30,Rome\nBob,50,Oslo\n", existing=new).ingest.write(*paths, batch_id="b2")
+    store = StoredEntities(spark, paths[0], paths[2]).store([new])
+    found = listing.search_range(store.load("Upload"), "age", 40, 60)
+    assert sorted(column(found, "path")) == ["upload.bob", "upload.old"]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = found.filter(F.col("`@city`") == "Oslo")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(@age,40)" in plan and "EqualTo(@city,Oslo)" in plan and "properties" not in plan
+    assert column(listing.search_containment(store.load("Upload"), {"age": 30, "city": "Rome"}), "path") == ["upload.alice"]
+    # The types of a snapshot that have no schema keep their bags, and every type is among all of them.
+    assert StoredEntities(spark, paths[0], paths[2]).store().load("Upload").count() == 4 and store.all().count() == 4
