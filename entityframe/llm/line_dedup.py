@@ -152,6 +152,7 @@ def _components(lines: DataFrame, whole: bool) -> DataFrame:
     rows = known.select("key", "copies", F.explode(F.array(*names)).alias("bucket"))
     rank = F.col("copies") * (1 << 16) + F.pmod("key", F.lit(1 << 16))
     hubs = rows.groupBy("bucket").agg(F.max_by("key", rank).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
+    hubs = stage(hubs, "line-hubs", "zstd")
     members = stage(rows.select("bucket", "key").join(hubs.hint("shuffle_hash"), "bucket"), "line-buckets", "zstd")
     wanted = members.groupBy("key").agg(F.collect_list("bucket").alias("bands"))
     texts = stage(known.select("key", "norm").join(wanted, "key"), "line-texts", "zstd")
