@@ -243,7 +243,7 @@ def test_typed_columns_of_a_store_are_filtered_by_the_scan(upload, spark, tmp_pa
         plan = found.filter(F.col("`@city`") == "Oslo")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
-    assert "GreaterThanOrEqual(@age,40)" in plan and "EqualTo(@city,Oslo)" in plan and "properties" not in plan
+    assert "GreaterThanOrEqual(`@age`,40)" in plan and "EqualTo(`@city`,Oslo)" in plan and "properties" not in plan
     assert column(listing.search_containment(store.load("Upload"), {"age": 30, "city": "Rome"}), "path") == ["upload.alice"]
     # The types of a snapshot that have no schema keep their bags, and every type is among all of them.
     assert StoredEntities(spark, paths[0], paths[2]).store().load("Upload").count() == 4 and store.all().count() == 4
