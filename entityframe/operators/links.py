@@ -188,6 +188,35 @@ def enrich(store, types: list[str], hops: int = 1, id_norm=values.uuid_norm) ->
     return out
 
 
+def closure(store, types: list[str], max_hops: int | None = None, id_norm=values.uuid_norm) -> DataFrame:
+    """All edges reachable from the entities of the given types over links by id, as ``enrich`` gives them for a few steps.
+
+    ``hop`` is one more than the fewest links by id that lead from any of those entities to the edge's parent, however many
+    ways and cycles lead there: an entity that was reached once is not followed again. Steps go on until none reaches
+    anything new, or to ``max_hops``; each reads the links of its frontier only, and both the frontier and the set of
+    entities reached are written to the shared folder.
+    """
+    every = stage(all_links(store, None, id_norm), "links")
+    frontier = every.filter(F.col("parent_type").isin(types))
+    # Entities of the given types without links of their own lead nowhere, so the links tell all that matter.
+    seen = stage(frontier.select("organization_id", F.col("parent_id").alias("id")).distinct(), "reached")
+    found, hop = [], 1
+    while True:
+        step = stage(edges(frontier, store).withColumn("hop", F.lit(hop)), "hop")
+        found.append(step)
+        if hop == max_hops:
+            break
+        reached = step.filter("by_id").select("organization_id", F.col("child_id").alias("id")).distinct()
+        new = stage(reached.join(seen, ["organization_id", "id"], "left_anti"), "reached")
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+        starts = new.select(F.col("organization_id").alias("__org"), F.col("id").alias("__id"))
+        frontier = every.join(starts, (F.col("organization_id") == F.col("__org")) & (F.col("parent_id") == F.col("__id")), "left_semi")
+        hop += 1
+    return reduce(DataFrame.unionByName, found)
+
+
 def children_lists(found: DataFrame) -> DataFrame:
     """Children gathered per parent. A list holds the entities the parent's links reach: as many as the links
     by id, and for a link by reference text all entities that share the text (see ``reference_duplicates``)."""

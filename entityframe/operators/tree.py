@@ -1,7 +1,8 @@
 """Tree queries over entity paths.
 
 For one path each relation is a filter. For many anchors it is an equi-join: on the label prefixes
-of a path (ancestors, descendants) or on its parent (children, siblings), never a path comparison.
+of a path (ancestors), on numbers in pre-order (descendants) or on its parent (children, siblings),
+never a path comparison.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from entityframe.functions import paths
 from entityframe.operators import ordinal
+from entityframe.session import stage, tune
 
 # --- one path -----------------------------------------------------------------------------------
 
@@ -92,9 +94,7 @@ def ancestors(df: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def descendants(df: DataFrame, anchors: DataFrame) -> DataFrame:
     """One row per (anchor, entity at or below it)."""
-    below = df.filter(F.col("path").isNotNull()).withColumn("__at", F.explode(paths.prefixes(F.col("path"))))
-    marks = _anchors(anchors)
-    return below.join(marks, (F.col("__at") == F.col("anchor_path")) & _same_org()).drop("__at", "anchor_org")
+    return TreeIndex(df).descendants(anchors)
 
 
 def children(df: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -123,6 +123,83 @@ def hierarchies(df: DataFrame, anchors: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, marked)
 
 
+# --- nested intervals ---------------------------------------------------------------------------
+
+SPAN = 1024  # paths in a block of an interval
+
+
+class TreeIndex:
+    """The paths of a tree numbered in pre-order, each with the last number of its subtree.
+
+    Built from one range sort of the distinct paths and the ends of their subtrees, staged, and then used by any number of
+    queries: what lies below a path is a range of numbers, so the store is joined by number and never opened by label.
+    """
+
+    def __init__(self, df: DataFrame):
+        tune(df.sparkSession)
+        self.df = df
+        self.paths = stage(self._numbered(df), "tree-index")
+
+    @staticmethod
+    def _known(df: DataFrame) -> DataFrame:
+        """``organization_id, path, there``: all paths of entities, and those between them that no entity has itself.
+
+        Parents that are missing are added level by level, which takes one look at a tree that has them all.
+        """
+        new = stage(df.select("organization_id", "path").filter(F.col("path").isNotNull()).distinct().withColumn("there", F.lit(1)), "tree-paths")
+        every = new
+        while True:
+            up = new.select("organization_id", paths.parent(F.col("path")).alias("path")).filter("path <> ''").distinct()
+            new = stage(up.join(every, ["organization_id", "path"], "left_anti").withColumn("there", F.lit(0)), "tree-paths")
+            if new.isEmpty():
+                return every
+            every = every.unionByName(new)
+
+    @classmethod
+    def _numbered(cls, df: DataFrame) -> DataFrame:
+        """``organization_id, path, there, first, last``: the first and last number of a path's subtree, its own if an entity
+        has it; numbers count from 1."""
+        # With the lowest character between labels a subtree stands together, right behind its root, whatever the labels hold;
+        # the next higher character closes it.
+        key = F.translate("path", ".", "\x01")
+        marks = F.array(F.struct(key.alias("key"), F.col("there").alias("opens")), F.struct(F.concat(key, F.lit("\x02")).alias("key"), F.lit(-1).alias("opens")))
+        both = cls._known(df).withColumn("__m", F.explode(marks)).select("organization_id", "path", "there", "__m.key", "__m.opens")
+        counts = {"__n": F.greatest(F.col("opens"), F.lit(0)).cast("bigint")}
+        counted = ordinal.running_totals(both, [], ["organization_id", "key", "opens"], counts)
+        at = lambda opens: F.max(F.when(opens, F.col("__n")))
+        found = counted.groupBy("organization_id", "path", "there").agg(at(F.col("opens") >= 0).alias("first"), at(F.col("opens") < 0).alias("last"))
+        return found.withColumn("first", F.col("first") + 1 - F.col("there"))
+
+    def sizes(self) -> DataFrame:
+        """``organization_id, path, n_below``: how many different paths lie below each."""
+        return self.paths.filter("there = 1").select("organization_id", "path", (F.col("last") - F.col("first")).alias("n_below"))
+
+    def descendants(self, anchors: DataFrame) -> DataFrame:
+        """One row per (anchor, entity at or below it).
+
+        An anchor's range is cut into whole blocks of ``SPAN`` numbers and single numbers at both ends; every piece names
+        entities of the result, so both joins make no row beyond it. An anchor need not be an entity's path.
+        """
+        place = ["anchor_org", "anchor_path"]
+        here = self.paths.select(F.col("organization_id").alias("anchor_org"), F.col("path").alias("anchor_path"), "first", "last")
+        ranges = _anchors(anchors).join(here, place).filter("first <= last").drop("anchor_org")
+        start, end = F.ceil(F.col("first") / SPAN), F.floor((F.col("last") + 1) / SPAN)
+        whole = _between(start, end - 1)
+        ends = F.concat(_between(F.col("first"), start * SPAN - 1), _between(end * SPAN, F.col("last")))
+        single = F.when(start < end, ends).otherwise(F.sequence("first", "last"))
+
+        number = self.paths.filter("there = 1").select(F.col("organization_id").alias("__org"), F.col("path").alias("__path"), F.col("first").alias("__n"))
+        rows = self.df.join(number, (F.col("organization_id") == F.col("__org")) & (F.col("path") == F.col("__path")))
+        in_blocks = rows.join(ranges.withColumn("__at", F.explode(whole)), F.floor(F.col("__n") / SPAN) == F.col("__at"))
+        alone = rows.join(ranges.withColumn("__at", F.explode(single)), F.col("__n") == F.col("__at"))
+        kept = [*self.df.columns, "anchor_id", "anchor_path"]
+        return in_blocks.select(*kept).unionByName(alone.select(*kept))
+
+
+def _between(low: Column, high: Column) -> Column:
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+
+
 # --- new paths ----------------------------------------------------------------------------------
 
 

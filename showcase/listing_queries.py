@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entityframe import PropertyFilter, tune
+from entityframe import EntitySchema, EntityStore, Field, PropertyFilter, entities_from, tune
 from entityframe.functions import paths
 from entityframe.functions.props import Bag
 from entityframe.operators import links, listing, ordinal, tree, writes
@@ -264,6 +264,35 @@ def tree_descendants(spark, sf):
     return tree.descendants(s.envelopes(), s.envelopes(["Region"])).select("anchor_id", "id")
 
 
+@query(
+    TREE
+    + """
+    SELECT a.path, COUNT(DISTINCT t.path) AS n_below FROM tree a LEFT JOIN tree t ON starts_with(t.path, a.path || '.')
+    WHERE a.path IS NOT NULL GROUP BY a.path
+    """
+)
+def tree_subtree_sizes(spark, sf):
+    """How many paths lie below each, from the pre-order numbers alone."""
+    return tree.TreeIndex(X.tree_store(spark, sf).envelopes()).sizes().select("path", "n_below")
+
+
+@query(
+    TREE
+    + """
+    , anchors AS (SELECT * FROM tree WHERE entity_type IN ('Nation', 'Supplier'))
+    SELECT a.id AS anchor_id, t.id, 'current' AS relation FROM anchors a JOIN tree t ON t.path = a.path
+    UNION ALL SELECT a.id, t.id, 'ancestor' FROM anchors a JOIN tree t ON starts_with(a.path, t.path || '.')
+    UNION ALL SELECT a.id, t.id, 'child' FROM anchors a JOIN tree t ON regexp_extract(t.path, '^(.*)\\.[^.]*$', 1) = a.path
+    UNION ALL SELECT a.id, t.id, 'sibling' FROM anchors a JOIN tree t
+      ON regexp_extract(t.path, '^(.*)\\.[^.]*$', 1) = regexp_extract(a.path, '^(.*)\\.[^.]*$', 1) AND t.path <> a.path
+    """
+)
+def tree_hierarchies(spark, sf):
+    """The whole hierarchy of every nation and supplier at once."""
+    s = X.tree_store(spark, sf)
+    return tree.hierarchies(s.envelopes(), s.envelopes(["Nation", "Supplier"])).select("anchor_id", "id", "relation")
+
+
 @query(TREE + "SELECT a.id AS anchor_id, t.id FROM tree a JOIN tree t ON regexp_extract(t.path, '^(.*)\\.[^.]*$', 1) = a.path WHERE a.entity_type = 'Nation'")
 def tree_children(spark, sf):
     s = X.tree_store(spark, sf)
@@ -361,6 +390,35 @@ def tree_next_label(spark, sf):
 # --- links --------------------------------------------------------------------------------------
 
 
+CLOSURE_TYPES = """
+    WITH RECURSIVE who AS (SELECT c_custkey AS k, c_nationkey = 3 AS lead, (c_custkey * c_custkey + 7) % (SELECT COUNT(*) + 1 FROM customer) AS next FROM customer),
+    walk AS (
+      SELECT k, [k] AS seen FROM who WHERE lead
+      UNION ALL SELECT w.next, list_append(walk.seen, w.next) FROM walk JOIN who w ON w.k = walk.k
+      WHERE w.next IN (SELECT k FROM who) AND NOT list_contains(walk.seen, w.next)),
+    far AS (SELECT k, MIN(len(seen)) AS hop FROM walk GROUP BY k)
+"""
+
+
+@query(
+    CLOSURE_TYPES
+    + """
+    SELECT 'person:' || w.k AS parent_id, 'person:' || w.next AS child_id, CAST(hop AS INTEGER) AS hop
+    FROM far JOIN who w ON w.k = far.k WHERE w.next IN (SELECT k FROM who)
+    """
+)
+def links_closure(spark, sf):
+    """Everything the leads reach over chains that run into cycles, with the shortest distance."""
+    df = X.table(spark, sf, "customer")
+    n = df.count() + 1
+    rows = df.select(X.ref("person", "c_custkey").alias("id"), X.ref("person", (F.col("c_custkey") * F.col("c_custkey") + 7) % n).alias("next"), "c_nationkey")
+    s = EntityStore(organization=X.ORG)
+    for name, own in (("Lead", F.col("c_nationkey") == 3), ("Follower", F.col("c_nationkey") != 3)):
+        fields = EntitySchema(name, (Field("next", "ENTITY_REFERENCE"),))
+        s.add(name, entities_from(rows.filter(own), name, "id", ["next"], organization=X.ORG), fields)
+    return links.closure(s, ["Lead"], id_norm=X.text_id).select("parent_id", "child_id", "hop")
+
+
 @query(
     """
     SELECT 'order:' || o_orderkey AS parent_id, 'customer:' || o_custkey AS child_id, 1 AS hop FROM orders
