@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entityframe.llm import ship
-from entityframe.llm.pieces import Codes, cut
+from entityframe.llm.pieces import Codes, cut, laid_out
 from entityframe.session import stage
 
 LANE = 256
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
+REMEMBERED = 300_000  # pieces a worker keeps; their ids on both sides take some 100 MB
 _SHIFT = 32
 
 _NO_ID = -(1 << 63)
@@ -90,14 +91,14 @@ class Pair:
         self.b_bytes = _piece_bytes(self.b)
         self.a_sizes = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
-        self.codes = Codes(self._pieces, sides=3)
+        self.codes = Codes(self._pieces, sides=3, limit=REMEMBERED)
         names = [[str(i) for i in range(len(sizes))] for sizes in (self.a_sizes, self.b_sizes)]
         self.spelled = [x + mark for side, marks in zip(names, (",|", ",;"), strict=True) for mark in marks for x in side]
 
     def _a_texts(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> tuple[list[list[int]], ...]:
+    def _pieces(self, pieces: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
         """A's ids, B's ids, and whether both spell the piece.
 
         B puts a blank before what it is given, which is right but for a piece after a line break: the blank's token is
@@ -106,7 +107,7 @@ class Pair:
         spelled = [p if p[0] == "\n" else " " + p for p in pieces]
         a, b = self._a_texts(spelled), self.b.encode(pieces, num_threads=1)
         b = [ids[1:] if p[0] == "\n" else ids for p, ids in zip(pieces, b, strict=True)]
-        return a, b, [[self._spells(*x)] for x in zip(spelled, a, b, strict=True)]
+        return laid_out(a), laid_out(b), laid_out([[self._spells(*x)] for x in zip(spelled, a, b, strict=True)])
 
     def _spells(self, text: str, a: list[int], b: list[int]) -> bool:
         raw = text.encode("utf-8", "surrogatepass")
@@ -115,6 +116,7 @@ class Pair:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, Tokens, Tokens]:
         """Which texts have tokens, and the tokens of those on both sides."""
         words = [cut(t) if t else None for t in texts]
+        self.codes.forget()
         codes = self.codes.of([w for own in words if own for w in own])
         bounds = np.cumsum([0, *(len(own) if own else 0 for own in words)])
         runs = [r.joined(codes) for r in self.codes.runs]

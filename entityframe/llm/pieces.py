@@ -7,6 +7,8 @@ before its word; other texts are left whole.
 
 from __future__ import annotations
 
+import collections
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -34,17 +36,17 @@ class Runs:
         self.sizes = np.empty(1 << 14, dtype=np.int64)
         self.used = self.count = 0
 
-    def add(self, runs: list[list[int]]) -> None:
-        size = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
-        total = int(size.sum())
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        """Append runs that stand one after the other in ``flat``."""
+        total, count = len(flat), len(size)
         self.flat = _room(self.flat, self.used, total)
-        self.starts = _room(self.starts, self.count, len(runs))
-        self.sizes = _room(self.sizes, self.count, len(runs))
-        self.flat[self.used : self.used + total] = np.fromiter((i for run in runs for i in run), dtype=self.flat.dtype, count=total)
-        self.starts[self.count : self.count + len(runs)] = self.used + np.cumsum(size) - size
-        self.sizes[self.count : self.count + len(runs)] = size
+        self.starts = _room(self.starts, self.count, count)
+        self.sizes = _room(self.sizes, self.count, count)
+        self.flat[self.used : self.used + total] = flat
+        self.starts[self.count : self.count + count] = self.used + np.cumsum(size) - size
+        self.sizes[self.count : self.count + count] = size
         self.used += total
-        self.count += len(runs)
+        self.count += count
 
     def joined(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The runs of some codes one after the other, and where each ends."""
@@ -62,29 +64,39 @@ def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
     return out
 
 
+def laid_out(runs: list[list[int]], kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of numbers as one array and their sizes."""
+    sizes = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
+    return np.fromiter(itertools.chain.from_iterable(runs), dtype=kind, count=int(sizes.sum())), sizes
+
+
 class Codes:
     """A number for every piece, and the runs of numbers an encoder gives for it, one run a side.
 
-    ``limit`` bounds what is remembered: once it is passed, the next call starts anew, so frequent pieces are soon known
-    again and rare ones do not fill the memory.
+    ``encode`` takes new pieces and gives for each side their runs, laid out, with their sizes. ``limit`` bounds what is
+    remembered: once it is passed, the next call starts anew, so frequent pieces are soon known again and rare ones do not
+    fill the memory.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[list[list[int]], ...]], sides: int = 1, kind: type = np.uint32, limit: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[tuple[np.ndarray, np.ndarray], ...]], sides: int = 1, kind: type = np.uint32, limit: int = 600_000):
         self.encode, self.sides, self.kind, self.limit = encode, sides, kind, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.codes: dict[str, int] = {}
+        # A piece that is looked up for the first time takes the next number.
+        self.codes: dict[str, int] = collections.defaultdict(itertools.count().__next__)
         self.runs = [Runs(self.kind) for _ in range(self.sides)]
 
-    def of(self, pieces: list[str]) -> np.ndarray:
+    def forget(self) -> None:
+        """Start anew if the limit is passed; codes given out before do not hold any more."""
         if len(self.codes) > self.limit:
             self._clear()
-        found = list(map(self.codes.get, pieces))
-        if None in found:
-            new = list(dict.fromkeys(p for p, c in zip(pieces, found, strict=True) if c is None))
+
+    def of(self, pieces: list[str]) -> np.ndarray:
+        known = len(self.codes)
+        found = np.fromiter(map(self.codes.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        if len(self.codes) > known:
+            new = list(itertools.islice(reversed(self.codes), len(self.codes) - known))[::-1]
             for runs, own in zip(self.runs, self.encode(new), strict=True):
-                runs.add(own)
-            self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
-            found = list(map(self.codes.__getitem__, pieces))
-        return np.array(found, dtype=np.int64)
+                runs.add(*own)
+        return found

@@ -39,11 +39,8 @@ def _selectors(values: np.ndarray) -> np.ndarray:
             continue
         room = n - at
         if seen[bits + 1 :].any():
-            stops = np.flatnonzero(wide > bits)
-            tail = n - 1 - stops[-1]
-            if max(stops[0], int(np.diff(stops).max(initial=1)) - 1) < count and not tail:
-                continue
-            room = np.append(stops, n)[np.searchsorted(stops, at)].astype(np.int32) - at
+            stop = np.where(wide > bits, at, np.int32(n))
+            room = np.minimum.accumulate(stop[::-1])[::-1] - at
         # A short tail is padded, so the end of the stream fits wherever its values do.
         fits = room >= count
         fits[max(0, n - count) :] |= (room == n - at)[max(0, n - count) :]
@@ -58,8 +55,9 @@ def encode(values: np.ndarray) -> np.ndarray:
     chosen = _selectors(values)
     step = _COUNTS[chosen].tolist()
     starts, i = [], 0
+    note = starts.append
     while i < n:
-        starts.append(i)
+        note(i)
         i += step[i]
     first = np.array(starts, dtype=np.int64)
     modes = chosen[first] if n else chosen

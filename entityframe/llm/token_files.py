@@ -9,7 +9,6 @@ Parts are Parquet tables of such blocks, written by Spark's committer: a lost ta
 from __future__ import annotations
 
 import functools
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,94 +19,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entityframe.llm import ship, simple8b
+from entityframe.llm.pieces import Codes, cut, laid_out
 from entityframe.session import staging_path
 
 MAGIC = b"ID8B"
 BLOCK_IDS = 1 << 16
 SKIP = 1 << 14
 END_ID = 2
-CACHE = 600_000
 _HEADER = struct.Struct("<4sIQQQQ")  # magic, skip, documents, ids, words of lengths, words of ids
 _NO_ID = -(1 << 63)
-# Pieces that start where a run of blanks or line breaks follows another character. The tokenizer's own pieces never
-# reach over such a place; other white space could, so texts that have any are encoded whole.
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]|\0")
-_SPACE_RUN = re.compile(r"[ \n]{2}|^[ \n]|[ \n]$")
-
-
-def pieces_of(text: str) -> list[str]:
-    """The pieces of a text. Where single blanks and line breaks part the words, splitting finds them; a piece that is
-    not the first and starts with neither then stands for one with a blank before it."""
-    return text.replace("\n", " \n").split(" ")
 
 
 class Encoder:
-    """Encodes texts with a tokenizer, each frequent piece once: the first ``CACHE`` different ones are remembered."""
+    """Encodes texts with a byte-level tokenizer, each piece once as long as it is remembered.
+
+    Tokens of such a tokenizer never reach over the blank or line break before a word, so all new words of a batch are
+    encoded as one text, and its ids are cut where a token begins with either.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.codes: dict[str, int] = {}
-        self.flat = np.empty(0, dtype=np.uint32)
-        self.starts = np.empty(0, dtype=np.int64)
-        self.sizes = np.empty(0, dtype=np.int64)
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.begins[[i for name, i in names.items() if name[0] in _BEFORE_WORDS]] = True
+        self.codes = Codes(self._pieces)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _codes(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """A number for each piece, and ids, starts and sizes by number; what does not fit the cache lives for this call."""
-        found = list(map(self.codes.get, pieces))
-        flat, starts, sizes = self.flat, self.starts, self.sizes
-        if None in found:
-            new = list(dict.fromkeys(p for p, c in zip(pieces, found, strict=True) if c is None))
-            ids = self._ids([_plain(p) for p in new])
-            own = dict(zip(new, range(len(sizes), len(sizes) + len(new)), strict=True))
-            found = [own[p] if c is None else c for p, c in zip(pieces, found, strict=True)]
-            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            starts = np.concatenate([starts, len(flat) + np.cumsum(size) - size])
-            sizes = np.concatenate([sizes, size])
-            flat = np.concatenate([flat, np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(size.sum()))])
-            if len(self.codes) < CACHE:
-                self.codes.update(own)
-                self.flat, self.starts, self.sizes = flat, starts, sizes
-        return np.array(found, dtype=np.int64), flat, starts, sizes
+    def _pieces(self, pieces: list[str]) -> tuple[tuple[np.ndarray, np.ndarray]]:
+        """Ids of words with a blank before them, or with the line break they bring; where the first has a blank in front,
+        of words as they stand."""
+        if pieces[0][0] == " ":
+            return (laid_out(self._ids([p[1:] for p in pieces])),)
+        words = [p if p[0] == "\n" else " " + p for p in pieces]
+        ids = np.array(self._ids(["".join(words)])[0], dtype=np.uint32)
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(words):
+            return (laid_out(self._ids(words)),)
+        return ((ids, np.diff(starts, append=len(ids))),)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut: list[list[str]] = []
-        for t in texts:
-            if not t or _OTHER_SPACE.search(t):
-                cut.append([])
-            elif _SPACE_RUN.search(t):
-                # A leading mark keeps a piece as it is; it is taken off before the tokenizer sees it.
-                cut.append([_AS_IS + p for p in _PIECE.findall(t)])
-            else:
-                own = pieces_of(t)
-                own[0] = _AS_IS + own[0]
-                cut.append(own)
-        pieces = [p for own in cut for p in own]
-        codes, flat, starts, size = self._codes(pieces)
-        sizes = size[codes]
+        words = [cut(t) if t else None for t in texts]
+        self.codes.forget()
+        sizes = np.fromiter((len(own) if own else 0 for own in words), dtype=np.int64, count=len(words))
         ends = np.cumsum(sizes)
-        flat = flat[np.repeat(starts[codes] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cut)])]
-        out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        whole = [i for i, own in enumerate(cut) if not own and texts[i]]
+        # A text's first word has no blank before it.
+        codes = np.empty(int(sizes.sum()), dtype=np.int64)
+        first = np.zeros(len(codes), dtype=bool)
+        first[(ends - sizes)[sizes > 0]] = True
+        codes[first] = self.codes.of([" " + own[0] for own in words if own])
+        codes[~first] = self.codes.of([w for own in words if own for w in own[1:]])
+        flat, token_ends = self.codes.runs[0].joined(codes)
+        bounds = np.concatenate([[0], token_ends])[np.concatenate([[0], ends])]
+        out = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        whole = [i for i, own in enumerate(words) if own is None and texts[i]]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = np.array(ids, dtype=np.uint32)
         return out
 
 
-_AS_IS = "\0\0"
-
-
-def _plain(piece: str) -> str:
-    """The text a piece stands for."""
-    if piece.startswith(_AS_IS):
-        return piece[len(_AS_IS) :]
-    return piece if piece.startswith("\n") else " " + piece
+# How byte-level vocabularies write a blank and a line break.
+_BEFORE_WORDS = ("\u0120", "\u010a")
 
 
 @functools.cache
