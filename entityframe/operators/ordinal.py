@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,32 @@ def positions(df: DataFrame, order: list[Column], name: str = "pos") -> DataFram
     )
 
 
+class PageIndex:
+    """Rows sorted once, by ranges, and staged with the number of rows in each range: deep pages read what they show.
+
+    A range is one partition of the sort and one file. The counts (one line a range) are kept, so a page knows the ranges it
+    lies in, reads only those files and sorts only its own rows. The index shows the rows as of when it was built.
+    """
+
+    def __init__(self, df: DataFrame, order: list[Column]):
+        self.rows = stage(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "pages")
+        sizes = self.rows.groupBy(F.shiftright("__at", _ROW_BITS).alias("part"), F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
+        self.ranges, total = [], 0
+        for r in sizes.orderBy("part").collect():
+            self.ranges.append((total, r["n"], r["part"], r["file"]))
+            total += r["n"]
+        self.total = total
+
+    def page(self, limit: int, offset: int = 0) -> DataFrame:
+        """Rows ``[offset, offset + limit)`` of the order."""
+        hit = [(max(offset - before, 0), min(offset + limit - before, n), part, file) for before, n, part, file in self.ranges if before < offset + limit and offset < before + n]
+        if not hit:
+            return self.rows.limit(0).drop("__at")
+        own = reduce(lambda a, b: a | b, [F.col("__at").between((part << _ROW_BITS) + low, (part << _ROW_BITS) + high - 1) for low, high, part, _ in hit])
+        found = self.rows.sparkSession.read.schema(self.rows.schema).parquet(*[file for *_, file in hit])
+        return found.filter(own).orderBy("__at").drop("__at")
+
+
 def page(df: DataFrame, order: list[Column], limit: int | None, offset: int = 0) -> DataFrame:
     """Rows ``[offset, offset + limit)`` under a total order; a limit of None or 0 means all.
 

@@ -7,9 +7,10 @@ previous_version_id, created_at``); a field table has one row per field of a sch
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +32,9 @@ TESTS = {
 }
 
 
-def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per text column: which types fit every non-blank cell, and how full it is.
+def profile_state(df: DataFrame, columns: list[str]) -> DataFrame:
+    """What a profile needs of some rows: ``ordinal, name, rows, full, kinds`` per text column, which merge by sums and by
+    the bits all cells share.
 
     Each cell is classified once; a column takes two aggregates, and all share one pass of the data.
     """
@@ -44,24 +46,68 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     for i in range(len(columns)):
         aggs += [F.count(f"k{i}").alias(f"full{i}"), F.bit_and(f"k{i}").alias(f"kinds{i}")]
     totals = marks.agg(F.count("*").alias("rows"), *aggs)
-    lines = []
-    for i, name in enumerate(columns):
-        full, fits = F.col(f"full{i}"), F.coalesce(F.col(f"kinds{i}"), F.lit(0))
-        lines.append(
-            F.struct(
-                F.lit(i).alias("ordinal"),
-                F.lit(name).alias("name"),
-                *[(fits.bitwiseAND(bit) != 0).alias(t) for t, bit in TESTS.items()],
-                ((full == F.col("rows")) & (full > 0)).alias("all_present"),
-                full.alias("values"),
-            )
-        )
+    lines = [
+        F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("name"), "rows", F.col(f"full{i}").alias("full"), F.col(f"kinds{i}").alias("kinds"))
+        for i, name in enumerate(columns)
+    ]
     return totals.select(F.inline(F.array(*lines)))
 
 
+def profile_of(state: DataFrame) -> DataFrame:
+    """One row per text column: which types fit every non-blank cell, and how full it is."""
+    full, fits = F.col("full"), F.coalesce("kinds", F.lit(0))
+    return state.select(
+        "ordinal",
+        "name",
+        *[(fits.bitwiseAND(bit) != 0).alias(t) for t, bit in TESTS.items()],
+        ((full == F.col("rows")) & (full > 0)).alias("all_present"),
+        full.alias("values"),
+    )
+
+
+def profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    return profile_of(profile_state(df, columns))
+
+
+class ProfileLog:
+    """Profiles of files that keep arriving: the states of all files lie in ``folder``, one per file and column.
+
+    Appending reads the new file alone. A column is told apart by its name without case; one that a file lacks is blank in
+    all of its rows. Columns keep the order in which they first appeared, by the time of the append and then their place.
+    """
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def append(self, file: str, df: DataFrame, columns: list[str]) -> None:
+        """Profile a file's rows; a file that is appended again replaces its own state."""
+        # The folder's name is a hash, whatever characters the file's name has.
+        state = profile_state(df, columns).withColumns({"file": F.lit(file), "at": F.unix_micros(F.current_timestamp())})
+        state.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/state={hashlib.sha256(file.encode()).hexdigest()[:32]}")
+
+    def state(self) -> DataFrame:
+        states = self.spark.read.parquet(self.folder)
+        total = states.groupBy("file").agg(F.max("rows").alias("rows")).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        first = F.min(F.struct("at", "ordinal", "name"))
+        merged = states.groupBy(F.lower("name").alias("key")).agg(first.alias("first"), F.sum("full").alias("full"), F.bit_and("kinds").alias("kinds"))
+        # One row per column of the files; their order is that of the fields of a schema.
+        order = Window.orderBy("first.at", "first.ordinal", "key")
+        place = (F.row_number().over(order) - 1).alias("ordinal")
+        return merged.select(place, F.col("first.name").alias("name"), F.lit(total).cast("bigint").alias("rows"), "full", "kinds")
+
+    def profile(self) -> DataFrame:
+        """As ``profile`` of all files' rows together."""
+        return profile_of(self.state())
+
+
 def infer(df: DataFrame, columns: list[str], overrides: dict[str, str] | None = None) -> DataFrame:
     """Field table of text columns: boolean, integer, float, timestamp, else string; a column
     without blanks is required. Overrides win over what was detected."""
+    return inferred(profile(df, columns), overrides)
+
+
+def inferred(profiled: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
+    """The field table that follows from a profile."""
     detected = (
         F.when(F.col("is_bool"), FieldType.BOOLEAN.value)
         .when(F.col("is_int"), FieldType.INTEGER.value)
@@ -72,7 +118,7 @@ def infer(df: DataFrame, columns: list[str], overrides: dict[str, str] | None =
     effective = F.lit(None).cast("string")
     for name, kind in (overrides or {}).items():
         effective = F.when(F.col("name") == name, FieldType.parse(kind).value).otherwise(effective)
-    return profile(df, columns).select(
+    return profiled.select(
         "ordinal",
         F.col("name").alias("field_name"),
         detected.alias("detected_type"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from entityframe import EntitySchema, Field, PropertyFilter, tune
@@ -33,7 +35,7 @@ RAW = """
 # --- profiling and inference --------------------------------------------------------------------
 
 
-@query(
+PROFILE = (
     RAW
     + """
     SELECT 'user' AS name, false AS is_bool, bool_and(try_cast(trim("user") AS BIGINT) IS NOT NULL) AS is_int, true AS is_float,
@@ -47,11 +49,26 @@ RAW = """
     UNION ALL SELECT 'empty_col', false, false, false, false, false, 0 FROM raw WHERE row_number = 2
     """
 )
+
+
+@query(PROFILE)
 def ingest_profile(spark, sf):
     raw = X.raw_upload(spark, sf)
     return schemas.profile(raw.texts(), raw.columns).drop("ordinal")
 
 
+@query(PROFILE)
+def ingest_profile_appended(spark, sf):
+    """The rows arrive in four files, each profiled alone; the merged profile is that of all."""
+    raw = X.raw_upload(spark, sf)
+    low, high = raw.df.agg(F.min("row_number"), F.max("row_number")).first()
+    log = schemas.ProfileLog(spark, staging_path(spark, "profiles"))
+    for part in range(4):
+        own = replace(raw, df=raw.df.filter(F.floor((F.col("row_number") - low) * 4 / (high - low + 1)) == part))
+        log.append(f"part {part}", own.texts(), raw.columns)
+    return log.profile().drop("ordinal")
+
+
 @query(
     RAW
     + """

@@ -9,6 +9,7 @@ from entityframe.functions import paths
 from entityframe.functions.props import Bag
 from entityframe.operators import links, listing, ordinal, tree, writes
 from entityframe.operators.listing import Listing, PathFilter
+from entityframe.sources import colocated
 from showcase import fixtures as X
 from showcase.registry import query
 
@@ -163,6 +164,35 @@ def lookup_ids_ordered(spark, sf):
     return found.select("pos", "requested_id", F.col("@c_name").alias("c_name"))
 
 
+@query(
+    """
+    SELECT o_orderkey AS pos, 'customer:' || (o_custkey * 2) AS requested_id, c_name
+    FROM orders LEFT JOIN customer ON c_custkey = o_custkey * 2
+    """
+)
+def lookup_ids_colocated(spark, sf):
+    """The same requests against a table bucketed by id."""
+    tune(spark)
+    wanted = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), X.ref("customer", F.col("o_custkey") * 2).alias("id"))
+    name = colocated.save_by_id(X.customers(spark, sf), buckets=4)
+    return colocated.lookup(spark, name, wanted).select("pos", "requested_id", F.col("@c_name").alias("c_name"))
+
+
+@query(
+    """
+    (SELECT 10 AS page, 'order:' || o_orderkey AS id FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 300 OFFSET 3000)
+    UNION ALL (SELECT 11, 'order:' || o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 300 OFFSET 3300)
+    """
+)
+def list_deep_pages(spark, sf):
+    """Two deep pages from one index, each of which reads the ranges it lies in."""
+    tune(spark)
+    orders = X.table(spark, sf, "orders").select(X.ref("order", "o_orderkey").alias("id"), "o_totalprice", "o_orderkey")
+    index = ordinal.PageIndex(orders, [F.col("o_totalprice").desc(), F.col("o_orderkey")])
+    pages = [index.page(300, 300 * n).select(F.lit(n).alias("page"), "id") for n in (10, 11)]
+    return pages[0].unionByName(pages[1])
+
+
 @query(
     """
     SELECT 'customer:' || c_custkey AS id, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey * 2 FROM orders)

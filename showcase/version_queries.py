@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from entityframe import tune
-from entityframe.operators import versions
+from entityframe.functions.props import Bag
+from entityframe.operators import digests, versions
 from entityframe.session import staging_path
 from entityframe.streaming import jobs
 from showcase import fixtures as X
@@ -307,3 +308,24 @@ def snapshot_diff_same_key(spark, sf):
     bag = lambda n: F.parse_json(F.concat(F.lit('{"a.b":1,"a":{"b":'), (F.col("event_id") % n).cast("string"), F.lit("}}")))
     df = X.table(spark, sf, "events").select("event_id")
     return versions.diff(df.withColumn("properties", bag(3)), df.withColumn("properties", bag(5)), ["event_id"])
+
+
+LATEST = "row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+
+
+@query(
+    f"""
+    WITH a AS (SELECT user_id, event_type, value FROM events WHERE ts < TIMESTAMP '{X.SPLIT}' QUALIFY {LATEST}),
+    b AS (SELECT user_id, event_type, value FROM events QUALIFY {LATEST}),
+    old AS (SELECT user_id, 'kind' AS key, '"' || event_type || '"' AS val FROM a UNION ALL SELECT user_id, 'value', regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') FROM a),
+    new AS (SELECT user_id, 'kind' AS key, '"' || event_type || '"' AS val FROM b UNION ALL SELECT user_id, 'value', regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') FROM b)
+    SELECT 'user:' || user_id AS id, key, old.val AS old_value, new.val AS new_value, CASE WHEN old.val IS NULL THEN 'added' WHEN new.val IS NULL THEN 'removed' ELSE 'changed' END AS change
+    FROM old FULL JOIN new USING (user_id, key) WHERE old.val IS DISTINCT FROM new.val
+    """
+)
+def snapshot_store_diff(spark, sf):
+    """The users at the split day against the users now: only entities whose digests differ are opened."""
+    current, _ = X.user_current_and_history(spark, sf)
+    bag = Bag.of(current)
+    now = current.withColumn("properties", bag.edited(keep=("kind", "value")).col)
+    return digests.Digests(X.users_at_split(spark, sf)).diff(digests.Digests(now))
