@@ -4,34 +4,31 @@ The files of a table run through a stream of available-now micro-batches. Four f
 fails a document whose text stands under a smaller id anywhere in the table, which a batch cannot know yet: a state keyed
 by the text's digest holds the smallest id met so far with what its rows were counted as. When a smaller id arrives, the
 earlier rows are counted again: their old mask is taken back from the counters of their part and the mask with the fifth
-filter put in. The sink holds signed counts only, so the sum over all batches is exact whatever the order of the files.
+filter put in. The counters are signed changes per batch, so their sum is exact whatever the order of the files.
+
+State and counters are tables in the shared folder to which every batch adds under its own number: a batch that runs again
+repeats its own folders. A batch writes the texts whose holder it changes, and reads the state's small columns by key.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from entityframe.llm import ship
 from entityframe.llm.text import let, whole, words
-from entityframe.session import stage, staging_path
+from entityframe.session import settings, staging_path, stage
 
 FILTERS = "ABCDE"
 TWIN = 16  # the bit of filter E
 BATCHES = 4
-BUCKET_BYTES = 8 << 20
-FEWEST_BUCKETS = 16
+FILE_BYTES = 64 << 20  # of input a written file stands for, at the least
 
-# One row is a text's rows under its smallest id (key set), or a change of a part's counter (key null).
-_ROWS = "bucket int, key binary, id long, part string, mask int, good int, toxic int, n long"
 _CELL = ["part", "mask", "good", "toxic"]
-_DELTAS = "part string, mask int, good int, toxic int, n long"
+_ROWS = "key binary, id long, part string, mask int, good int, toxic int"
+_STATE = f"{_ROWS}, n long"
+_COUNTS = "part string, mask int, good int, toxic int, n long"
 
 
 def own_mask(text: Column) -> Column:
@@ -47,75 +44,6 @@ def own_mask(text: Column) -> Column:
     return let(words(text), of_words) + F.when(capitals, 4).otherwise(0) + F.when(text.rlike("[#$%&*|]"), 8).otherwise(0)
 
 
-def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.groupby(_CELL, as_index=False, sort=False, dropna=False)["n"].sum()
-
-
-def _firsts(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Rows of each text's smallest id, and the other rows."""
-    first = rows["id"] == rows.groupby("key", sort=False)["id"].transform("min")
-    return rows[first], rows[~first]
-
-
-def _failed(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.assign(mask=rows["mask"] | TWIN)
-
-
-def combine(buckets: int):
-    """Within an Arrow batch keep each text's smallest id; rows with a larger one fail for good and go on as counts.
-
-    So a text of which a third of all rows are copies reaches its state as one row per batch of input rows.
-    """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        spare = TaskContext.get().partitionId() % buckets
-        for part in parts:
-            named = part["id"].notna()
-            first, later = _firsts(part[named])
-            kept = first.groupby(["bucket", "key", "id", *_CELL], as_index=False, sort=False)["n"].sum()
-            counts = _summed(pd.concat([part.loc[~named, [*_CELL, "n"]], _failed(later)[[*_CELL, "n"]]]))
-            counts = counts.assign(bucket=spare, key=None, id=None)
-            yield pd.concat([kept, counts], ignore_index=True).astype({"id": "Int64"})[[c.split()[0] for c in _ROWS.split(", ")]]
-
-    return run
-
-
-def _load(state: GroupState) -> pd.DataFrame:
-    if not state.exists:
-        return pd.DataFrame({"key": [], "id": [], "part": [], "mask": [], "good": [], "toxic": [], "n": []})
-    with pa.ipc.open_stream(state.get[0]) as reader:
-        return reader.read_pandas()
-
-
-def _save(state: GroupState, rows: pd.DataFrame) -> None:
-    table = pa.Table.from_pandas(rows.astype({"id": "int64", "mask": "int8", "good": "int8", "toxic": "int8", "n": "int64"}), preserve_index=False).replace_schema_metadata()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_table(table)
-    state.update((sink.getvalue().to_pybytes(),))
-
-
-def retract(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Bring a bucket of texts up to date and tell how its parts' counters change."""
-    rows = pd.concat(list(parts), ignore_index=True)
-    new = rows[rows["key"].notna()]
-    told = [rows.loc[rows["key"].isna(), [*_CELL, "n"]]]
-    if len(new):
-        held = _load(state)
-        both = pd.concat([held.assign(old=True), new[["key", "id", *_CELL, "n"]].assign(old=False)], ignore_index=True)
-        both[["id", "mask", "n"]] = both[["id", "mask", "n"]].astype("int64")
-        first, later = _firsts(both)
-        # Counted before and passed by a smaller id now: take the old mask back.
-        passed = later[later["old"].astype(bool)]
-        told += [passed.assign(n=-passed["n"]), _failed(later), first[~first["old"].astype(bool)]]
-        kept = first.groupby(["key", "id", *_CELL], as_index=False, sort=False)["n"].sum()
-        _save(state, kept)
-    out = _summed(pd.concat([t[[*_CELL, "n"]] for t in told], ignore_index=True))
-    yield out[out["n"] != 0]
-
-
 def _files(spark: SparkSession, path: str) -> tuple[str, int]:
     """What to stream from, and how many bytes lie there.
 
@@ -127,23 +55,67 @@ def _files(spark: SparkSession, path: str) -> tuple[str, int]:
     return pattern, fs.getContentSummary(place).getLength()
 
 
+class Counters:
+    """The state of texts and the counters of parts under ``folder``."""
+
+    def __init__(self, spark: SparkSession, folder: str, files: int):
+        self.spark, self.folder, self.files = spark, folder, files
+
+    def _before(self, table: str, number: int, shape: str) -> DataFrame:
+        """What earlier batches wrote."""
+        if not number:
+            return self.spark.createDataFrame([], shape)
+        return self.spark.read.schema(shape).parquet(*[f"{self.folder}/{table}/{n}" for n in range(number)])
+
+    def _write(self, df: DataFrame, table: str, number: int) -> DataFrame:
+        path = f"{self.folder}/{table}/{number}"
+        with settings(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+            df.coalesce(self.files).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def add(self, batch: DataFrame, number: int) -> None:
+        """Count a batch of ``_ROWS``.
+
+        Every row with an id is first counted as a failure of E. Of the rows under the batch's smallest id of a text, those
+        below or level with the state's holder are counted back as they are, and holders above them are taken back. A text
+        with any number of copies is one row a task before the first shuffle, and its rows are dealt by text and id.
+        """
+        rows = self._write(batch.select(*[c.split()[0] for c in _ROWS.split(", ")]), "rows", number)
+        named = rows.filter("id is not null")
+        least = named.groupBy("key").agg(F.min("id").alias("id"))
+        held = self._before("state", number, _STATE)
+        smallest = held.groupBy("key").agg(F.min("id").alias("held"))
+        news = least.join(smallest, "key", "left").filter("held is null or id <= held")
+        news = self._write(news, "news", number)
+        firsts = named.join(news.select("key", "id"), ["key", "id"]).groupBy("key", "id", *_CELL).agg(F.count("*").alias("n"))
+        firsts = self._write(firsts.select(*[c.split()[0] for c in _STATE.split(", ")]), "state", number)
+        passed = held.join(news.filter("id < held").select("key", F.col("held").alias("id")), ["key", "id"])
+
+        failed = F.col("mask").bitwiseOR(F.lit(TWIN)).cast("int").alias("mask")
+        cells = ["part", failed, "good", "toxic"]
+        one, n = F.lit(1).cast("long").alias("n"), F.col("n")
+        told = rows.select("part", F.when(F.col("id").isNull(), F.col("mask")).otherwise(F.col("mask").bitwiseOR(F.lit(TWIN))).cast("int").alias("mask"), "good", "toxic", one)
+        moved = [firsts.select(*_CELL, n), firsts.select(*cells, (-n).alias("n")), passed.select(*_CELL, (-n).alias("n")), passed.select(*cells, n)]
+        for part in moved:
+            told = told.unionByName(part)
+        self._write(told.groupBy(*_CELL).agg(F.sum("n").alias("n")).filter("n <> 0"), "counts", number)
+
+    def cells(self, batches: int) -> DataFrame:
+        """The counters after all batches."""
+        return self._before("counts", batches, _COUNTS).groupBy(*_CELL).agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
 def count_masks(
-    spark: SparkSession, path: str, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source", batches: int = BATCHES, bucket_bytes: int = BUCKET_BYTES
+    spark: SparkSession, path: str, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source", batches: int = BATCHES
 ) -> DataFrame:
     """``(part, mask, good, toxic, n)``: documents per part, failed filters and labels, from a stream over the files at ``path``.
 
-    ``batches`` sets how many bytes of files a micro-batch takes; the state is cut into buckets of texts, one for every
-    ``bucket_bytes`` of the files, so a bucket stays small however large the table. Rows without an id have no smaller id
-    and are none; rows that share an id and a text do not fail each other; null texts count as empty, null parts as ''.
-    A label counts if any row of ``labels`` for the id has it.
-
-    The state takes some 45 bytes a different text. Where it lies is the session's choice of a state store: executor memory
-    by default; a store on local disk (``spark.sql.streaming.stateStore.providerClass``) keeps memory bounded at any size.
+    ``batches`` sets how many bytes of files a micro-batch takes. Rows without an id have no smaller id and are none; rows
+    that share an id and a text do not fail each other; null texts count as empty, null parts as ''. A label counts if any
+    row of ``labels`` for the id has it. Texts are told apart by SHA-256.
     """
-    ship(spark)
     files, total = _files(spark, path)
     total = max(1, total)
-    buckets = max(FEWEST_BUCKETS, total // bucket_bytes)
     flags = [F.max((F.coalesce(F.col(c), F.lit(0)) == 1).cast("int")).alias(n) for c, n in (("quality", "good"), ("toxic", "toxic"))]
     marked = stage(labels.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("label_id")).agg(*flags).filter("good + toxic > 0"), "audit-labels")
     source = spark.readStream.schema(spark.read.parquet(path).select(doc_id, text, part).schema).option("maxBytesPerTrigger", str(-(-total // batches))).option("maxFileAge", "36500d").parquet(files)
@@ -152,15 +124,17 @@ def count_masks(
     # Rows without an id match no label; their digest spreads them over the join.
     near = [F.coalesce("id", F.xxhash64("key")) == F.col("label_id"), F.col("id").isNotNull() == F.col("has_id")]
     rows = rows.join(marked.withColumn("has_id", F.lit(True)), near, "left")
-    rows = rows.select(
-        F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "key", "id", "part", "mask", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "toxic")], F.lit(1).cast("long").alias("n")
-    )
-    changes = rows.mapInPandas(combine(buckets), _ROWS).groupBy("bucket").applyInPandasWithState(retract, _DELTAS, "texts binary", "append", GroupStateTimeout.NoTimeout)
-    out = staging_path(spark, "audit-counts")
-    sink = changes.writeStream.format("parquet").option("checkpointLocation", staging_path(spark, "audit-state"))
-    sink.trigger(availableNow=True).start(out).awaitTermination()
-    counted = spark.read.schema(_DELTAS).parquet(out).groupBy(*_CELL).agg(F.sum("n").alias("n")).filter("n <> 0")
-    return stage(counted, "audit-cells")
+    rows = rows.select("key", "id", "part", "mask", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "toxic")])
+    counters = Counters(spark, staging_path(spark, "audit"), max(4, -(-total // FILE_BYTES)))
+    done: list[int] = []
+
+    def one_batch(batch: DataFrame, number: int) -> None:
+        counters.add(batch, number)
+        done.append(number)
+
+    query = rows.writeStream.foreachBatch(one_batch).option("checkpointLocation", staging_path(spark, "audit-marks"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    return stage(counters.cells(max(done, default=-1) + 1), "audit-cells")
 
 
 def audit(cells: DataFrame) -> DataFrame:

@@ -64,28 +64,25 @@ def test_smaller_ids_arrive_late(spark, make, odd_rows, tmp_path, batches):
         chunk = [(i, t, s) for i, t, s in rows[at : at + 18]]
         df = spark.createDataFrame([(i, t, s, 0) for i, t, s in chunk], "doc_id long, text string, source string, n_chars long").selectExpr("*", "1 as mask", "2 as n", "'x' as part", "3 as key")
         df.coalesce(1).write.mode("append").parquet(path)
-    assert result(spark, path, labels, batches=batches, bucket_bytes=4096) == plain(rows, labels)
+    assert result(spark, path, labels, batches=batches) == plain(rows, labels)
 
 
-def test_earlier_masks_are_taken_back():
-    """A bucket's state over three calls: the counter of the earlier row moves when a smaller id arrives."""
-    import pandas as pd
+def test_earlier_masks_are_taken_back(spark, tmp_path):
+    """The counters of one text over four batches: those of the earlier rows move when a smaller id arrives."""
+    counters = filter_audit.Counters(spark, str(tmp_path), 1)
 
-    class State:
-        exists, get = False, None
+    def send(number, *rows):
+        df = spark.createDataFrame([(bytearray(key), i, part, 2, 0, 0) for key, i, part in rows], filter_audit._ROWS)
+        for _ in range(2):  # a batch that runs again changes nothing
+            counters.add(df, number)
+        found = spark.read.parquet(f"{tmp_path}/counts/{number}").select("part", "mask", "n").collect()
+        return sorted(map(tuple, found))
 
-        def update(self, value):
-            self.exists, self.get = True, value
-
-    def send(*rows):
-        df = pd.DataFrame(rows, columns=["id", "part", "mask"]).assign(bucket=0, key=b"k", good=0, toxic=0, n=1)
-        out = pd.concat(list(filter_audit.retract((0,), iter([df]), state)))
-        return sorted(zip(out["part"], out["mask"], out["n"], strict=True))
-
-    state = State()
-    assert send((5, "p", 2)) == [("p", 2, 1)]
-    assert send((5, "p", 2), (9, "q", 2)) == [("p", 2, 1), ("q", 18, 1)]
-    assert send((3, "q", 2), (4, "q", 2)) == [("p", 2, -2), ("p", 18, 2), ("q", 2, 1), ("q", 18, 1)]
+    assert send(0, (b"k", 5, "p")) == [("p", 2, 1)]
+    assert send(1, (b"k", 5, "p"), (b"k", 9, "q"), (b"k", None, "q")) == [("p", 2, 1), ("q", 2, 1), ("q", 18, 1)]
+    assert send(2, (b"k", 3, "q"), (b"k", 4, "q"), (b"j", 4, "q")) == [("p", 2, -2), ("p", 18, 2), ("q", 2, 2), ("q", 18, 1)]
+    assert send(3, (b"k", 4, "p"), (b"k", 3, "z")) == [("p", 18, 1), ("z", 2, 1)]
+    assert sorted(map(tuple, counters.cells(4).select("part", "mask", "n").collect())) == [("p", 18, 3), ("q", 2, 3), ("q", 18, 2), ("z", 2, 1)]
 
 
 def test_empty_table(spark, make, tmp_path):
