@@ -15,12 +15,14 @@ def double_text(c: Column) -> Column:
     """Plain decimal text: integral doubles without a fraction, no exponent in the usual range."""
     size = F.abs(c)
     whole = (c == F.floor(c)) & (size < 1e15)
-    # 17 significant digits of the smallest value in range end 26 places behind the point.
-    small = F.regexp_replace(c.try_cast("decimal(38,27)").cast("string"), "0+$", "")
-    plain = F.when(size < 1e9, small).otherwise(F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"), "0+$", ""))
+    cut = lambda kind: F.rtrim(c.try_cast(kind).cast("string"), F.lit("0"))
     return (
         F.when(whole, c.try_cast("bigint").cast("string"))
-        .when((size >= 1e-9) & (size < 1e15), plain)
+        # The shortest digits that name the double; between these bounds they come without an exponent.
+        .when((size >= 1e-3) & (size < 1e7), c.cast("string"))
+        # 17 significant digits of the smallest value in range end 26 places behind the point.
+        .when((size >= 1e-9) & (size < 1e9), cut("decimal(38,27)"))
+        .when((size >= 1e-9) & (size < 1e15), cut("decimal(38,18)"))
         .otherwise(c.cast("string"))
     )
 

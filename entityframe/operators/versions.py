@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entityframe.functions.props import Bag
@@ -40,23 +42,69 @@ class Applied:
         self.refused = refused
 
 
-def _checked(chain: DataFrame, chunk: Column) -> DataFrame:
-    """Add ``__refused``, why a change cannot be applied (null if it can).
-
-    What exists before a change follows from the last change before it that settles the matter: an
-    insert, upsert or rollback leaves the entity there, a delete leaves it gone, whether or not they
-    were refused; an update settles nothing.
-    """
+def _settles() -> Column:
+    """Whether an entity is there after a change, where the change tells: an insert, upsert or rollback leaves it there, a
+    delete leaves it gone, whether or not they were refused; an update settles nothing."""
     op = F.col("op")
-    settles = F.when(op.isin("START", INSERT, UPSERT, ROLLBACK), F.lit(True)).when(op == DELETE, F.lit(False))
-    told = ordinal.last_before(chain, ["id"], "seq", settles, "__there", chunk)
-    there = F.coalesce("__there", F.lit(False))
-    reason = (
+    return F.when(op.isin("START", INSERT, UPSERT, ROLLBACK), F.lit(True)).when(op == DELETE, F.lit(False))
+
+
+def _refusal() -> Column:
+    """Why a change cannot be applied, null if it can, from ``__there`` before it."""
+    op, there = F.col("op"), F.coalesce("__there", F.lit(False))
+    return (
         F.when(~F.coalesce(op.isin("START", INSERT, UPDATE, UPSERT, DELETE, ROLLBACK), F.lit(False)), F.lit("unknown operation"))
         .when((op == INSERT) & there, F.lit("entity already exists"))
         .when(op.isin(UPDATE, DELETE) & ~there, F.lit("entity not found"))
     )
-    return told.withColumn("__refused", reason).drop("__there")
+
+
+def _counts() -> Column:
+    return F.col("__refused").isNull()
+
+
+def _adds() -> Column:
+    return F.when(_counts() & ~F.col("op").isin("START", DELETE), 1).otherwise(0).cast("bigint")
+
+
+def _short_chains(rows: DataFrame) -> DataFrame:
+    """Number and link the chains of entities with a bounded number of changes: all in one shuffle by id."""
+    by = Window.partitionBy("id").orderBy("seq")
+    told = rows.withColumn("__there", F.last(_settles(), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    checked = told.withColumn("__refused", _refusal()).drop("__there").withColumn("__counts", _counts())
+    numbered = checked.withColumn("__added", F.sum(_adds()).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    # Among the changes that count, the next one is what ends an image.
+    valid = Window.partitionBy("id", "__counts")
+    after = valid.orderBy("seq")
+    ends = {f"__{name}": F.lead(c).over(after) for name, c in (("op", F.col("op")), ("at", F.col("changed_at")), ("reason", F.col("reason")), ("id", F.col("id")))}
+    linked = numbered.withColumns(ends)
+    return linked.withColumns(_bases(lambda c: c.over(valid))).drop("__counts")
+
+
+def _bases(over: Callable[[Column], Column] = lambda c: c) -> dict[str, Column]:
+    """Where a chain starts: the live version, and when the entity was first created."""
+    began = F.min(F.when(F.col("op") != "START", F.col("changed_at")))
+    born = F.coalesce(*[over(c) for c in (F.max("__created"), F.min("original_created_at"), began)])
+    return {"__base_live": over(F.max("__live")), "__born": born}
+
+
+def _long_chains(rows: DataFrame, sliced: Column) -> DataFrame:
+    """The same where one entity may take most of the changes: within bounded slices of ``seq``, carried over by joins."""
+    told = ordinal.last_before(rows, ["id"], "seq", _settles(), "__there", sliced)
+    checked = told.withColumn("__refused", _refusal()).drop("__there")
+    totals = {"__n": F.when(_counts(), 1).otherwise(0).cast("bigint"), "__added": _adds()}
+    chain = stage(ordinal.running_totals(checked, ["id"], ["seq"], totals, sliced), "chain")
+    valid = chain.filter(_counts())
+    base = valid.groupBy("id").agg(*[c.alias(n) for n, c in _bases().items()])
+    ending = valid.select(
+        F.col("id").alias("__id"),
+        (F.col("__n") - 1).alias("__ends"),
+        F.col("op").alias("__op"),
+        F.col("changed_at").alias("__at"),
+        F.col("reason").alias("__reason"),
+    )
+    linked = valid.join(base, "id").join(ending, (F.col("id") == F.col("__id")) & (F.col("__n") == F.col("__ends")), "left")
+    return linked.drop("__n", "__ends").unionByName(chain.filter(~_counts()).drop("__n"), allowMissingColumns=True)
 
 
 def apply_changes(
@@ -80,7 +128,8 @@ def apply_changes(
     archived version.
 
     The chains of touched entities are written once to the shared folder with their numbers; both
-    outcomes are read from there. Chains are numbered by running sums over slices of ``seq`` and
+    outcomes are read from there. Where the numbers of all changes lie within ``rows_per_chunk``, no chain is longer,
+    and all is worked out in one shuffle by id. Else chains are numbered by running sums over slices of ``seq`` and
     linked by an equi-join on (id, number), so one entity may take most of the changes.
     """
     current = packed(current)
@@ -110,46 +159,23 @@ def apply_changes(
         F.col("version").cast("bigint").alias("__live"),
         F.col("created_at").alias("__created"),
     )
-    # A sequence number occurs once per entity, so a slice of the numbers bounds its rows.
+    # A sequence number occurs once per entity, so a slice of the numbers bounds its rows, and numbers that lie within
+    # one slice bound every chain.
+    rows = starts.unionByName(incoming)
     sliced = F.floor(F.col("seq") / rows_per_chunk) if chunk is None else chunk
-    checked = _checked(starts.unionByName(incoming), sliced)
-    counts = F.col("__refused").isNull()
-    numbered = ordinal.running_totals(
-        checked,
-        ["id"],
-        ["seq"],
-        {
-            "__n": F.when(counts, 1).otherwise(0).cast("bigint"),
-            "__added": F.when(counts & ~F.col("op").isin("START", DELETE), 1).otherwise(0).cast("bigint"),
-        },
-        sliced,
-    )
-    chain = stage(numbered, "chain")
-    valid = chain.filter(F.col("__refused").isNull())
+    low, high = incoming.agg(F.min("seq"), F.max("seq")).first()
+    short = chunk is None and (low is None or high - low < rows_per_chunk)
+    chain = stage(_short_chains(rows) if short else _long_chains(rows, sliced), "linked-chain")
 
-    # Where each chain starts: the live version, else the highest archived one, else nothing.
-    base = valid.groupBy("id").agg(
-        F.max("__live").alias("__live"),
-        F.coalesce(F.max("__created"), F.min("original_created_at"), F.min(F.when(F.col("op") != "START", F.col("changed_at")))).alias("__born"),
-    )
+    images = chain.filter(F.col("__refused").isNull() & (F.col("op") != DELETE))
     if history is not None:
         past = max_versions(history).select(F.col("entity_id").alias("id"), F.col("max_version").alias("__past"))
-        base = base.join(past, "id", "left")
+        images = images.join(past, "id", "left")
     else:
-        base = base.withColumn("__past", F.lit(None).cast("bigint"))
-    base = base.select("id", F.coalesce("__live", "__past", F.lit(0)).alias("__base"), "__born")
-
-    images = valid.drop("__live", "__created").join(base, "id").withColumn("version", F.col("__base") + F.col("__added"))
-    images = images.withColumn("created_at", F.col("__born")).withColumnRenamed("changed_at", "updated_at")
-    ending = valid.select(
-        F.col("id").alias("__id"),
-        (F.col("__n") - 1).alias("__ends"),
-        F.col("op").alias("__op"),
-        F.col("changed_at").alias("__at"),
-        F.col("reason").alias("__reason"),
-    )
-    linked = images.join(ending, (F.col("id") == F.col("__id")) & (F.col("__n") == F.col("__ends")), "left")
-    standing = linked.filter(F.col("op") != DELETE)
+        images = images.withColumn("__past", F.lit(None).cast("bigint"))
+    version = F.coalesce("__base_live", "__past", F.lit(0)) + F.col("__added")
+    images = images.drop("__live", "__created").withColumns({"version": version, "created_at": F.col("__born")})
+    standing = images.withColumnRenamed("changed_at", "updated_at")
 
     survivors = standing.filter(F.col("__id").isNull()).select(*COLUMNS)
     untouched = current.join(ids, "id", "left_anti").select(*COLUMNS)
