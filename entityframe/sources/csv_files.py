@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from entityframe.functions.props import PROPERTY, quoted
-from entityframe.operators import ordinal
 from entityframe.session import stage
 
 HEADER_CANDIDATES = 10
@@ -93,20 +92,14 @@ def _records(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
         text = F.coalesce("all", "one")
     else:
         read, text = spark.read.text(path), F.col("value")
-    placed = read.select(
-        text.alias("record"),
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__at"),
-    )
-    staged = stage(placed.filter(F.trim("record") != ""), "csv")
-    # Within a block the rows keep their order; numbers follow from the counts of the blocks before.
-    in_block = F.struct("__file", "__block")
-    parts = staged.groupBy("__file", "__block").agg(F.count("*").alias("__n"))
+    placed = read.select(text.alias("record"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+    # Numbered after the filter: the records of a block stand together in its task, so their numbers have no gaps.
+    staged = stage(placed.filter(F.trim("record") != "").withColumn("__at", F.monotonically_increasing_id()), "csv")
+    # What is left to add follows from the counts of the blocks before: one line a block.
+    parts = staged.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     before = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("__file", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    ranked = ordinal.running_totals(staged.withColumn("__in", in_block), ["__in"], ["__at"], {"__nth": F.lit(1).cast("bigint")}, F.shiftright("__at", 20))
-    return ranked.join(offsets, ["__file", "__block"]).select("record", (F.col("__before") + F.col("__nth")).alias("row_number"), "__file", "__block")
+    offsets = parts.select("__file", "__block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__add"))
+    return staged.join(offsets, ["__file", "__block"]).select("record", (F.col("__at") + F.col("__add")).alias("row_number"), "__file", "__block")
 
 
 def read_csv(spark: SparkSession, path: str, header_row: int | None = None, multi_line: bool = False) -> RawTable:

@@ -768,16 +768,18 @@ def ingest_unique_ids(spark, sf):
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS state, o_orderpriority AS state_2 FROM orders")
 def ingest_late_header(spark, sf):
-    """A header behind 1100 records of blank cells, with two labels that differ by case only."""
+    """Files by key range, each with its header behind 1100 records of blank cells and two labels that differ by case only."""
     tune(spark)
-    rows = X.table(spark, sf, "orders").select(
-        (F.col("o_orderkey") + 2000).alias("at"), F.concat_ws(",", "o_orderkey", "o_orderstatus", "o_orderpriority").alias("value")
-    )
-    head = spark.range(1100).select(F.col("id").alias("at"), F.lit(" , ,").alias("value"))
-    label = spark.range(1).select(F.lit(1500).cast("bigint").alias("at"), F.lit("Key,State,STATE").alias("value"))
+    orders = X.table(spark, sf, "orders")
+    low, high, n = orders.agg(F.min("o_orderkey"), F.max("o_orderkey"), F.count("*")).first()
+    files = max(4, n // 50_000)
+    part = F.floor((F.col("o_orderkey") - low) * files / (high - low + 1)).cast("int")
+    rows = orders.select(part.alias("part"), (F.col("o_orderkey") - low + 2000).alias("at"), F.concat_ws(",", "o_orderkey", "o_orderstatus", "o_orderpriority").alias("value"))
+    at = (F.col("id") % 1101).alias("at")
+    heads = spark.range(files * 1101).select(F.floor(F.col("id") / 1101).cast("int").alias("part"), at, F.when(at < 1100, " , ,").otherwise("Key,State,STATE").alias("value"))
     folder = staging_path(spark, "late")
-    # One file is the point here; its rows are the orders.
-    head.unionByName(label).unionByName(rows).repartition(1).sortWithinPartitions("at").select("value").write.text(folder)
+    placed = heads.unionByName(rows).repartition("part").sortWithinPartitions("part", "at").select("part", "value")
+    placed.write.partitionBy("part").text(folder)
     raw = read_csv(spark, folder)
     chosen = read_csv(spark, folder, header_row=1100)
     if chosen.columns != raw.columns:
