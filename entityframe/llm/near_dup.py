@@ -69,7 +69,7 @@ def similar(inter: int, a: int, b: int, percent: int) -> bool:
 
 
 def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per document ``n_shingles``, a digest of its shingle set (null if empty) and its band keys."""
+    """Per document ``n_shingles``, a hash of its text, a digest of its shingle set (null if empty) and its band keys."""
     bands = band_count(percent)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,12 +82,14 @@ def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     {
                         "doc_id": part["doc_id"].iloc[start:end].array,
                         "n_shingles": [len(s) for s in sets],
+                        "mark": part["mark"].iloc[start:end].array,
                         "digest": [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets],
                         "bands": [band_keys(*min_max(s, odd, shift), bands) if len(s) else None for s in sets],
                     }
                 )
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return rows.mapInPandas(run, "doc_id long, n_shingles long, mark long, digest binary, bands array<long>")
 
 
 def _confirm(pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -172,20 +174,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     Documents are linked when 100 · |A ∩ B| ≥ ``percent`` · |A ∪ B| holds for their sets of ``width``-word shingles (A-Z in
     lower case); the component is everything reachable over links and named by its smallest id; ``kept`` marks the
     document that names it. Null and empty texts have an empty set and no link. A row without an id takes no part: its
-    component is null and it is kept. Repeated rows come back as often as they came.
+    component is null and it is kept. Repeated rows come back as often as they came. Where an id has several texts, each of
+    them has the links of its own set; a component that holds any of them may be named by the id.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketches = stage(sketch(docs, width, percent), "sketch", "zstd")
     known = sketches.filter("doc_id is not null and digest is not null")
-    classes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes", "zstd")
+    # A class is all documents with one set. It is a node of the links under a number of its own, whatever their ids.
+    least = F.min(F.struct("doc_id", "mark"))
+    classes = known.groupBy("digest").agg(least.alias("first"), F.first("bands").alias("bands"))
+    classes = stage(classes.select("digest", F.xxhash64("digest").alias("rep"), "first", "bands"), "classes", "zstd")
 
     rows = classes.select("rep", F.explode("bands").alias("key"))
     hubs = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = stage(rows.join(hubs, "key"), "members", "zstd")
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    own = docs.join(wanted, F.col("doc_id") == F.col("id")).groupBy("id").agg(F.min("text").alias("text"))
-    texts = stage(own.select(F.col("id").alias("rep"), "text"), "texts", "zstd")
+    wanted = classes.select("rep", "first").join(members.select("rep").distinct(), "rep")
+    wanted = wanted.select("rep", F.col("first.doc_id").alias("__id"), F.col("first.mark").alias("__mark"))
+    own = docs.join(wanted, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__mark")))
+    texts = stage(own.groupBy("rep").agg(F.min("text").alias("text")), "texts", "zstd")
 
     pairs = members.filter("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     first = texts.select(F.col("rep").alias("a"), F.col("text").alias("a_text"))
@@ -198,7 +205,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     more = _links_in_blocks(placed, texts, width, percent)
     reached = components(links.union(more)).withColumnRenamed("id", "rep")
 
-    named = classes.select("digest", "rep").join(reached, "rep", "left").select("digest", F.coalesce("component", "rep").alias("of_class"))
+    placed = classes.select("digest", "rep", F.col("first.doc_id").alias("id")).join(reached, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    names = placed.groupBy("component").agg(F.min("id").alias("of_class"))
+    named = placed.join(names, "component").select("digest", "of_class")
     out = sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -63,16 +63,18 @@ def stop_words(words: Column) -> Column:
     return T.long_size(F.filter(words, lambda w: F.lower(w).isin(known)))
 
 
-def judge(docs: DataFrame, rules: tuple[Threshold, ...] = RULES, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Threshold, ...] = RULES, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), lang: str = "lang") -> DataFrame:
     """Per document: the base measures, the ratios the rules read, ``base_failed`` and ``kept``.
 
     ``base_failed``: under 20 words, or over 30 % of the words lie in an 8-word window that the text holds twice or more.
-    ``kept`` is false if that holds or a threshold is broken. Columns in ``carry`` come along in a struct ``row``.
+    ``kept`` is false if that holds or a threshold is broken; the one on stop words only counts for documents in a language
+    with a list of them, or without a language. Columns in ``carry`` come along in a struct ``row``.
     """
     t = F.col("__text")
     row = [F.struct(*carry).alias("row")] if carry else []
-    kept = ["doc_id", *["row" for _ in row]]
-    counted = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"), *row).select(*kept, *[c.alias(n) for n, c in measures(t).items()])
+    kept = ["doc_id", "__listed", *["row" for _ in row]]
+    known = F.coalesce(F.lower(F.col(lang)).isin(sorted(T.STOP_WORDS)), F.lit(True))
+    counted = docs.select(F.col(doc_id).alias("doc_id"), known.alias("__listed"), F.col(text).alias("__text"), *row).select(*kept, *[c.alias(n) for n, c in measures(t).items()])
     based = counted.select(
         *kept,
         T.long_size(F.col("__words")).alias("n_words"),
@@ -96,5 +98,6 @@ def judge(docs: DataFrame, rules: tuple[Threshold, ...] = RULES, doc_id: str = "
             "base_failed": (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n),
         }
     )
-    broken = reduce(lambda a, b: a | b, [r.broken() for r in rules], F.lit(False))
-    return shares.withColumn("kept", ~F.col("base_failed") & ~broken)
+    counts = lambda r: r.broken() & F.col("__listed") if r.measure == "stop_word_ratio" else r.broken()
+    broken = reduce(lambda a, b: a | b, [counts(r) for r in rules], F.lit(False))
+    return shares.withColumn("kept", ~F.col("base_failed") & ~broken).drop("__listed")

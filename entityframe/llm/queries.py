@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _STOPS = ", ".join(f"'{w}'" for w in sorted({w for group in STOP_WORDS.values() for w in group}))
 RULES_SQL = f"""
 with base as (
-    select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words,
+    select doc_id, coalesce(lower(lang) in ('de', 'en', 'es', 'fr'), true) as listed, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words,
         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) as lines, coalesce(text, '') as text
     from documents
 ), runs as (
@@ -40,7 +40,7 @@ with base as (
 ), repeated as (
     select doc_id, count(distinct k) as n from (select doc_id, unnest(range(i, i + 8)) as k from runs where times > 1) group by doc_id
 ), counted as (
-    select doc_id, cast(len(words) as bigint) as n_words, cast(length(array_to_string(words, '')) as bigint) as word_chars,
+    select doc_id, listed, cast(len(words) as bigint) as n_words, cast(length(array_to_string(words, '')) as bigint) as word_chars,
         cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
         cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(n, 0) as bigint) as n_repeat_words,
         cast(len(regexp_extract_all(text, '[#*$%&|<>!?=+~^{{}}\\[\\]\\\\]')) as bigint) as n_marks,
@@ -54,8 +54,8 @@ with base as (
         n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed
     from counted
 )
-select *, not base_failed and mean_word_chars >= 2 and mean_word_chars <= 20 and longest_word_chars <= 1000 and symbol_ratio <= 0.2
-    and mark_ratio <= 0.5 and stop_word_ratio >= 0.02 and dup_line_ratio <= 0.5 as kept
+select * exclude (listed), not base_failed and mean_word_chars >= 2 and mean_word_chars <= 20 and longest_word_chars <= 1000 and symbol_ratio <= 0.2
+    and mark_ratio <= 0.5 and (stop_word_ratio >= 0.02 or not listed) and dup_line_ratio <= 0.5 as kept
 from shares
 """
 
