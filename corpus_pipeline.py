@@ -1,7 +1,8 @@
 """A corpus pipeline: filter, deduplicate lines and documents, mix sources, pack sequences.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which ``run`` writes as Parquet and reads back as the
-next stage's input. All but the last return the columns of ``documents``.
+next stage's input. All but the last return the columns of ``documents``; other columns of the input, whatever their names,
+are not read and go with the first stage.
 """
 
 from __future__ import annotations
@@ -30,9 +31,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    gone = near_dup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    A document is a row's id and text together, so an id with two texts is two documents, copies without an id are compared
+    like any other, and of rows that repeat both one stays.
+    """
+    rows = docs.select(*COLUMNS).withColumn("__key", F.xxhash64("doc_id", "text"))
+    gone = near_dup.near_duplicates(rows, doc_id="__key").filter("not kept").select(F.col("doc_id").alias("__key")).distinct()
+    left = rows.join(gone, "__key", "left_anti")
+    again = stage(rows.groupBy("__key").count().filter("count > 1").select("__key"), "repeated-rows")
+    once, repeated = left.join(again, "__key", "left_anti"), left.join(again, "__key", "left_semi").dropDuplicates(["__key"])
+    return once.unionByName(repeated).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
