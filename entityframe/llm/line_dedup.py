@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from entityframe.llm.components import components
 from entityframe.llm.text import let
-from entityframe.session import stage
+from entityframe.session import discard, stage
 
 MIN_CHARS = 24
 SHINGLE_CHARS = 12
@@ -49,14 +49,19 @@ def _at_words(norm: Column) -> Column:
 
 
 def _at_characters(norm: Column) -> Column:
-    """Hashes of four characters each, then of three such in a row: linear in the line, whatever its length."""
-    fours = lambda chars: F.transform(chars, lambda c, i: F.xxhash64(c, *[F.get(chars, i + j) for j in (1, 2, 3)]))
+    """Four bytes a character make every shingle a slice of fixed size: linear in the line, whatever its length."""
 
-    def joined(parts: Column) -> Column:
-        starts = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - (SHINGLE_CHARS - 1), F.lit(0)))
-        return F.transform(starts, lambda h, i: F.xxhash64(h, *[F.get(parts, i + j) for j in range(4, SHINGLE_CHARS, 4)]))
+    def cut(wide: Column) -> Column:
+        starts = _starts(wide)
+        return F.transform(starts, lambda i: F.xxhash64(F.substring(wide, 4 * i + 1, F.lit(4 * SHINGLE_CHARS))))
 
-    return let(let(F.split(norm, ""), fours), joined)
+    return let(F.encode(norm, "UTF-32"), cut)
+
+
+def _starts(wide: Column) -> Column:
+    """The places of a line's shingles; a line shorter than one has none."""
+    last = (F.octet_length(wide) / 4).cast("int") - SHINGLE_CHARS
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
 def shingle_hashes(norm: Column, distinct: bool = True, whole: bool = False) -> Column:
@@ -71,9 +76,8 @@ def hashed(lines: DataFrame, whole: bool = False) -> DataFrame:
         pattern = rf"(?s)(?<![^ ])(?=([^ ].{{{SHINGLE_CHARS - 1}}}))"
         return lines.select("key", F.explode(F.regexp_extract_all("norm", F.lit(pattern), F.lit(1))).alias("s")).select("key", F.xxhash64("s").alias("h"))
     wide = lines.select("key", F.encode("norm", "UTF-32").alias("u"))
-    starts = F.sequence(F.lit(0), (F.octet_length("u") / 4).cast("int") - SHINGLE_CHARS)
     cut = F.expr(f"xxhash64(substring(u, 4 * i + 1, {4 * SHINGLE_CHARS}))")
-    return wide.select("key", "u", F.explode(starts).alias("i")).select("key", cut.alias("h"))
+    return wide.select("key", "u", F.explode(_starts(F.col("u"))).alias("i")).select("key", cut.alias("h"))
 
 
 def bands(shingles: DataFrame) -> DataFrame:
@@ -114,7 +118,8 @@ def _lines(rows: DataFrame, whole: bool) -> DataFrame:
 
 
 def _links_in_blocks(members: DataFrame, texts: DataFrame, whole: bool) -> DataFrame:
-    """Links between components that still share a bucket; ``members`` has ``bucket, key, component``."""
+    """Links between components that still share a bucket; ``members`` has ``bucket, key, component``, without the buckets'
+    hubs, which every other member was held against."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = sizes.filter("low < high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = members.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(texts, "key")
@@ -140,7 +145,7 @@ def _links_in_blocks(members: DataFrame, texts: DataFrame, whole: bool) -> DataF
 
 
 def _components(lines: DataFrame, whole: bool) -> DataFrame:
-    """``key, component`` of every long line that is linked to a different line."""
+    """``key, component`` of every long line that is linked to a different line; the staged ``lines`` are used up."""
     long = lines.filter(F.length("norm") >= MIN_CHARS)
     # Copies are reduced to one before the shuffle. What is opened into shingles stands by key already, so the bands need no
     # further one, and the second use of the different lines reads the same shuffle.
@@ -148,6 +153,7 @@ def _components(lines: DataFrame, whole: bool) -> DataFrame:
     copies = long.groupBy("key").agg(F.count("*").alias("copies"))
     names = [f"b{k}" for k in range(BANDS)]
     known = stage(bands(hashed(distinct, whole)).join(distinct, "key").join(copies, "key"), "line-bands", "zstd")
+    discard(lines)
 
     rows = known.select("key", "copies", F.explode(F.array(*names)).alias("bucket"))
     rank = F.col("copies") * (1 << 16) + F.pmod("key", F.lit(1 << 16))
@@ -156,6 +162,7 @@ def _components(lines: DataFrame, whole: bool) -> DataFrame:
     members = stage(rows.select("bucket", "key").join(hubs.hint("shuffle_hash"), "bucket"), "line-buckets", "zstd")
     wanted = members.groupBy("key").agg(F.collect_list("bucket").alias("bands"))
     texts = stage(known.select("key", "norm").join(wanted, "key"), "line-texts", "zstd")
+    discard(known)
 
     pairs = members.filter("key <> hub").select("hub", "key").distinct()
     hub_texts = texts.select(F.col("key").alias("hub"), F.col("norm").alias("hub_norm"))
@@ -163,14 +170,22 @@ def _components(lines: DataFrame, whole: bool) -> DataFrame:
     links = stage(checked.select(F.col("hub").alias("a"), F.col("key").alias("b")), "line-links")
 
     first_round = components(links).withColumnRenamed("id", "key")
-    placed = members.select("bucket", "key").join(first_round, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    placed = members.filter("key <> hub").select("bucket", "key").join(first_round, "key", "left").withColumn("component", F.coalesce("component", "key"))
     more = _links_in_blocks(stage(placed, "line-places", "zstd"), texts, whole)
     return components(links.union(more)).withColumnRenamed("id", "key")
 
 
 def line_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """``key, component`` of every line that is linked to a different line."""
-    return _components(stage(_lines(_identified(docs.select(doc_id, text), doc_id, text), whole), "lines", "zstd"), whole)
+    return _numbered(_identified(docs.select(doc_id, text), doc_id, text), whole)[1]
+
+
+def _numbered(rows: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """``__id, __hash, __no, key`` of the lines that take part, and the components of the long ones."""
+    lines = stage(_lines(rows, whole), "lines", "zstd")
+    numbers = stage(lines.drop("norm"), "line-numbers", "zstd")
+    linked = _components(lines, whole)
+    return numbers, linked
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
@@ -183,8 +198,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", who
     document and are all treated alike. Other columns are kept; columns named ``n_lines`` or ``n_removed`` are replaced.
     """
     rows = _identified(docs, doc_id, text)
-    lines = stage(_lines(rows.select("__id", "__hash", "__lines"), whole), "lines", "zstd")
-    linked = _components(lines, whole)
+    lines, linked = _numbered(rows.select("__id", "__hash", "__lines"), whole)
     # The first place of a line, then of its component: hot lines and components are reduced before each shuffle.
     at = F.struct("__id", "__hash", "__no")
     places = lines.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last"))

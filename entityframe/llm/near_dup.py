@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     links = stage(_confirm(pairs.join(second, "b").join(first, "a"), width, percent), "links")
 
     first_round = components(links).withColumnRenamed("id", "rep")
-    placed = members.select("key", "rep").join(first_round, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # Every member of a bucket was held against its hub.
+    placed = members.filter("rep <> hub").select("key", "rep").join(first_round, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = stage(placed, "placed", "zstd")
     more = _links_in_blocks(placed, texts, width, percent)
     reached = components(links.union(more)).withColumnRenamed("id", "rep")
