@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
+import weakref
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,4 +92,16 @@ def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     path = staging_path(df.sparkSession, label)
     with settings(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         df.write.option("compression", codec).mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _staged[id(out)] = (weakref.ref(out, lambda _, key=id(out): _staged.pop(key, None)), path)
+    return out
+
+
+_staged: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stage`` wrote and that no later result reads, before the session ends."""
+    path = _staged.pop(id(df))[1]
+    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
