@@ -426,14 +426,23 @@ class _LeftKeys:
 
 
 def _rank_parts(r: Records) -> list[Column]:
-    """The record order as values that ascend; descending texts cannot be turned and are left out."""
-    parts = []
-    for c, up in r.order:
-        if up:
-            parts.append(F.col(c))
-        elif isinstance(r.df.schema[c].dataType, T.TimestampType):
-            parts.append(-F.unix_micros(c))
-    return parts
+    """The record order as values that ascend, nulls first in either direction."""
+    return [F.col(c) if up else _turned(F.col(c), r.df.schema[c].dataType) for c, up in r.order]
+
+
+def _turned(c: Column, dtype: T.DataType) -> Column:
+    """A value that ascends where ``c`` descends."""
+    if isinstance(dtype, T.TimestampType):
+        return -F.unix_micros(c)
+    if isinstance(dtype, T.BooleanType):
+        return ~c
+    if isinstance(dtype, values.INTEGRAL):
+        return -c.cast("decimal(20,0)")
+    if isinstance(dtype, (*values.FLOATING, T.DecimalType)):
+        return -c
+    # Texts order by their bytes: turn every digit of those, and let a text stand before its own beginnings.
+    digits = "0123456789ABCDEF"
+    return F.concat(F.translate(F.hex(c.cast("string")), digits, digits[::-1]), F.lit("~"))
 
 
 def _ascends(node: N.Sort) -> bool:

@@ -510,6 +510,25 @@ def dag_alias_summary(spark, sf):
     return summary.filter(F.col("field") != "cust_no").withColumn("entity_types", F.array_join("entity_types", ","))
 
 
+@query(
+    """
+    WITH s AS (SELECT * FROM customer ORDER BY c_mktsegment DESC, c_name LIMIT 1)
+    SELECT 'c' AS alias, 'Customer' AS entity_types, 'c_name' AS field, c_name AS sample FROM s
+    UNION ALL SELECT 'c', 'Customer', 'c_mktsegment', c_mktsegment FROM s
+    """
+)
+def dag_alias_summary_descending(spark, sf):
+    """The first sample after a sort by a descending text, then an ascending one."""
+    nodes = (
+        Load("a", (), "c", "Customer"),
+        Project("pa", ("a",), "c", ("c_name", "c_mktsegment")),
+        Sort("s1", ("pa",), "c", "c_name", "ASC"),
+        Sort("s2", ("s1",), "c", "c_mktsegment", "DESC"),
+    )
+    summary = run(spark, sf, nodes, ("Customer",)).alias_summary()
+    return summary.withColumn("entity_types", F.array_join("entity_types", ","))
+
+
 @query(
     """
     SELECT 'order:' || o_orderkey AS id, 'archive.' || o_orderkey AS path, 'ArchivedOrder' AS entity_type,
