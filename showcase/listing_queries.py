@@ -174,8 +174,8 @@ def lookup_ids_colocated(spark, sf):
     """The same requests against a table bucketed by id."""
     tune(spark)
     wanted = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), X.ref("customer", F.col("o_custkey") * 2).alias("id"))
-    name = colocated.save_by_id(X.customers(spark, sf), buckets=4)
-    return colocated.lookup(spark, name, wanted).select("pos", "requested_id", F.col("@c_name").alias("c_name"))
+    table = colocated.save_by_id(X.customers(spark, sf), buckets=4)
+    return colocated.lookup(table, wanted).select("pos", "requested_id", F.col("@c_name").alias("c_name"))
 
 
 @query(
