@@ -27,24 +27,23 @@ def _bit_lengths(values: np.ndarray) -> np.ndarray:
 
 
 def _selectors(values: np.ndarray) -> np.ndarray:
-    """At each position, the selector that takes the most values from there on."""
-    n = len(values)
-    at = np.arange(n, dtype=np.int32)
+    """At each position, the selector that takes the most values from there on.
+
+    A selector fits where the widest of its next values does. Those maxima over more and more values come from shorter
+    ones; what lies behind the end counts as no bits, so a short tail is padded.
+    """
+    n, most = len(values), max(c for c, _ in MODES)
     best = np.zeros(n, dtype=np.uint8)
-    wide = _bit_lengths(values)
-    seen = np.bincount(wide, minlength=65)
+    widest = np.zeros(n + most, dtype=np.uint8)
+    widest[:n] = _bit_lengths(values)
+    reach = 1
     for s in range(len(MODES) - 1, 0, -1):
         count, bits = MODES[s]
-        if not seen[: bits + 1].any():
-            continue
-        room = n - at
-        if seen[bits + 1 :].any():
-            stop = np.where(wide > bits, at, np.int32(n))
-            room = np.minimum.accumulate(stop[::-1])[::-1] - at
-        # A short tail is padded, so the end of the stream fits wherever its values do.
-        fits = room >= count
-        fits[max(0, n - count) :] |= (room == n - at)[max(0, n - count) :]
-        best[fits & (room > 0)] = s
+        while reach < count:
+            step = min(reach, count - reach)
+            widest[: len(widest) - step] = np.maximum(widest[: len(widest) - step], widest[step:])
+            reach += step
+        best[widest[:n] <= bits] = s
     return best
 
 

@@ -26,6 +26,7 @@ MAGIC = b"ID8B"
 BLOCK_IDS = 1 << 16
 SKIP = 1 << 14
 END_ID = 2
+REMEMBERED = 1_200_000  # words a worker keeps, in some 250 MB
 _HEADER = struct.Struct("<4sIQQQQ")  # magic, skip, documents, ids, words of lengths, words of ids
 _NO_ID = -(1 << 63)
 
@@ -44,7 +45,7 @@ class Encoder:
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.begins = np.zeros(max(names.values()) + 1, dtype=bool)
         self.begins[[i for name, i in names.items() if name[0] in _BEFORE_WORDS]] = True
-        self.codes = Codes(self._pieces)
+        self.codes = Codes(self._pieces, limit=REMEMBERED)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
