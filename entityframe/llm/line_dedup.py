@@ -91,12 +91,16 @@ def bands(shingles: DataFrame) -> DataFrame:
     return turns.groupBy("key").agg(*kept).select("key", *[band(j).alias(f"b{j}") for j in range(BANDS)])
 
 
+def fits(na: Column, nb: Column) -> Column:
+    """Whether sets of these sizes can be similar."""
+    return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
+
+
 def similar(a: Column, b: Column) -> Column:
     """Exact Jaccard similarity of two arrays of distinct hashes, with the sizes looked at first."""
     na, nb = F.size(a), F.size(b)
-    fits = 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
     inter = F.size(F.array_intersect(a, b))
-    return F.when(fits, (100 + PERCENT) * inter >= PERCENT * (na + nb)).otherwise(F.lit(False))
+    return F.when(fits(na, nb), (100 + PERCENT) * inter >= PERCENT * (na + nb)).otherwise(F.lit(False))
 
 
 def similar_lines(a: Column, b: Column, whole: bool = False) -> Column:
@@ -126,14 +130,18 @@ def _links_in_blocks(members: DataFrame, texts: DataFrame, whole: bool) -> DataF
     # A block is a share of a bucket of about BLOCK rows, so its list is bounded whatever the size of the bucket.
     blocks = rows.groupBy("bucket", "blocks", "block").agg(F.collect_list(F.struct("key", "component", "norm", "bands")).alias("items"))
     first = blocks.select("bucket", F.col("items").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
-    pairs = first.join(blocks.select("bucket", "block", F.col("items").alias("right")), ["bucket", "block"])
+    # Few bytes and much work: as many tasks as a shuffle has, not as few as its bytes would fill.
+    dealt = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "block")
+    pairs = dealt(first).join(dealt(blocks.select("bucket", "block", F.col("items").alias("right"))), ["bucket", "block"])
 
     def hashed(items: str) -> Column:
         return F.transform(items, lambda x: F.struct(x["key"].alias("key"), x["component"].alias("component"), x["bands"].alias("bands"), shingle_hashes(x["norm"], whole=whole).alias("hashes")))
 
     def differ(x: Column, y: Column) -> Column:
-        # A pair may share several buckets; it is looked at in that of its smallest common band.
-        own = F.when(x["component"] != y["component"], F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("bucket"))
+        # Sizes and components first, which rule out most. A pair may share several buckets; it is looked at in that of its
+        # smallest common band.
+        near = (x["component"] != y["component"]) & fits(F.size(x["hashes"]), F.size(y["hashes"]))
+        own = F.when(near, F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("bucket"))
         return F.when(own, similar(x["hashes"], y["hashes"])).otherwise(F.lit(False))
 
     def links(left: Column, right: Column) -> Column:
