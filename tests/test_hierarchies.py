@@ -1,5 +1,9 @@
 """The full hierarchy of many anchors."""
 
+import collections
+
+from pyspark.sql import functions as F
+
 from helpers import bags
 
 from entityframe.operators import tree
@@ -14,3 +18,16 @@ def test_hierarchies_agree_with_one_anchor(spark):
     assert got == sorted((p, r.path, r.relation) for p in PATHS for r in tree.hierarchy_of(nodes, p).collect())
     plan = found._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_a_crowded_parent_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(tree, "CELL", 8, raising=False)
+    monkeypatch.setattr(tree, "PAIRS_PER_TASK", 500, raising=False)
+    rows = [("up", "1", {}), ("none", None, {}), ("twin", "1.7", {}), *((f"n{i}", f"1.{i}", {}) for i in range(90))]
+    nodes = bags(spark, "Node", rows)
+    found = tree.siblings(nodes, nodes).withColumn("task", F.spark_partition_id()).select("anchor_id", "id", "task").collect()
+    below = [(i, p) for i, p, _ in rows if p and "." in p]
+    assert sorted((r.anchor_id, r.id) for r in found) == sorted((a, i) for a, at in below for i, p in below if p != at)
+    per_task = collections.Counter(r.task for r in found)
+    assert len(per_task) > 8 and max(per_task.values()) < len(found) / 4
+    assert tree.siblings(nodes, nodes.limit(0)).count() == 0
