@@ -11,9 +11,9 @@ from entityframe.session import stage
 
 # A window group holds at most this many rows.
 ROWS_PER_CHUNK = 1_000_000
-# The documented default pages (20 to 200 rows) are a top-k: every split passes on that many rows at
-# most, so 100 000 splits pass 25 million. Every larger page is cut by position.
-TOP_ROWS = 250
+# Pages that end within this many rows are a top-k: every split passes on that many rows at most, so 10 000 splits pass
+# 20 million, of which one task holds this many at a time. Every larger page is cut by position.
+TOP_ROWS = 2_000
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 

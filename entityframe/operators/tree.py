@@ -224,6 +224,18 @@ def _between(low: Column, high: Column) -> Column:
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
 
+# --- order of paths -----------------------------------------------------------------------------
+
+
+def page_by_path(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
+    """Rows ``[offset, offset + limit)`` in the order of their paths, label by label as numbers.
+
+    A sort works its expressions out again in each comparison, so the key of a path is made a column first.
+    """
+    keyed = df.withColumn("__order", paths.order_key(F.col("path")))
+    return ordinal.page(keyed, [F.col("__order")], limit, offset).drop("__order")
+
+
 # --- new paths ----------------------------------------------------------------------------------
 
 

@@ -379,7 +379,7 @@ def tree_path_order(spark, sf):
     """Paths order label by label as numbers."""
     tune(spark)
     df = X.table(spark, sf, "lineitem").select(F.concat_ws(".", "l_partkey", "l_linenumber", "l_orderkey").alias("path"))
-    return ordinal.page(df, [paths.order_key(F.col("path"))], 300, 1200)
+    return tree.page_by_path(df, 300, 1200)
 
 
 @query(

@@ -2,11 +2,12 @@
 
 import collections
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import bags
 
-from entityframe.operators import tree
+from entityframe.operators import ordinal, tree
 
 PATHS = ["1", "1.1", "1.2", "1.1.A", "10", "1.10"]
 
@@ -31,3 +32,19 @@ def test_a_crowded_parent_is_dealt_to_many_tasks(spark, monkeypatch):
     per_task = collections.Counter(r.task for r in found)
     assert len(per_task) > 8 and max(per_task.values()) < len(found) / 4
     assert tree.siblings(nodes, nodes.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("top", [1, 2_000])
+def test_pages_by_path_make_each_key_once(spark, monkeypatch, top):
+    if top == 1:
+        monkeypatch.setattr(ordinal, "TOP_ROWS", 1)
+    every = [f"{n % 7}.{n}" for n in range(2000)] + ["3", "3"]
+    df = spark.createDataFrame([(p,) for p in every] + [(None,)], "path string")
+    found = tree.page_by_path(df, 300, 1200)
+    want = sorted(every, key=lambda p: [int(x) for x in p.split(".")])
+    assert [r.path for r in found.collect()] == [None, *want][1200:1500]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Sort [" in line or "TakeOrdered" in line]
+    assert sorts and not any("split(" in line for line in sorts)
+    # A page that ends within the first rows sorts no whole table.
+    assert top == 1 or ("TakeOrdered" in plan and "rangepartitioning" not in plan)
