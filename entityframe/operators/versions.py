@@ -107,12 +107,21 @@ def _long_chains(rows: DataFrame, sliced: Column) -> DataFrame:
     return linked.drop("__n", "__ends").unionByName(chain.filter(~_counts()).drop("__n"), allowMissingColumns=True)
 
 
+def _chains(rows: DataFrame, changes: DataFrame, sliced: Column, longest: int) -> DataFrame:
+    """Only entities with more than ``longest`` changes, of which there are few, are worked out in slices."""
+    hot = stage(changes.groupBy("id").agg(F.count("*").alias("__n")).filter(F.col("__n") > longest).select("id"), "hot-entities")
+    if hot.isEmpty():
+        return _short_chains(rows)
+    cut = _long_chains(rows.join(hot, "id", "left_semi"), sliced)
+    return _short_chains(rows.join(hot, "id", "left_anti")).unionByName(cut)
+
+
 def apply_changes(
     current: DataFrame,
     changes: DataFrame,
     history: DataFrame | None = None,
     chunk: Column | None = None,
-    rows_per_chunk: int = ordinal.ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> Applied:
     """Apply inserts, updates, upserts, deletes and rollbacks in the order of ``seq``.
 
@@ -128,9 +137,10 @@ def apply_changes(
     archived version.
 
     The chains of touched entities are written once to the shared folder with their numbers; both
-    outcomes are read from there. Where the numbers of all changes lie within ``rows_per_chunk``, no chain is longer,
-    and all is worked out in one shuffle by id. Else chains are numbered by running sums over slices of ``seq`` and
-    linked by an equi-join on (id, number), so one entity may take most of the changes.
+    outcomes are read from there. Chains of at most ``ordinal.ROWS_PER_CHUNK`` changes are worked out in one shuffle by id.
+    Longer ones are numbered by running sums over slices of ``seq`` and linked by an equi-join on (id, number), so one
+    entity may take most of the changes. With ``chunk`` or ``rows_per_chunk`` all chains are cut so, unless the numbers of
+    all changes lie within ``rows_per_chunk``.
     """
     current = packed(current)
     stamped = changes if "original_created_at" in changes.columns else changes.withColumn(
@@ -162,10 +172,16 @@ def apply_changes(
     # A sequence number occurs once per entity, so a slice of the numbers bounds its rows, and numbers that lie within
     # one slice bound every chain.
     rows = starts.unionByName(incoming)
-    sliced = F.floor(F.col("seq") / rows_per_chunk) if chunk is None else chunk
+    size = ordinal.ROWS_PER_CHUNK if rows_per_chunk is None else rows_per_chunk
+    sliced = F.floor(F.col("seq") / size) if chunk is None else chunk
     low, high = incoming.agg(F.min("seq"), F.max("seq")).first()
-    short = chunk is None and (low is None or high - low < rows_per_chunk)
-    chain = stage(_short_chains(rows) if short else _long_chains(rows, sliced), "linked-chain")
+    if chunk is None and (low is None or high - low < size):
+        chain = _short_chains(rows)
+    elif chunk is None and rows_per_chunk is None:
+        chain = _chains(rows, incoming, sliced, size)
+    else:
+        chain = _long_chains(rows, sliced)
+    chain = stage(chain, "linked-chain")
 
     images = chain.filter(F.col("__refused").isNull() & (F.col("op") != DELETE))
     if history is not None:

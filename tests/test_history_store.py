@@ -106,3 +106,20 @@ def test_only_the_touched_ranges_are_read(spark, tmp_path):
     store.create(start, ranges=8)
     files = store._state(store._commit(), [2, 5]).inputFiles()
     assert {f.split("range=")[1][0] for f in files} <= {"2", "5"}
+
+
+@pytest.mark.parametrize("longest", [25, 60])
+def test_only_long_chains_are_cut(spark, monkeypatch, longest):
+    """However far apart the numbers lie, entities with few changes stay out of the slices."""
+    monkeypatch.setattr(versions.ordinal, "ROWS_PER_CHUNK", longest)
+    cut, in_slices = [], versions._long_chains
+    monkeypatch.setattr(versions, "_long_chains", lambda rows, sliced: cut.append({r["id"] for r in rows.select("id").distinct().collect()}) or in_slices(rows, sliced))
+    rows = [(s * 100_000, op, "hot" if s % 2 else i, v, at) for s, op, i, v, at in some_changes(90, 4)]
+    start = start_of(spark)
+    got = versions.apply_changes(start, changes(spark, rows))
+    assert cut == ([{"hot"}] if longest == 25 else [])
+    want = versions.apply_changes(start, changes(spark, rows), rows_per_chunk=10**12)
+    assert len(cut) == (longest == 25)
+    assert shown(got.current) == shown(want.current)
+    assert shown(got.archived, "change_type", "reason") == shown(want.archived, "change_type", "reason")
+    assert sorted(map(tuple, got.refused.collect())) == sorted(map(tuple, want.refused.collect()))
