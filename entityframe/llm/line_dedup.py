@@ -2,14 +2,17 @@
 
 A line is normalised (lower case, white space runs to one blank, trimmed). Its shingles are its 12-character strings: those
 at every character with ``whole``, else only those that start at a word, which leave the rest of long words, the end of the
-line and scripts without blanks unread. Different lines are opened into a row per shingle, whose hash is put through 18
-permutations (rotations of two independent hashes); the smallest and the largest value under each are kept by one aggregate
-that needs no shuffle. Three such values of different permutations make a band, so two lines share a band with the third
-power of their similarity, whatever their length.
+line and scripts without blanks unread. Different lines are opened into a row per shingle, and an aggregate that needs no
+shuffle keeps 36 of the hashes. Short lines: each hash is put through 18 permutations (rotations of two independent hashes),
+and the smallest and the largest value under each are kept. Long lines (``LONG`` shingles or more), to which nearly all
+shingles belong: each hash falls into one of 36 bins, and the smallest of each bin is kept. Three such values make a band, so
+two lines share a band with the third power of their similarity, whatever their length. Sets a quarter larger than the
+border, and long lines that leave a bin empty (they repeat few shingles), take part in both ways, so that the lines of a
+similar pair always meet in one.
 
 Lines that share a band are only proposed. First every line of a bucket is held against the line of the bucket with the
 most copies; where a bucket still holds several components, its lines are cut into blocks of bounded size and every
-pair of blocks is compared within one row, which returns matches only. All links are exact Jaccard similarities of the
+pair of blocks is opened into its pairs of lines, of which matches alone are kept. All links are exact Jaccard similarities of the
 shingle sets. Components come from alternating stars; the first line of each (smallest id, then line number) stays.
 
 Equal lines are recognised by a 64-bit hash: among n different lines the chance of any false match is about n²/2^65.
@@ -31,6 +34,7 @@ SHINGLE_CHARS = 12
 BANDS = 12
 PERMUTATIONS = 18  # each gives two values, so that every band has three
 ROTATION = 7  # bits between two permutations of one hash
+LONG = 24  # shingles from which a line is put in bins
 PERCENT = 80
 BLOCK = 256
 _LAST = (1 << 63) - 1
@@ -70,6 +74,11 @@ def shingle_hashes(norm: Column, distinct: bool = True, whole: bool = False) ->
     return F.sort_array(F.array_distinct(hashes) if distinct else hashes)
 
 
+def shingle_set(norm: Column, whole: bool = False) -> Column:
+    """The hashes of the shingles, each once, in no order."""
+    return F.array_distinct(_at_characters(norm) if whole else _at_words(norm))
+
+
 def hashed(lines: DataFrame, whole: bool = False) -> DataFrame:
     """``(key, h)``: a row per shingle of ``(key, norm)``. Four bytes a character make every shingle a slice of fixed size."""
     if not whole:
@@ -91,6 +100,25 @@ def bands(shingles: DataFrame) -> DataFrame:
     return turns.groupBy("key").agg(*kept).select("key", *[band(j).alias(f"b{j}") for j in range(BANDS)])
 
 
+def binned_bands(shingles: DataFrame) -> DataFrame:
+    """``key``, its bands ``b0`` … from ``(key, h)``, and ``full``: no bin is empty. Empty bins of two sets count as equal; a
+    band of empty bins is null."""
+    n = PERMUTATIONS
+    # The low half of a hash names the bin, the high half the order within it.
+    bin_of = lambda h: F.expr(f"cast(shiftright(({h} & 4294967295) * {n}, 32) as int)")
+    both = shingles.select("key", "h", F.xxhash64("h").alias("g")).select("key", "h", "g", bin_of("h").alias("h_bin"), bin_of("g").alias("g_bin"))
+    least = lambda k: F.expr(f"min({'hg'[k // n]}) filter (where {'hg'[k // n]}_bin = {k % n})").alias(f"v{k}")
+    kept = both.groupBy("key").agg(*[least(k) for k in range(2 * n)])
+    all_of = lambda found: functools.reduce(lambda x, y: x & y, found)
+
+    def band(j: int) -> Column:
+        of = [F.col(f"v{k}") for k in range(j, 2 * n, BANDS)]
+        return F.when(~all_of([v.isNull() for v in of]), F.xxhash64(F.lit(BANDS + j), *[F.coalesce(v, F.lit(0).cast("long")) for v in of]))
+
+    full = all_of([F.col(f"v{k}").isNotNull() for k in range(2 * n)])
+    return kept.select("key", *[band(j).alias(f"b{j}") for j in range(BANDS)], full.alias("full"))
+
+
 def fits(na: Column, nb: Column) -> Column:
     """Whether sets of these sizes can be similar."""
     return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
@@ -103,10 +131,6 @@ def similar(a: Column, b: Column) -> Column:
     return F.when(fits(na, nb), (100 + PERCENT) * inter >= PERCENT * (na + nb)).otherwise(F.lit(False))
 
 
-def similar_lines(a: Column, b: Column, whole: bool = False) -> Column:
-    return let(shingle_hashes(a, whole=whole), lambda x: let(shingle_hashes(b, whole=whole), lambda y: similar(x, y)))
-
-
 def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Every row with ``__id`` (rows without one come last) and ``__hash`` of its text; equal rows are one document."""
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -129,27 +153,32 @@ def _links_in_blocks(members: DataFrame, texts: DataFrame, whole: bool) -> DataF
     rows = members.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(texts, "key")
     # A block is a share of a bucket of about BLOCK rows, so its list is bounded whatever the size of the bucket.
     blocks = rows.groupBy("bucket", "blocks", "block").agg(F.collect_list(F.struct("key", "component", "norm", "bands")).alias("items"))
-    first = blocks.select("bucket", F.col("items").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     # Few bytes and much work: as many tasks as a shuffle has, not as few as its bytes would fill.
     dealt = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "block")
-    pairs = dealt(first).join(dealt(blocks.select("bucket", "block", F.col("items").alias("right"))), ["bucket", "block"])
+    blocks = dealt(blocks)
 
     def hashed(items: str) -> Column:
-        return F.transform(items, lambda x: F.struct(x["key"].alias("key"), x["component"].alias("component"), x["bands"].alias("bands"), shingle_hashes(x["norm"], whole=whole).alias("hashes")))
-
-    def differ(x: Column, y: Column) -> Column:
-        # Sizes and components first, which rule out most. A pair may share several buckets; it is looked at in that of its
-        # smallest common band.
+        one = lambda x: F.struct(x["key"].alias("key"), x["component"].alias("component"), x["bands"].alias("bands"), shingle_set(x["norm"], whole).alias("hashes"))
+        return F.transform(items, one)
+
+    def links(pairs: DataFrame, left: str, right: str) -> DataFrame:
+        # A row per pair, which compiled code compares. Sizes and components come first and rule out most. A pair may share
+        # several buckets; it is looked at in that of its smallest common band.
+        # No list is empty; the outer form keeps Spark from hashing every list once more, in a filter on its size.
+        each = pairs.select("bucket", right, F.explode_outer(left).alias("x")).select("bucket", "x", F.explode_outer(right).alias("y"))
+        x, y = F.col("x"), F.col("y")
         near = (x["component"] != y["component"]) & fits(F.size(x["hashes"]), F.size(y["hashes"]))
+        near = near & (x["key"] < y["key"]) if left == right else near
         own = F.when(near, F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("bucket"))
-        return F.when(own, similar(x["hashes"], y["hashes"])).otherwise(F.lit(False))
-
-    def links(left: Column, right: Column) -> Column:
-        of_one = lambda x: F.transform(F.filter(right, lambda y: differ(x, y)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))
-        return F.flatten(F.transform(left, of_one))
+        met = F.when(own, similar(x["hashes"], y["hashes"])).otherwise(F.lit(False))
+        return each.filter(met).select(x["key"].alias("a"), y["key"].alias("b"))
 
-    found = let(hashed("left"), lambda left: let(hashed("right"), lambda right: links(left, right)))
-    return pairs.select(F.explode(found).alias("p")).select("p.a", "p.b").distinct()
+    # A block held against itself is hashed once.
+    within = links(blocks.select("bucket", hashed("items").alias("items")), "items", "items")
+    first = blocks.filter("block + 1 < blocks").select("bucket", F.col("items").alias("left"), F.explode(F.expr("sequence(block + 1, blocks - 1)")).alias("block"))
+    pairs = dealt(first).join(blocks.select("bucket", "block", F.col("items").alias("right")), ["bucket", "block"])
+    across = links(pairs.select("bucket", hashed("left").alias("left"), hashed("right").alias("right")), "left", "right")
+    return within.union(across).distinct()
 
 
 def _components(lines: DataFrame, whole: bool) -> DataFrame:
@@ -160,21 +189,37 @@ def _components(lines: DataFrame, whole: bool) -> DataFrame:
     distinct = long.groupBy("key").agg(F.first("norm").alias("norm"))
     copies = long.groupBy("key").agg(F.count("*").alias("copies"))
     names = [f"b{k}" for k in range(BANDS)]
-    known = stage(bands(hashed(distinct, whole)).join(distinct, "key").join(copies, "key"), "line-bands", "zstd")
+    n = F.length("norm") - SHINGLE_CHARS + 1
+    small = n * PERCENT < 100 * LONG  # no line of fewer shingles than LONG is similar to one that is not small
+    whose = lambda made: made.join(distinct, "key").join(copies, "key")
+    if whole:
+        in_bins = whose(binned_bands(hashed(distinct.filter(n >= LONG), whole))).withColumn("once", F.lit(True))
+        short = whose(bands(hashed(distinct.filter(small), whole)).withColumn("full", F.lit(True))).withColumn("once", n < LONG)
+        known = stage(in_bins.union(short.select(in_bins.columns)), "line-bands", "zstd")
+        again = known.filter(~F.col("full") & ~small)
+        again = stage(bands(hashed(again, whole)).join(again.select("key", "copies"), "key"), "line-bands-again", "zstd")
+        banded = known.select("key", "copies", *names).union(again.select("key", "copies", *names))
+        lines_once = known.filter("once").select("key", "norm")
+    else:
+        known = banded = stage(whose(bands(hashed(distinct, whole))), "line-bands", "zstd")
+        lines_once = known.select("key", "norm")
     discard(lines)
 
-    rows = known.select("key", "copies", F.explode(F.array(*names)).alias("bucket"))
+    rows = banded.select("key", "copies", F.explode(F.array(*names)).alias("bucket")).filter("bucket is not null")
     rank = F.col("copies") * (1 << 16) + F.pmod("key", F.lit(1 << 16))
     hubs = rows.groupBy("bucket").agg(F.max_by("key", rank).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
     hubs = stage(hubs, "line-hubs", "zstd")
     members = stage(rows.select("bucket", "key").join(hubs.hint("shuffle_hash"), "bucket"), "line-buckets", "zstd")
     wanted = members.groupBy("key").agg(F.collect_list("bucket").alias("bands"))
-    texts = stage(known.select("key", "norm").join(wanted, "key"), "line-texts", "zstd")
+    texts = stage(lines_once.join(wanted, "key"), "line-texts", "zstd")
     discard(known)
 
     pairs = members.filter("key <> hub").select("hub", "key").distinct()
     hub_texts = texts.select(F.col("key").alias("hub"), F.col("norm").alias("hub_norm"))
-    checked = pairs.join(texts.drop("bands"), "key").join(hub_texts, "hub").filter(similar_lines(F.col("hub_norm"), F.col("norm"), whole))
+    both = F.struct(shingle_set(F.col("hub_norm"), whole).alias("x"), shingle_set(F.col("norm"), whole).alias("y"))
+    # Opened from an array of one, the sets are made once and compared by compiled code.
+    opened = pairs.join(texts.drop("bands"), "key").join(hub_texts, "hub").select("hub", "key", F.explode(F.array(both)).alias("sets"))
+    checked = opened.filter(similar(F.col("sets")["x"], F.col("sets")["y"]))
     links = stage(checked.select(F.col("hub").alias("a"), F.col("key").alias("b")), "line-links")
 
     first_round = components(links).withColumnRenamed("id", "key")
