@@ -11,9 +11,10 @@ border, and long lines that leave a bin empty (they repeat few shingles), take p
 similar pair always meet in one.
 
 Lines that share a band are only proposed. First every line of a bucket is held against the line of the bucket with the
-most copies; where a bucket still holds several components, its lines are cut into blocks of bounded size and every
-pair of blocks is opened into its pairs of lines, of which matches alone are kept. All links are exact Jaccard similarities of the
-shingle sets. Components come from alternating stars; the first line of each (smallest id, then line number) stays.
+most copies. Lines of buckets that still hold several components are then joined on their rarest shingles (a prefix
+filter): a similar pair shares one of the rarest of both, and a line that shares too few with any other falls out at once.
+The work follows the shingles and the pairs so found, not the square of a bucket. All links are exact Jaccard similarities
+of the shingle sets. Components come from alternating stars; the first line of each (smallest id, then line number) stays.
 
 Equal lines are recognised by a 64-bit hash: among n different lines the chance of any false match is about n²/2^65.
 """
@@ -21,6 +22,7 @@ Equal lines are recognised by a 64-bit hash: among n different lines the chance
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,8 @@ PERMUTATIONS = 18  # each gives two values, so that every band has three
 ROTATION = 7  # bits between two permutations of one hash
 LONG = 24  # shingles from which a line is put in bins
 PERCENT = 80
-BLOCK = 256
+BLOCK = 256  # lines of a shingle from which they meet by classes of size
+SIZE_CLASSES = 8  # between a size and the largest similar one
 _LAST = (1 << 63) - 1
 _ODD_SPACE = ("  ", "\t", "\x0b", "\x0c", "\r", "\n")
 
@@ -145,40 +148,76 @@ def _lines(rows: DataFrame, whole: bool) -> DataFrame:
     return normal.filter(F.length("norm") >= (1 if whole else MIN_CHARS)).withColumn("key", F.xxhash64("norm"))
 
 
-def _links_in_blocks(members: DataFrame, texts: DataFrame, whole: bool) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, whole: bool) -> DataFrame:
+    """Of pairs ``(a, b)`` of keys, those whose lines are similar."""
+    first, second = (texts.select(F.col("key").alias(k), F.col("norm").alias(f"{k}_norm")) for k in "ab")
+    both = F.struct(shingle_set(F.col("a_norm"), whole).alias("x"), shingle_set(F.col("b_norm"), whole).alias("y"))
+    # Opened from an array of one, the sets are made once and compared by compiled code.
+    opened = pairs.join(second, "b").join(first, "a").select("a", "b", F.explode(F.array(both)).alias("sets"))
+    return opened.filter(similar(F.col("sets")["x"], F.col("sets")["y"])).select("a", "b")
+
+
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Few bytes and much work: as many tasks as a shuffle has, not as few as its bytes would fill."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _rare_shingles(sets: DataFrame) -> DataFrame:
+    """``h, key, component, n, most_n`` of the rarest shingles of each line of ``(key, component, hashes)``.
+
+    The shingles of a line stand in the order of how many lines have them, rarest first. Two similar lines share one that
+    stands so early in both that the rest of either can still hold what they must have in common; ``most_n`` is the size up
+    to which another line may meet this one there. Shingles of one line or one component alone are left out.
+    """
+    # No set is empty; the outer form keeps Spark from making every set once more, in a filter on its size.
+    shingles = sets.select("key", "component", F.size("hashes").alias("n"), F.explode_outer("hashes").alias("h"))
+    shared = shingles.groupBy("h").agg(F.count("*").alias("lines"), F.min("component").alias("low"), F.max("component").alias("high"))
+    shared = stage(shared.filter("lines > 1").select("h", "lines", (F.col("low") < F.col("high")).alias("mixed")), "line-shared", "zstd")
+    found = shingles.join(shared, "h").groupBy("key", "component", "n")
+    found = found.agg(F.count("*").cast("int").alias("m"), F.collect_list(F.struct("lines", "h", "mixed")).alias("hs"))
+    # The smallest partner has PERCENT of the line's size, all of it in common: what stands later is of no use.
+    early = F.col("m") - _least_size(F.col("n")) + 1
+    opened = found.filter(early > 0).select("key", "component", "n", "m", F.posexplode(F.slice(F.sort_array("hs"), F.lit(1), early)).alias("i", "x"))
+    left = F.col("m") - F.col("i")
+    most = F.floor(((100 + PERCENT) * left - PERCENT * F.col("n")) / PERCENT).cast("int")
+    return opened.filter("x.mixed").select(F.col("x.h").alias("h"), "key", "component", "n", most.alias("most_n"))
+
+
+def _least_size(n: Column) -> Column:
+    return F.ceil(n * PERCENT / 100).cast("int")
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """``a, b``: the pairs of lines of ``(key, component, hashes)`` in different components that may be similar, by their
+    rarest shingles. No similar pair is left out."""
+    rare = stage(_rare_shingles(sets), "line-rare", "zstd")
+    # Most lines of a frequent shingle are of one component: its other lines meet all, its own lines only those others.
+    counts = rare.groupBy("h", "component").agg(F.count("*").alias("c")).groupBy("h")
+    tops = counts.agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.count("*").alias("k"), F.sum("c").alias("c"))
+    rows = rare.join(tops.filter("k > 1").select("h", "top", (F.col("c") > BLOCK).alias("often")), "h").withColumn("own", F.col("component") == F.col("top"))
+
+    step = math.log(100 / PERCENT) / SIZE_CLASSES
+    of_size = lambda n: F.floor(F.log(n) / step).cast("int")
+    # Shingles of more than BLOCK lines are met by classes of size; the others need none.
+    size = F.when(F.col("often"), of_size(F.col("n"))).otherwise(0)
+    sizes = lambda low, high: F.explode(F.when(F.col("often"), F.sequence(of_size(low), of_size(high))).otherwise(F.array(F.lit(0))))
+    n, most = F.col("n"), F.col("most_n")
+    small = rows.filter(most >= n).select("h", size.alias("sx"), sizes(n, most).alias("sy"), F.col("own").cast("int").alias("side"), F.struct("key", "component", "n", "most_n").alias("x"))
+    sides = rows.select("*", F.explode(F.when(F.col("own"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    large = sides.select("h", sizes(_least_size(n), F.least(most, n)).alias("sx"), size.alias("sy"), "side", F.struct("key", "component", "n", "most_n").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    met = _dealt(small, "h", "sx", "sy", "side").join(_dealt(large, "h", "sx", "sy", "side"), ["h", "sx", "sy", "side"])
+    met = met.filter((x["component"] != y["component"]) & (x["n"] <= y["n"]) & (y["n"] <= x["most_n"]) & (x["n"] <= y["most_n"]))
+    return met.select(F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b")).distinct()
+
+
+def _more_links(members: DataFrame, texts: DataFrame, whole: bool) -> DataFrame:
     """Links between components that still share a bucket; ``members`` has ``bucket, key, component``, without the buckets'
     hubs, which every other member was held against."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = sizes.filter("low < high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(texts, "key")
-    # A block is a share of a bucket of about BLOCK rows, so its list is bounded whatever the size of the bucket.
-    blocks = rows.groupBy("bucket", "blocks", "block").agg(F.collect_list(F.struct("key", "component", "norm", "bands")).alias("items"))
-    # Few bytes and much work: as many tasks as a shuffle has, not as few as its bytes would fill.
-    dealt = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "block")
-    blocks = dealt(blocks)
-
-    def hashed(items: str) -> Column:
-        one = lambda x: F.struct(x["key"].alias("key"), x["component"].alias("component"), x["bands"].alias("bands"), shingle_set(x["norm"], whole).alias("hashes"))
-        return F.transform(items, one)
-
-    def links(pairs: DataFrame, left: str, right: str) -> DataFrame:
-        # A row per pair, which compiled code compares. Sizes and components come first and rule out most. A pair may share
-        # several buckets; it is looked at in that of its smallest common band.
-        # No list is empty; the outer form keeps Spark from hashing every list once more, in a filter on its size.
-        each = pairs.select("bucket", right, F.explode_outer(left).alias("x")).select("bucket", "x", F.explode_outer(right).alias("y"))
-        x, y = F.col("x"), F.col("y")
-        near = (x["component"] != y["component"]) & fits(F.size(x["hashes"]), F.size(y["hashes"]))
-        near = near & (x["key"] < y["key"]) if left == right else near
-        own = F.when(near, F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("bucket"))
-        met = F.when(own, similar(x["hashes"], y["hashes"])).otherwise(F.lit(False))
-        return each.filter(met).select(x["key"].alias("a"), y["key"].alias("b"))
-
-    # A block held against itself is hashed once.
-    within = links(blocks.select("bucket", hashed("items").alias("items")), "items", "items")
-    first = blocks.filter("block + 1 < blocks").select("bucket", F.col("items").alias("left"), F.explode(F.expr("sequence(block + 1, blocks - 1)")).alias("block"))
-    pairs = dealt(first).join(blocks.select("bucket", "block", F.col("items").alias("right")), ["bucket", "block"])
-    across = links(pairs.select("bucket", hashed("left").alias("left"), hashed("right").alias("right")), "left", "right")
-    return within.union(across).distinct()
+    mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    lines = stage(members.join(mixed.select("bucket"), "bucket").select("key", "component").distinct(), "line-mixed", "zstd")
+    sets = lines.join(texts, "key").select("key", "component", F.explode(F.array(shingle_set(F.col("norm"), whole))).alias("hashes"))
+    return _linked(_dealt(candidates(sets), "a", "b"), texts, whole)
 
 
 def _components(lines: DataFrame, whole: bool) -> DataFrame:
@@ -210,21 +249,15 @@ def _components(lines: DataFrame, whole: bool) -> DataFrame:
     hubs = rows.groupBy("bucket").agg(F.max_by("key", rank).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
     hubs = stage(hubs, "line-hubs", "zstd")
     members = stage(rows.select("bucket", "key").join(hubs.hint("shuffle_hash"), "bucket"), "line-buckets", "zstd")
-    wanted = members.groupBy("key").agg(F.collect_list("bucket").alias("bands"))
-    texts = stage(lines_once.join(wanted, "key"), "line-texts", "zstd")
+    texts = stage(lines_once.join(members.select("key").distinct(), "key"), "line-texts", "zstd")
     discard(known)
 
-    pairs = members.filter("key <> hub").select("hub", "key").distinct()
-    hub_texts = texts.select(F.col("key").alias("hub"), F.col("norm").alias("hub_norm"))
-    both = F.struct(shingle_set(F.col("hub_norm"), whole).alias("x"), shingle_set(F.col("norm"), whole).alias("y"))
-    # Opened from an array of one, the sets are made once and compared by compiled code.
-    opened = pairs.join(texts.drop("bands"), "key").join(hub_texts, "hub").select("hub", "key", F.explode(F.array(both)).alias("sets"))
-    checked = opened.filter(similar(F.col("sets")["x"], F.col("sets")["y"]))
-    links = stage(checked.select(F.col("hub").alias("a"), F.col("key").alias("b")), "line-links")
+    pairs = members.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    links = stage(_linked(pairs, texts, whole), "line-links")
 
     first_round = components(links).withColumnRenamed("id", "key")
     placed = members.filter("key <> hub").select("bucket", "key").join(first_round, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    more = _links_in_blocks(stage(placed, "line-places", "zstd"), texts, whole)
+    more = _more_links(stage(placed, "line-places", "zstd"), texts, whole)
     return components(links.union(more)).withColumnRenamed("id", "key")
 
 
