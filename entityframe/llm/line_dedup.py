@@ -24,7 +24,7 @@ from __future__ import annotations
 import functools
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entityframe.llm.components import components
@@ -56,19 +56,31 @@ def _at_words(norm: Column) -> Column:
 
 
 def _at_characters(norm: Column) -> Column:
-    """Four bytes a character make every shingle a slice of fixed size: linear in the line, whatever its length."""
+    """Slices of fixed size: linear in the line, whatever its length."""
+    cut = lambda wide, flat: F.transform(_starts(wide, flat), lambda i: _slice_hash(wide, flat, i))
+    narrow = let(F.encode(norm, "UTF-16BE"), lambda wide: cut(wide, True))
+    return F.when(_flat(norm), narrow).otherwise(let(F.encode(norm, "UTF-32"), lambda wide: cut(wide, False)))
 
-    def cut(wide: Column) -> Column:
-        starts = _starts(wide)
-        return F.transform(starts, lambda i: F.xxhash64(F.substring(wide, 4 * i + 1, F.lit(4 * SHINGLE_CHARS))))
 
-    return let(F.encode(norm, "UTF-32"), cut)
+def _flat(norm: Column) -> Column:
+    """Whether every character has two bytes in UTF-16; the characters of other lines have four in UTF-32."""
+    return F.octet_length(F.encode(norm, "UTF-16BE")) == 2 * F.length(norm)
 
 
-def _starts(wide: Column) -> Column:
-    """The places of a line's shingles; a line shorter than one has none."""
-    last = (F.octet_length(wide) / 4).cast("int") - SHINGLE_CHARS
-    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+def _starts(wide: Column, flat: bool) -> Column:
+    """The first bytes, from 1, of a line's shingles; a line shorter than one has none."""
+    step = 2 if flat else 4
+    last = F.octet_length(wide) - (step * SHINGLE_CHARS - 1)
+    return F.when(last > 0, F.sequence(F.lit(1), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+
+def _slice_hash(wide: Column, flat: bool, start: Column) -> Column:
+    """The hash of a shingle's UTF-16, the same whichever form its line is in."""
+    if flat:
+        return F.xxhash64(F.substring(wide, start, F.lit(2 * SHINGLE_CHARS)))
+    # The mark of the byte order goes first: a decoder takes it away, and would take away one that belongs to the line.
+    marked = F.concat(F.unhex(F.lit("0000FEFF")), F.substring(wide, start, F.lit(4 * SHINGLE_CHARS)))
+    return F.xxhash64(F.encode(F.decode(marked, "UTF-32"), "UTF-16BE"))
 
 
 def shingle_hashes(norm: Column, distinct: bool = True, whole: bool = False) -> Column:
@@ -83,13 +95,17 @@ def shingle_set(norm: Column, whole: bool = False) -> Column:
 
 
 def hashed(lines: DataFrame, whole: bool = False) -> DataFrame:
-    """``(key, h)``: a row per shingle of ``(key, norm)``. Four bytes a character make every shingle a slice of fixed size."""
+    """``(key, h)``: a row per shingle of ``(key, norm)``. Every shingle is a slice of fixed size."""
     if not whole:
         pattern = rf"(?s)(?<![^ ])(?=([^ ].{{{SHINGLE_CHARS - 1}}}))"
         return lines.select("key", F.explode(F.regexp_extract_all("norm", F.lit(pattern), F.lit(1))).alias("s")).select("key", F.xxhash64("s").alias("h"))
-    wide = lines.select("key", F.encode("norm", "UTF-32").alias("u"))
-    cut = F.expr(f"xxhash64(substring(u, 4 * i + 1, {4 * SHINGLE_CHARS}))")
-    return wide.select("key", "u", F.explode(_starts(F.col("u"))).alias("i")).select("key", cut.alias("h"))
+    # Lines that are not flat are opened into their hashes at once: what is done to each row stays short. The places are a
+    # column of their own: a function on arrays within the generator would keep it, and all rows, from being compiled.
+    norm, u, i, flat = F.col("norm"), F.col("u"), F.col("i"), F.col("flat")
+    wide = lines.select("key", _flat(norm).alias("flat"), F.encode(norm, "UTF-16BE").alias("u"), norm)
+    places = F.when(flat, _starts(u, True).cast("array<long>")).otherwise(_at_characters(norm))
+    opened = wide.select("key", "flat", "u", places.alias("places")).select("key", "flat", "u", F.explode("places").alias("i"))
+    return opened.select("key", F.when(flat, _slice_hash(u, True, i.cast("int"))).otherwise(i).alias("h"))
 
 
 def bands(shingles: DataFrame) -> DataFrame:
@@ -142,9 +158,11 @@ def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _lines(rows: DataFrame, whole: bool) -> DataFrame:
     """``__id, __hash, __no, norm, key`` of each line that takes part: with ``whole`` all that are not blank, else long ones."""
-    lines = rows.select("__id", "__hash", F.posexplode("__lines").alias("__no", "__line"))
+    # No text is without a line; the outer form keeps Spark from splitting every text once more, in a filter on their number.
+    lines = rows.select("__id", "__hash", F.posexplode_outer("__lines").alias("__no", "__line"))
     taken = lines if whole else lines.filter(F.length("__line") >= MIN_CHARS)
-    normal = taken.select("__id", "__hash", "__no", normalised(F.col("__line")).alias("norm"))
+    # Opened from an array of one, a line is normalised once, not in the filter too.
+    normal = taken.select("__id", "__hash", "__no", F.explode_outer(F.array(normalised(F.col("__line")))).alias("norm"))
     return normal.filter(F.length("norm") >= (1 if whole else MIN_CHARS)).withColumn("key", F.xxhash64("norm"))
 
 
@@ -173,14 +191,13 @@ def _rare_shingles(sets: DataFrame) -> DataFrame:
     shingles = sets.select("key", "component", F.size("hashes").alias("n"), F.explode_outer("hashes").alias("h"))
     shared = shingles.groupBy("h").agg(F.count("*").alias("lines"), F.min("component").alias("low"), F.max("component").alias("high"))
     shared = stage(shared.filter("lines > 1").select("h", "lines", (F.col("low") < F.col("high")).alias("mixed")), "line-shared", "zstd")
-    found = shingles.join(shared, "h").groupBy("key", "component", "n")
-    found = found.agg(F.count("*").cast("int").alias("m"), F.collect_list(F.struct("lines", "h", "mixed")).alias("hs"))
+    of_line = Window.partitionBy("key", "component", "n")
+    found = shingles.join(shared.hint("shuffle_hash"), "h").withColumn("i", F.row_number().over(of_line.orderBy("lines", "h")) - 1)
+    left = F.count("*").over(of_line).cast("int") - F.col("i")
     # The smallest partner has PERCENT of the line's size, all of it in common: what stands later is of no use.
-    early = F.col("m") - _least_size(F.col("n")) + 1
-    opened = found.filter(early > 0).select("key", "component", "n", "m", F.posexplode(F.slice(F.sort_array("hs"), F.lit(1), early)).alias("i", "x"))
-    left = F.col("m") - F.col("i")
-    most = F.floor(((100 + PERCENT) * left - PERCENT * F.col("n")) / PERCENT).cast("int")
-    return opened.filter("x.mixed").select(F.col("x.h").alias("h"), "key", "component", "n", most.alias("most_n"))
+    opened = found.withColumn("left", left).filter(F.col("mixed") & (F.col("left") >= _least_size(F.col("n"))))
+    most = F.floor(((100 + PERCENT) * F.col("left") - PERCENT * F.col("n")) / PERCENT).cast("int")
+    return opened.select("h", "key", "component", "n", most.alias("most_n"))
 
 
 def _least_size(n: Column) -> Column:
@@ -244,11 +261,14 @@ def _components(lines: DataFrame, whole: bool) -> DataFrame:
         lines_once = known.select("key", "norm")
     discard(lines)
 
-    rows = banded.select("key", "copies", F.explode(F.array(*names)).alias("bucket")).filter("bucket is not null")
     rank = F.col("copies") * (1 << 16) + F.pmod("key", F.lit(1 << 16))
-    hubs = rows.groupBy("bucket").agg(F.max_by("key", rank).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
-    hubs = stage(hubs, "line-hubs", "zstd")
-    members = stage(rows.select("bucket", "key").join(hubs.hint("shuffle_hash"), "bucket"), "line-buckets", "zstd")
+    rows = banded.select("key", rank.alias("rank"), F.explode(F.array(*names)).alias("bucket")).filter("bucket is not null and rank is not null")
+    # Few buckets hold two lines, so nothing is gained by aggregating before the shuffle; hubs and members read the same one,
+    # for which both must ask for the same columns.
+    rows = _dealt(rows, "bucket")
+    hubs = rows.groupBy("bucket").agg(F.max_by("key", "rank").alias("hub"), F.max("rank").alias("most"), F.count("*").alias("n")).filter("n > 1")
+    joined = rows.join(hubs.hint("shuffle_hash"), "bucket").filter("rank <= most")
+    members = stage(joined.select("bucket", "key", "hub"), "line-buckets", "zstd")
     texts = stage(lines_once.join(members.select("key").distinct(), "key"), "line-texts", "zstd")
     discard(known)
 
